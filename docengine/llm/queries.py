@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, exact_dedup, mixing, repetition
+from docengine.llm import bpe, exact_dedup, mixing, near_dedup, repetition
 from docengine.llm.common import table, text_of
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    sizes = found.groupBy("_class").agg(F.count("*").alias("class_size"))
+    out = found.join(sizes, "_class").select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"), "class_size")
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(text_of("text"), 256))
     found = exact_dedup.exact_groups(docs, carry=("text_sha256",))
@@ -40,7 +47,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(pieces, ranks)).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_mixing, op6_repetition, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_exact_dedup, op5_mixing, op6_repetition, op9_byte_bpe)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
