@@ -61,3 +61,22 @@ def components(edges: DataFrame) -> DataFrame:
         if after.where("component <> was").isEmpty():
             return after.select("id", "component")
         labels = after.select("id", "component")
+
+
+def held_out(id_column: str, modulus: int, remainder: int) -> F.Column:
+    """Whether a row is kept from training: by CRC-32 of its id as text. Null ids are kept from training."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % modulus == remainder, F.lit(True))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_text, _label): texts of at most `rows` labelled ids that may be learned from, chosen by a hash of the id.
+
+    Labels are cut to the sample before they meet the texts, so the
+    broadcast side has a fixed bound and the documents are not shuffled.
+    Rows whose label is null or not 0 or 1 are left out; of a repeated id's
+    labels the largest counts, and each of its texts.
+    """
+    ids = labels.where(F.col(label).isin(0, 1)).where(~held).groupBy(F.col(id_col).alias("_labelled")).agg(F.max(label).cast("int").alias("_label"))
+    chosen = ids.orderBy(F.xxhash64("_labelled"), "_labelled").limit(rows)
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled")).select("_id", "_text", "_label")

@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, exact_dedup, mixing, near_dedup, repetition
+from docengine.llm import bpe, exact_dedup, html_extract, mixing, near_dedup, quality, repetition, toxicity
 from docengine.llm.common import table, text_of
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_main_text(table(spark, sf_dir, "pages"), carry=("page_id", "url"))
+    return found.select(F.col("_carry_page_id").alias("page_id"), F.col("_carry_url").alias("url"), F.col("_text").alias("text"), F.char_length("_text").cast("long").alias("n_chars"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_classes(table(spark, sf_dir, "documents"))
     sizes = found.groupBy("_class").agg(F.count("*").alias("class_size"))
@@ -23,6 +28,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), "text_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.systematic_mix(table(spark, sf_dir, "documents"))
     return taken.select(
@@ -47,7 +57,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(pieces, ranks)).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_exact_dedup, op5_mixing, op6_repetition, op9_byte_bpe)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_near_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_repetition, op9_byte_bpe, op10_quality)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
