@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -80,3 +81,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: F.Colu
     chosen = ids.orderBy(F.xxhash64("_labelled"), "_labelled").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled")).select("_id", "_text", "_label")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that nobody holds any more; a driver that rarely fills its heap would keep them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
