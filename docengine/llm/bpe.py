@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import text_of
+from docengine.llm.common import lasting, text_of
 
 #: Characters of a chunk, and how many of the next chunk's it also holds.
 CHUNK, OVERLAP = 32_768, 512
@@ -94,8 +94,8 @@ class PieceIds(dict):
         return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(_id, _row, _piece, _ids): the ids of each document's pieces, in order of _piece, as little-endian 32-bit integers.
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """Two frames (_id, _row, _piece, _ids), of texts of one piece and of longer ones: the ids of each document's pieces, in order of _piece, as little-endian 32-bit integers.
 
     Texts of up to chunk + overlap characters are one piece. Longer ones are cut
     into chunks of that many characters that start every `chunk` characters.
@@ -157,13 +157,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        known = PieceIds(shared.value).__getitem__
+        known = lasting("bpe", lambda: PieceIds(shared.value)).__getitem__
         for batch in batches:
             out = [b"".join(map(known, find(text))) for text in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())], ["_id", "_row", "_piece", "_ids"])
 
     schema = f"_id {id_type}, _row string, _piece int, _ids binary"
-    return short.mapInArrow(ids, schema).union(long.mapInArrow(ids, schema))
+    return short.mapInArrow(ids, schema), long.mapInArrow(ids, schema)
 
 
 def decode(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -185,13 +185,17 @@ def decode(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return pieces.mapInArrow(back, f"{kinds}, _bytes binary")
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """(_id, n_tokens, ids_sha256, decoded_sha256) of each encoded and decoded document; only documents of several pieces are shuffled."""
-    one = pieces.where("_row is null").select("_id", "_ids", "_bytes")
-    joined = pieces.where("_row is not null").groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("_piece", "_ids", "_bytes"))).alias("_all"))
+def joined(whole: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(_id, _ids, _bytes) of each encoded and decoded document; only documents of several pieces are shuffled."""
+    one = whole.select("_id", "_ids", "_bytes")
+    every = pieces.groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("_piece", "_ids", "_bytes"))).alias("_all"))
     # arrays of binary have no built-in concatenation: through hexadecimal text
-    whole = lambda c: F.unhex(F.concat_ws("", F.transform(F.col("_all"), lambda x: F.hex(x[c]))))
-    many = joined.select("_id", whole("_ids").alias("_ids"), whole("_bytes").alias("_bytes"))
-    return one.union(many).select(
+    put = lambda c: F.unhex(F.concat_ws("", F.transform(F.col("_all"), lambda x: F.hex(x[c]))))
+    return one.union(every.select("_id", put("_ids").alias("_ids"), put("_bytes").alias("_bytes")))
+
+
+def digests(whole: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
+    return joined(whole, pieces).select(
         "_id", (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256")
     )

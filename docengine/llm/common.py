@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,6 +89,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: F.Colu
     return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled")).select("_id", "_text", "_label")
 
 
+def lasting(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, one thing at a time: made again when another name is asked for."""
+    held = sys.modules.setdefault("_docengine_lasting", types.ModuleType("_docengine_lasting")).__dict__
+    if held.get("name") != name:
+        held["name"], held["value"] = name, make()
+    return held["value"]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that nobody holds any more; a driver that rarely fills its heap would keep them."""
     gc.collect()

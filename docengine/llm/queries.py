@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, exact_dedup, html_extract, mixing, near_dedup, quality, repetition, suffix_dedup, toxicity
+from docengine.llm import bpe, exact_dedup, html_extract, licenses, mixing, near_dedup, quality, repetition, suffix_dedup, toxicity
 from docengine.llm.common import table, text_of
 
 
@@ -56,10 +56,15 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("_matches").alias("n_matches"), F.col("_license").alias("license"), F.round("_score", 6).alias("score"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    pieces = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(pieces, ranks)).withColumnRenamed("_id", "doc_id")
+    whole, pieces = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(whole, ranks), bpe.decode(pieces, ranks)).withColumnRenamed("_id", "doc_id")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +72,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_near_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_repetition, op7_suffix_dedup, op9_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_near_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_repetition, op7_suffix_dedup, op8_license_scan, op9_byte_bpe, op10_quality)}
 
 ORACLE_SQL = {
+    "op8_license_scan": licenses.oracle(),
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
