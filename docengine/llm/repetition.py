@@ -45,20 +45,21 @@ def window_hashes(words: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
-def covered(hashes: np.ndarray, n: int, total: int) -> np.ndarray:
-    """Which of total words lie in a run of n that occurs twice or more; all occurrences count."""
+def covered(hashes: np.ndarray, n: int, total: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Which of total words lie in a run of n that occurs twice or more, and in one that occurred before; None if none does."""
     order = np.argsort(hashes, kind="stable")
     same = hashes[order[1:]] == hashes[order[:-1]]
     if not same.any():
-        return np.zeros(total, bool)
-    again = np.zeros(len(hashes), bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    marks = np.zeros(total + 1, np.int64)
-    at = np.flatnonzero(again)
-    marks[at] += 1
-    np.subtract.at(marks, at + n, 1)
-    return np.cumsum(marks[:total]) > 0
+        return None
+
+    def inside(at: np.ndarray) -> np.ndarray:
+        marks = np.zeros(total + 1, np.int64)
+        marks[at] += 1
+        marks[at + n] -= 1
+        return np.cumsum(marks[:total]) > 0
+
+    later = order[1:][same]
+    return inside(np.union1d(later, order[:-1][same])), inside(later)
 
 
 def measure(text: bytes, hashes: WordHashes) -> tuple:
@@ -81,15 +82,14 @@ def measure(text: bytes, hashes: WordHashes) -> tuple:
         lengths = None
         for k, h in window_hashes(words, sorted({8, *NGRAM_LIMITS})).items():
             found = covered(h, k, n)
-            count = int(found.sum())
-            if k == 8:
-                repeat_words = count
-            if not count:
+            if found is None:
                 break  # longer runs repeat only where shorter ones do
+            if k == 8:
+                repeat_words = int(found[0].sum())
             if k in NGRAM_LIMITS:
                 if lengths is None:
                     lengths = np.fromiter((len(w.translate(None, CONTINUATION)) for w in split), np.int64, n)
-                inside[k] = int(lengths[found].sum())
+                inside[k] = int(lengths[found[1]].sum())
     return n, chars, symbols, dup_lines, repeat_words, dup_line_chars, *inside.values()
 
 
@@ -99,10 +99,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def repetition_coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: _id, COUNTS (long), and _repetitive, the verdict.
 
-    A text is repetitive if the characters of words inside n-grams that occur
-    more than once exceed NGRAM_LIMITS[n] of all word characters, for one n,
-    or those of lines equal to an earlier line exceed LINE_LIMIT. The first
-    occurrence of an n-gram counts as inside; so does each of overlapping ones.
+    A text is repetitive if the characters of words inside n-grams that
+    occurred before exceed NGRAM_LIMITS[n] of all word characters, for one n,
+    or those of lines equal to an earlier line exceed LINE_LIMIT. The limits
+    are those published for repeats without the first occurrence, so it
+    does not count here; it does in n_repeat_words.
 
     Windows are compared by 64-bit hashes, lines byte by byte. A task holds
     one text and a few arrays of its words at a time. No shuffle. Null and

@@ -74,19 +74,20 @@ def test_mixing(frame, monkeypatch, block):
 
 def brute_repetition(text):
     words = re.findall(repetition_word, text)
-    out = {}
+    out, later = {}, {}
     for n in (8, *repetition.NGRAM_LIMITS):
         at = collections.defaultdict(list)
         for i in range(len(words) - n + 1):
             at[tuple(words[i : i + n])].append(i)
         out[n] = {j for p in at.values() if len(p) > 1 for i in p for j in range(i, i + n)}
+        later[n] = {j for p in at.values() for i in p[1:] for j in range(i, i + n)}
     seen, dup = set(), []
     for line in text.split("\n"):
         if re.search(repetition_word, line):
             dup += [line] if line in seen else []
             seen.add(line)
     chars = lambda found: sum(len(words[i]) for i in found)
-    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(dup), len(out[8]), sum(len("".join(re.findall(repetition_word, x))) for x in dup), *[chars(out[n]) for n in repetition.NGRAM_LIMITS])
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(dup), len(out[8]), sum(len("".join(re.findall(repetition_word, x))) for x in dup), *[chars(later[n]) for n in repetition.NGRAM_LIMITS])
 
 
 repetition_word = r"[^\x20\x09-\x0D]+"
