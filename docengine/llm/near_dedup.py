@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from docengine.llm.common import components, text_of, written
 
 #: Words of a k-mer; least similarity; sketches of a text; k-mers of a sketch.
-K, SIMILARITY, SKETCHES, TUPLE = 5, 0.8, 32, 4
-#: Members of a bucket up to which all pairs of different components are compared.
-SMALL = 32
+K, SIMILARITY, SKETCHES, TUPLE = 5, 0.8, 48, 4
+#: Sketches that texts of different components must share; members outside a bucket's largest component beyond which it is split.
+LEAST_SHARED, SPLIT = 13, 2048
 CACHE = 500_000
 
 
@@ -60,16 +60,21 @@ def sketches(runs: np.ndarray, label: np.ndarray, seeds: np.ndarray, most: int)
     """
     if not len(runs):
         return []
-    out = []
-    both = runs + label * np.uint64(0xD6E8FEB86659FD93), runs[label == 0]
-    for n, (a, b) in enumerate(seeds):
-        runs = both[n % 2]
-        size = min(most, len(runs))
-        mixed = (runs ^ a) * b
+    out = np.empty(len(seeds), np.uint64)
+    for half, from_ in enumerate((runs + label * np.uint64(0xD6E8FEB86659FD93), runs[label == 0])):
+        own = seeds[half::2]
+        mixed = (from_ ^ own[:, :1]) * own[:, 1:]
         mixed ^= mixed >> np.uint64(32)
-        least = np.argpartition(mixed, size - 1)[:size] if size < len(runs) else np.arange(size)
-        out.append(xxhash.xxh3_64_intdigest(runs[np.sort(least)].tobytes(), int(a & np.uint64(0xFFFFFFFF))) - 2**63)
-    return out
+        if len(from_) > most:
+            least = np.sort(np.argpartition(mixed, most - 1, axis=1)[:, :most], axis=1)
+        else:
+            least = np.broadcast_to(np.arange(len(from_)), (len(own), len(from_)))
+        h = own[:, 0].copy()
+        for column in from_[least].T:
+            h = (h ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out[half::2] = h
+    return out.view(np.int64).tolist()
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -142,21 +147,32 @@ def _verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _labelled(buckets: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """buckets (_key, _v, _at) of more than one component, with each member's _c, and the bucket's _n members."""
-    if edges is not None:
-        labels = components(edges)
-        buckets = buckets.join(labels.withColumnsRenamed({"id": "_v", "component": "_l"}), "_v", "left").withColumn("_c", F.coalesce("_l", "_v"))
-    else:
-        buckets = buckets.withColumn("_c", F.col("_v"))
-    open_ = buckets.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x <> _y")
-    return buckets.select("_key", "_v", "_at", "_c").join(open_.select("_key", "_n"), "_key")
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """buckets (_key, _v) of more than one component: each member's component _c, whether that is the bucket's largest (_main), and the number _others of members outside it."""
+    buckets = buckets.join(labels.withColumnsRenamed({"id": "_v", "component": "_l"}), "_v", "left").select("_key", "_v", F.coalesce("_l", "_v").alias("_c"))
+    parts = buckets.groupBy("_key", "_c").agg(F.count("*").alias("_n"))
+    sizes = parts.groupBy("_key").agg(F.max_by("_c", F.struct("_n", "_c")).alias("_largest"), (F.sum("_n") - F.max("_n")).alias("_others")).where("_others > 0")
+    return buckets.join(sizes, "_key").select("_key", "_v", "_c", (F.col("_c") == F.col("_largest")).alias("_main"), "_others")
+
+
+def _crossing(members: DataFrame, depth: int) -> DataFrame:
+    """Pairs (a, b) of members (_key, _v, _c, _main, _sketches, _first .. of depth) from different components that share LEAST_SHARED sketches.
+
+    A pair is made only in the bucket of the first sketches it shares, so once.
+    """
+    left = members.where("not _main").select(*[F.col(c).alias(f"{c}_a") for c in members.columns])
+    right = members.select(*[F.col(c).alias(f"{c}_b") for c in members.columns])
+    shared = F.array_intersect("_sketches_a", "_sketches_b")
+    meet = (F.col("_key_a") == F.col("_key_b")) & (F.col("_c_a") != F.col("_c_b")) & (F.col("_main_b") | (F.col("_v_a") < F.col("_v_b"))) & (F.size(shared) >= LEAST_SHARED)
+    for n in range(depth):
+        meet = meet & (shared[n] == F.col(f"_s{n}_a"))
+    return left.join(right, meet).select(F.least("_v_a", "_v_b").alias("a"), F.greatest("_v_a", "_v_b").alias("b"))
 
 
 def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, similarity: float = SIMILARITY, count: int = SKETCHES, size: int = TUPLE, levels: int = 3, carry: tuple[str, ...] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, similarity: float = SIMILARITY, count: int = SKETCHES, size: int = TUPLE, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The near-duplicate class of each row: _id, _class (least id of the class), _text_key (the text's digest), carried columns as _carry_<name>.
+    """The near-duplicate class of each row: _id, _class (least id of the class), _component and _text_key (digests of a text of the class and of the row's own), carried columns as _carry_<name>.
 
     Two texts are linked if they share at least `similarity` of their distinct
     k-mers of words (without case and outer punctuation; white space separates
@@ -167,18 +183,17 @@ def near_classes(
     2. Of each text, `count` Order MinHash sketches: the `size` k-mers, labelled
        by occurrence, of least hash, in the text's order (every other sketch
        from first occurrences only). Texts that share a sketch meet in a
-       bucket. A pair of similarity 0.8 misses all of 32 sketches of 4 with
-       probability 0.59 ** 32; if the two repeat phrases differently often, 0.59 ** 16.
-    3. In each bucket all members are aligned with the least one; the links'
-       components follow. A bucket of one component is done, so a group of
+       bucket. A pair of similarity 0.8 misses all of 48 sketches of 4 with
+       probability 0.59 ** 48; if the two repeat phrases differently often, 0.59 ** 24.
+    3. In each bucket all members are aligned with the one that meets most
+       texts in all its buckets, as an original meets its copies; the links' components follow. A bucket of one component is done, so a group of
        thousands of near copies costs one comparison per member and sketch.
-    4. In buckets with several components and few members (SMALL), all pairs
-       from different components are aligned. Larger ones, which texts that share a
-       common passage make, are split by a second sketch, then a third, and
-       treated alike. What is large after `levels` agrees in as many
-       sketches, so it is near: there all pairs from different components are
-       aligned, whatever their number. (A pair of similarity 0.8 shares 13 of
-       32 sketches on average, fewer than 3 once in 100,000 times.)
+    4. In buckets with several components, members outside the largest one are
+       aligned with those of other components with which they share
+       LEAST_SHARED sketches: a pair of similarity 0.8 shares 20 of 48 on
+       average and fewer than 13 twice in 100 times, one of 0.85 fewer than 13 once in
+       10,000 times; texts that share half their words rarely share 13. Where more than SPLIT members are outside, as
+       a very common passage makes them, the bucket is first split by a second sketch.
 
     No step has a cap. Null or wordless text is linked to identical texts only. Ties, repeated rows
     and other columns have no influence. An empty table gives no rows.
@@ -186,43 +201,40 @@ def near_classes(
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     rows = rows.withColumn("_v", F.substring(F.unhex(F.sha2("_text", 256)), 1, 16))
     sketched = _sketched(rows.select("_v", "_text"), k, count, size)
+    # a sketch's number in the list is part of its hash: equal hashes are equal sketches
+    sketched = sketched.withColumn("_sketches", F.transform("_sketches", lambda h, i: F.xxhash64(h, i)))
     vertices = written(sketched.groupBy("_v").agg(F.any_value("_sketches").alias("_sketches")), "sketches")
-    each = vertices.select("_v", F.posexplode("_sketches").alias("_s", "_h"))
-    every = written(each.select(F.xxhash64("_s", "_h").alias("_key"), "_v", F.col("_s").alias("_at")), "buckets")
-    buckets = written(every.join(every.groupBy("_key").count().where("count > 1").select("_key"), "_key", "left_semi"), "shared")
+    every = vertices.select("_v", F.explode("_sketches").alias("_key"))
+    buckets = written(every.join(every.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1"), "_key"), "buckets")
     texts = rows.select("_v", "_text").join(buckets.select("_v").distinct(), "_v", "left_semi")
     table = written(_kmer_table(texts, k).dropDuplicates(["_v"]), "kmers")
-    edges = tried = None
-    level = 0
-    open_ = buckets
-    while not open_.isEmpty():
-        level += 1
-        pivots = open_.groupBy("_key").agg(F.min("_v").alias("a"))
-        pairs = open_.join(pivots, "_key").where("_v > a").select("a", F.col("_v").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        links = written(_verified(pairs, table, similarity), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        rest = written(_labelled(open_, edges), "open")
-        few = rest.where(F.col("_n") <= SMALL) if level < levels else rest
-        other = few.select("_key", F.col("_v").alias("b"), F.col("_c").alias("_d"))
-        pairs = few.select("_key", F.col("_v").alias("a"), "_c").join(other, "_key").where("a < b and _c <> _d").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        links = written(_verified(pairs, table, similarity), "links")
-        edges, tried = edges.unionByName(links), tried.unionByName(pairs)
-        if level == levels:
-            break
-        many = rest.where(F.col("_n") > SMALL).select("_key", "_v", "_at")
-        finer = many.join(each, "_v").where("_s > _at").select(F.xxhash64("_key", "_s", "_h").alias("_key"), "_v", F.col("_s").alias("_at"))
-        finer = written(finer, "finer")
-        open_ = finer.join(finer.groupBy("_key").count().where("count > 1").select("_key"), "_key", "left_semi")
-    labels = components(edges) if edges is not None else None
+    degrees = buckets.groupBy("_v").agg(F.sum("_n").alias("_degree"))
+    buckets = buckets.select("_key", "_v")
+    pivots = buckets.join(degrees, "_v").groupBy("_key").agg(F.max_by("_v", F.struct("_degree", "_v")).alias("_pivot"))
+    spokes = buckets.join(pivots, "_key").where("_v <> _pivot").select(F.least("_v", "_pivot").alias("a"), F.greatest("_v", "_pivot").alias("b"))
+    stars = written(spokes.distinct(), "stars")
+    edges = written(_verified(stars, table, similarity), "links")
+    open_ = written(_open(buckets, components(edges)).join(vertices, "_v").withColumn("_s0", F.col("_key")), "open")
+    pairs = _crossing(open_.where(F.col("_others") <= SPLIT).drop("_others"), 1)
+    large = open_.where(F.col("_others") > SPLIT).drop("_others").withColumn("_s1", F.explode("_sketches"))
+    large = large.where(F.array_position("_sketches", F.col("_s1")) > F.array_position("_sketches", F.col("_s0"))).withColumn("_key", F.xxhash64("_s0", "_s1"))
+    pairs = pairs.union(_crossing(large, 2)).join(stars, ["a", "b"], "left_anti")
+    more = _verified(written(pairs, "crossing"), table, similarity)
+    labels = components(written(edges.union(more), "links"))
     owner = rows.select("_id", "_v", *[f"_carry_{c}" for c in carry])
-    if labels is not None:
-        owner = owner.join(labels.withColumnsRenamed({"id": "_v", "component": "_l"}), "_v", "left").withColumn("_c", F.coalesce("_l", "_v")).drop("_l")
-    else:
-        owner = owner.withColumn("_c", F.col("_v"))
+    owner = owner.join(labels.withColumnsRenamed({"id": "_v", "component": "_l"}), "_v", "left").withColumn("_c", F.coalesce("_l", "_v")).drop("_l")
     names = owner.groupBy("_c").agg(F.min("_id").alias("_class"))
-    return owner.join(names, "_c").withColumnRenamed("_v", "_text_key").drop("_c")
+    return owner.join(names, "_c").withColumnsRenamed({"_v": "_text_key", "_c": "_component"})
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each near-duplicate class, that of the least id; columns as they were.
+
+    The texts meet the decisions once, by their digests. Null ids come last.
+    """
+    found = near_classes(docs, id_col, text_col, **options)
+    place = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_text_key"))
+    kept = found.groupBy("_component").agg(F.min(place).alias("_least")).select(F.col("_least._text_key").alias("_v"), F.col("_least._id").alias("_keep"))
+    rows = docs.select(F.struct("*").alias("_doc"), F.substring(F.unhex(F.sha2(text_of(text_col), 256)), 1, 16).alias("_v"))
+    stay = rows.join(written(kept, "kept"), "_v").where(F.col("_doc")[id_col].eqNullSafe(F.col("_keep"))).dropDuplicates(["_v"])
+    return stay.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

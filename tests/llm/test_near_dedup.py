@@ -37,9 +37,9 @@ def brute_classes(rows):
     return sorted((i, least[find(k)]) for k, t in enumerate(keys) for i in texts[t])
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_near_classes(frame, monkeypatch, small):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
+@pytest.mark.parametrize("split", [2048, 2])
+def test_near_classes(frame, monkeypatch, split):
+    monkeypatch.setattr(near_dedup, "SPLIT", split)
     r = random.Random(1)
     word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(6))
     passage = [word() for _ in range(60)]
