@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +15,25 @@ from docengine.llm.common import release, text_of, written
 #: Bytes of a string that is removed, and of the strings whose ranks it is the pair of.
 LENGTH = 100
 HALF = LENGTH // 2
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+_A, _B, _C, _SHIFT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 31))
+_BYTES = np.arange(1, 257, dtype=np.uint64) * _A
 
 
 def ranks(raw: np.ndarray, length: int) -> np.ndarray:
     """Fingerprint ranks of the strings of `length` bytes at all positions, by doubling: that of 2n bytes is made of the pair at distance n, that of the rest of an overlapping pair."""
     if len(raw) < length:
         return np.zeros(0, np.uint64)
-    r, n = (raw.astype(np.uint64) + np.uint64(1)) * _A, 1
+    r, n = _BYTES[raw], 1
     while 2 * n <= length:
-        r = r[:-n] * _B + r[n:]
-        r ^= r >> np.uint64(31)
+        r, rest = r[:-n] * _B, r[n:]
+        r += rest
+        r ^= r >> _SHIFT
         n *= 2
     m = len(raw) - length + 1
     if n < length:
-        r = r[:m] * _C + r[length - n : length - n + m]
-        r ^= r >> np.uint64(29)
+        r, rest = r[:m] * _C, r[length - n : length - n + m]
+        r += rest
+        r ^= r >> _SHIFT
     return r
 
 
@@ -50,8 +54,9 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(g) < span:
         return g, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     least = _sliding(g, span, np.minimum)
-    edge = np.zeros(span - 1, np.uint64)
-    chosen = _sliding(np.concatenate([edge, least, edge]), span, np.maximum)[: len(g)] == g
+    wide = np.zeros(len(least) + 2 * (span - 1), np.uint64)
+    wide[span - 1 : span - 1 + len(least)] = least
+    chosen = _sliding(wide, span, np.maximum)[: len(g)] == g
     chosen[[0, -1]] = True
     return g, least, np.flatnonzero(chosen)
 
@@ -105,37 +110,48 @@ def open_parts(text: bytes, at: np.ndarray, first: np.ndarray, shift: np.ndarray
     return known, parts
 
 
-def later_windows(rank: np.ndarray, row: np.ndarray, seen: tuple[int | None, np.ndarray], texts: list[bytes]) -> tuple[list[np.ndarray], tuple[int, np.ndarray]]:
-    """For rows in order of (rank, place): which of the strings of LENGTH bytes in each of texts occur in an earlier row; seen: those of the last rank so far.
+def later_windows(rank: np.ndarray, row: np.ndarray, seen: tuple[int | None, np.ndarray], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple[int, np.ndarray]]:
+    """For rows in order of (rank, place): the numbers of those strings of LENGTH bytes in texts that occur in an earlier row, as (text, offset); seen: strings of the last rank so far.
 
-    row numbers the places: rows of equal number are the same place, given twice.
+    row numbers the places: rows of equal number are the same place, given
+    twice. The strings of one row all hold its anchor at another distance, so none
+    of them is equal to another. A row whose rank no other has cannot match.
     """
-    sizes = np.array([len(t) for t in texts])
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    all_ranks = ranks(np.frombuffer(b"".join(texts), np.uint8), LENGTH)
+    again = np.zeros(len(rank), bool)
+    again[1:] = rank[1:] == rank[:-1]
+    again[:-1] |= again[1:]
+    again[0] |= seen[0] == rank[0]
+    again[-1] = True  # the next batch may go on with it
+    used = np.flatnonzero(again)
+    sizes = np.array([len(texts[i]) for i in used.tolist()])
+    all_ranks = ranks(np.frombuffer(b"".join([texts[i] for i in used.tolist()]), np.uint8), LENGTH)
     counts = sizes - LENGTH + 1
-    of = np.repeat(np.arange(len(texts)), counts)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    window = all_ranks[start[of] + offset]
-    owner = rank[of].view(np.uint64)
-    key = window ^ (owner * _A)
-    order = np.lexsort((np.arange(len(key)), key))
+    of = np.repeat(np.arange(len(used)), counts)
+    skipped = np.repeat(np.arange(len(used)) * (LENGTH - 1), counts)
+    key = all_ranks[np.arange(len(of)) + skipped] ^ (rank[used].view(np.uint64) * _A)[of]
+    order = np.argsort(key, kind="stable")
     ranked = key[order]
     new = np.ones(len(key), bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    place = row[used][of[order]]
     later = np.zeros(len(key), bool)
-    later[order] = row[of[order]] != row[of[head]]
-    # a string twice in one row
-    later[order] |= (order != head) & (offset[order] != offset[head])
-    if seen[0] is not None and rank[0] == seen[0]:
-        mine = rank[of] == seen[0]
+    later[order] = place != place[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    if seen[0] == rank[0]:
+        mine = slice(0, int(counts[: int(np.searchsorted(rank[used] != rank[0], True))].sum()))
         later[mine] |= np.isin(key[mine], seen[1])
-    last = rank[of] == rank[-1]
-    kept = np.unique(key[last])
+    tail = int(counts[np.flatnonzero(rank[used] == rank[-1])[0] :].sum())
+    kept = np.unique(key[len(key) - tail :])
     if seen[0] == rank[-1]:
         kept = np.union1d(kept, seen[1])
-    return np.split(later, np.cumsum(counts)[:-1]), (int(rank[-1]), kept)
+    hit = np.flatnonzero(later)
+    return used[of[hit]], hit - (np.cumsum(counts) - counts)[of[hit]], (int(rank[-1]), kept)
+
+
+def _as_before(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first equals the one before; null equals null."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    return same.to_numpy(zero_copy_only=False).astype(bool)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +188,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             at, rank = [], []
             for text in batch.column(2):
-                g, _, chosen = anchors(np.frombuffer(text.as_buffer(), np.uint8) if len(text.as_py()) >= LENGTH else np.zeros(0, np.uint8))
+                g, _, chosen = anchors(np.frombuffer(text.as_buffer(), np.uint8))
                 at.append(chosen.astype(np.int32))
                 rank.append(g[chosen].view(np.int64))
             of = np.repeat(np.arange(batch.num_rows), [len(x) for x in at])
@@ -196,16 +212,21 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return a.join(b, F.col("_id").eqNullSafe(F.col("_id_b")) & (F.col("_tie") == F.col("_tie_b")), kind).drop("_id_b", "_tie_b")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.struct([("_rank", pa.int64()), ("_start", pa.int32()), ("_part", pa.binary())])
         for batch in batches:
-            known, parts = [], []
+            known, counts, rank, start, part = [], [0], [], [], []
             for text, listed in zip(batch.column(2), batch.column(3), strict=True):
                 flat = listed.values
                 at, in_, shift, mine = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                k, p = open_parts(text.as_py(), at.astype(np.int64), in_, shift, mine.astype(bool))
+                k, parts = open_parts(text.as_py(), at.astype(np.int64), in_, shift, mine.astype(bool))
                 known.append(k)
-                parts.append([{"_rank": r, "_start": s, "_part": x} for r, s, x in p])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.list_(pa.int32())), pa.array(parts, pa.list_(part))], ["_id", "_tie", "_known", "_parts"])
+                counts.append(counts[-1] + len(parts))
+                for r, s, x in parts:
+                    rank.append(r)
+                    start.append(s)
+                    part.append(x)
+            inner = pa.StructArray.from_arrays([pa.array(rank, pa.int64()), pa.array(start, pa.int32()), pa.array(part, pa.binary())], ["_rank", "_start", "_part"])
+            parts = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.list_(pa.int32())), parts], ["_id", "_tie", "_known", "_parts"])
 
     opened = match(rows, lists).select("_id", "_tie", "_text", "_marks").mapInArrow(
         split, f"_id {id_type}, _tie long, _known array<int>, _parts array<struct<_rank: long, _start: int, _part: binary>>"
@@ -220,22 +241,29 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             if not batch.num_rows:
                 continue
-            places = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3)), strict=True))
-            if places[0] == before:  # an identical row, cut off from its twin by the batch's end
-                while places and places[0] == before:
-                    places, batch = places[1:], batch.slice(1)
-                if not places:
-                    continue
-            row = np.cumsum([a != b for a, b in zip(places, [None, *places], strict=False)])
-            before = places[-1]
-            later, seen = later_windows(batch.column(0).to_numpy(), row, seen, batch.column(4).to_pylist())
-            starts = batch.column(3).to_numpy()
-            cuts = []
-            for s, flags in zip(starts.tolist(), later, strict=True):
-                low, high = _spans(flags)
-                cuts.append(np.stack([low + s, high + s + LENGTH - 1], 1).ravel().astype(np.int32))
-            out = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(cuts, pa.list_(pa.int32()))], ["_id", "_tie", "_known"])
-            yield out.filter(pa.array([len(c) > 0 for c in cuts]))
+            head, tail = ([c[i].as_py() for c in batch.columns[:4]] for i in (0, batch.num_rows - 1))
+            same = np.ones(batch.num_rows - 1, bool)
+            for c in batch.columns[:4]:
+                same &= _as_before(c)
+            row = np.concatenate([[0], np.cumsum(~same)])
+            twins = int(np.searchsorted(row, 0, "right")) if head == before else 0
+            before = tail
+            batch, row = batch.slice(twins), row[twins:]  # identical rows, cut off from their twin by the batch's end
+            if not batch.num_rows:
+                continue
+            text, offset, seen = later_windows(batch.column(0).to_numpy(), row, seen, batch.column(4).to_pylist())
+            if not len(text):
+                continue
+            # runs of neighbouring strings of one row
+            first = np.ones(len(text), bool)
+            first[1:] = (text[1:] != text[:-1]) | (offset[1:] != offset[:-1] + 1)
+            begin = np.flatnonzero(first)
+            end = np.concatenate([begin[1:], [len(text)]]) - 1
+            start = batch.column(3).to_numpy()[text[begin]]
+            cuts = np.stack([start + offset[begin], start + offset[end] + LENGTH], 1).astype(np.int32).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cuts) + 1, 2), pa.int32()), pa.array(cuts))
+            which = pa.array(text[begin])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(which), batch.column(2).take(which), lists], ["_id", "_tie", "_known"])
 
     sorted_parts = parts.repartition("_rank").sortWithinPartitions("_rank", "_id", "_tie", "_start")
     judged = sorted_parts.mapInArrow(judge, f"_id {id_type}, _tie long, _known array<int>")
