@@ -90,3 +90,19 @@ def article_audit(detected: DataFrame, chunked: DataFrame) -> DataFrame:
     missing = detected.select("document_id", "article").distinct().join(each, ["document_id", "article"], "left_anti").groupBy("document_id").agg(F.count("*").alias("n_missing"))
     out = d.join(c, "document_id", "left").join(missing, "document_id", "left").na.fill(0, ["n_chunked", "n_duplicate", "n_missing"])
     return out.withColumn("status", F.when(F.col("n_missing") > 0, "FAIL").when(F.col("n_duplicate") > 0, "PARTIAL").otherwise("PASS"))
+
+
+def article_units(lines: DataFrame, marker: Column) -> DataFrame:
+    """document_id, unit, paragraph, inciso, alinea, text: an article's lines split at item markers (kind, value).
+
+    A paragraph resets inciso and alínea, an inciso resets the alínea. Unit 0 is
+    what stands before the first marker.
+    """
+    m = lines.withColumn("_m", marker).withColumn("_k", F.col("_m.kind")).withColumn("_v", F.col("_m.value"))
+    upto = lambda *keys: ordered(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    value = lambda kind: F.when(F.col("_k") == kind, F.col("_v"))
+    m = m.withColumn("unit", F.sum(F.col("_k").isNotNull().cast("long")).over(upto())).withColumn("_p", F.sum((F.coalesce("_k", F.lit("")) == "paragraph").cast("int")).over(upto()))
+    m = m.withColumn("_i", F.sum(F.coalesce("_k", F.lit("")).isin("paragraph", "inciso").cast("int")).over(upto()))
+    m = m.withColumn("paragraph", F.last(value("paragraph"), True).over(upto())).withColumn("inciso", F.last(value("inciso"), True).over(upto("_p"))).withColumn("alinea", F.last(value("alinea"), True).over(upto("_i")))
+    listed = F.array_sort(F.collect_list(F.struct("line_index", "line")))
+    return m.groupBy("document_id", "unit").agg(F.min("paragraph").alias("paragraph"), F.min("inciso").alias("inciso"), F.min("alinea").alias("alinea"), F.concat_ws(" ", F.transform(listed, lambda x: x["line"])).alias("text"))

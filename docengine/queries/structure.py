@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docengine.functions import answers as A
 from docengine.functions import text as T
 from docengine.operators import lines as L
 from docengine.operators import orchestration as O
@@ -154,8 +155,25 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("role").agg(F.count("*").alias("total"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("empty"), F.count_distinct("conv_id").alias("conversations"), F.max("turn").alias("last_turn"))
 
 
+def article_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each text under markers that follow from their number, split into units."""
+    i = F.col("line_index") % 6
+    made = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    marker = F.when(i == 1, made("paragraph", F.col("line_index").cast("string"))).when(i == 3, made("inciso", F.lit("I"))).when(i == 4, made("alinea", F.lit("a")))
+    u = S.article_units(L.flatten(documents(spark, sf_dir)), marker)
+    return u.select("document_id", "unit", "paragraph", "inciso", "alinea", F.md5("text").alias("text_hash"))
+
+
+def answer_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings of answers to open and closed questions."""
+    d = documents(spark, sf_dir)
+    q = _pick(("O que diz a confissão?", "A salvação pode ser perdida?", "Há requisitos?"), F.col("doc_id"))
+    a = F.concat(_pick(("Sim. ", "Não, ", "**Sim** - "), F.floor(F.col("doc_id") / 3)), F.lit("os eleitos não podem decair. "), F.substring("text", 1, 30))
+    return d.select("doc_id", A.is_open_question(q).alias("open"), F.md5(A.without_opening(A.corrected_polarity(a, q), q)).alias("answer_hash"))
+
+
 _FNS = (
-    article_headings, biblical_references, joined_text, pair_forward, number_repair, footnote_links, table_layout, article_audit, top_titles, framing_antijoin, scope_guard, missing_source_retry, roles, source_map, candidate_audit,
+    article_units, answer_polish, article_headings, biblical_references, joined_text, pair_forward, number_repair, footnote_links, table_layout, article_audit, top_titles, framing_antijoin, scope_guard, missing_source_retry, roles, source_map, candidate_audit,
     topic_match, joined_lists, suggestion_parse, merged_scores, run_summary,
 )
 QUERIES = {f.__name__: f for f in _FNS}
@@ -164,6 +182,15 @@ _CAND = f"""c AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY
     SELECT doc_id % 50 AS question_id, doc_id AS chunk_id, source AS document_id, lang, CAST(length(text) AS BIGINT) AS n_chars, doc_id % 7 AS page, source || '::' || doc_id % 7 AS parent_key FROM ({DOCS})))"""
 
 ORACLE_SQL = {
+    "article_units": f"""WITH {_LINES}, m AS (SELECT *, line_index % 6 AS i FROM lines),
+        w AS (SELECT *, CAST(sum(CASE WHEN i IN (1, 3, 4) THEN 1 ELSE 0 END) OVER o AS BIGINT) AS unit, sum(CASE WHEN i = 1 THEN 1 ELSE 0 END) OVER o AS p, sum(CASE WHEN i IN (1, 3) THEN 1 ELSE 0 END) OVER o AS q,
+          last_value(CASE WHEN i = 1 THEN CAST(line_index AS VARCHAR) END IGNORE NULLS) OVER o AS paragraph FROM m WINDOW o AS (PARTITION BY document_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        v AS (SELECT *, last_value(CASE WHEN i = 3 THEN 'I' END IGNORE NULLS) OVER (PARTITION BY document_id, p ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inciso,
+          last_value(CASE WHEN i = 4 THEN 'a' END IGNORE NULLS) OVER (PARTITION BY document_id, q ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS alinea FROM w)
+        SELECT document_id, unit, min(paragraph) AS paragraph, min(inciso) AS inciso, min(alinea) AS alinea, md5(string_agg(line, ' ' ORDER BY line_index)) AS text_hash FROM v GROUP BY document_id, unit""",
+    "answer_polish": rf"""WITH d AS (SELECT doc_id, doc_id % 3 AS q, (doc_id // 3) % 3 AS a, 'os eleitos não podem decair. ' || substr(text, 1, 30) AS rest FROM ({DOCS})),
+        p AS (SELECT doc_id, q = 0 AS open, CASE WHEN q = 1 THEN ['Não. ', 'Não, ', '**Não** - '][a + 1] ELSE ['Sim. ', 'Não, ', '**Sim** - '][a + 1] END AS o, a, rest FROM d)
+        SELECT doc_id, open, md5(CASE WHEN open THEN regexp_replace(CASE WHEN a < 2 THEN rest ELSE o || rest END, '\A\s+|\s+\z', '', 'g') ELSE o || rest END) AS answer_hash FROM p""",
     "article_headings": f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '5' WHEN 1 THEN '12' WHEN 2 THEN '7' END AS number, CASE doc_id % 5 WHEN 0 THEN 'Art. 5º' WHEN 1 THEN 'Art. 12' WHEN 2 THEN 'Art. 7' END AS display,
         CASE doc_id % 5 WHEN 0 THEN 'Da fé' WHEN 1 THEN 'Texto' WHEN 2 THEN 'Dos membros' END AS remainder FROM documents""",
     "biblical_references": f"""WITH d AS (SELECT doc_id, concat_ws(' ', regexp_replace(text, '[()]', '', 'g'), {sql_list(NOTES)}[doc_id % 4 + 1]) AS t FROM ({DOCS}))
