@@ -14,7 +14,7 @@ from docengine.queries.common import CHUNKS, DOCS, chunk_rows, documents, sql_li
 
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids from document, article and first words; the n-th of equal ones gets a suffix."""
-    c = chunk_rows(spark, sf_dir).select("chunk_id", F.concat_ws("_", "document_id", T.slug(F.col("article_number")), T.slug(F.substring("text", 1, 4))).alias("base"))
+    c = chunk_rows(spark, sf_dir).select("chunk_id", F.concat_ws("_", "document_id", T.slug(F.col("article_number")), T.slug(F.col("lang"))).alias("base"))
     return K.unique_ids(c, "base", "chunk_id").select("chunk_id", "unique_id")
 
 
@@ -57,7 +57,7 @@ def unify_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping corpora by name; of equal ids the first stays."""
     c = chunk_rows(spark, sf_dir).select("chunk_id", "document_id", F.length("text").cast("long").alias("n_chars"))
     a = c.where("chunk_id % 3 <> 0").withColumn("origin", F.lit("a"))
-    b = c.where("chunk_id % 2 = 0").withColumn("origin", F.lit("b")).withColumn("note", F.lit("second"))
+    b = c.withColumn("origin", F.lit("b")).withColumn("note", F.lit("second"))
     return K.unify([a, b], "chunk_id").select("chunk_id", "document_id", "n_chars", "origin", "note")
 
 
@@ -131,7 +131,7 @@ _P = f"""{_C}, p AS (SELECT *, CASE WHEN chunk_type <> 'note' THEN document_id |
 
 ORACLE_SQL = {
     "chunk_ids": f"""
-        WITH {_C}, b AS (SELECT chunk_id, concat_ws('_', document_id, {sql_slug('article_number')}, {sql_slug('substr(text, 1, 4)')}) AS base FROM c),
+        WITH {_C}, b AS (SELECT chunk_id, concat_ws('_', document_id, {sql_slug('article_number')}, {sql_slug('lang')}) AS base FROM c),
         n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY chunk_id) AS n FROM b)
         SELECT chunk_id, CASE WHEN n > 1 THEN base || '_duplicata-' || lpad(CAST(n AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0') ELSE base END AS unique_id FROM n""",
     "embedding_text": f"""
@@ -147,7 +147,7 @@ ORACLE_SQL = {
         SELECT chunk_id, CASE {' '.join(f"WHEN {' OR '.join(f'''contains(t, '{k}')''' for k in ks)} THEN '{n}'" for n, ks in TOPIC_RULES)} ELSE 'general' END AS topic FROM f""",
     "unify_corpora": f"""
         WITH {_C} SELECT chunk_id, document_id, CAST(length(text) AS BIGINT) AS n_chars, CASE WHEN chunk_id % 3 <> 0 THEN 'a' ELSE 'b' END AS origin, CASE WHEN chunk_id % 3 <> 0 THEN NULL ELSE 'second' END AS note
-        FROM c WHERE chunk_id % 3 <> 0 OR chunk_id % 2 = 0""",
+        FROM c""",
     "resume_antijoin": f"WITH {_C} SELECT chunk_id, document_id FROM c WHERE NOT EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = c.chunk_id)",
     "seed_hash_join": f"WITH {_C} SELECT c.chunk_id, CAST(v.label AS BIGINT) AS label FROM c JOIN embeddings v ON v.vec_id = c.chunk_id WHERE v.vec_id % 5 <> 0",
     "vector_validation": "SELECT CAST(len(embedding) AS BIGINT) AS dimensions, count(*) AS n, count(DISTINCT vec_id) AS n_ids, count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0) AS n_bad FROM embeddings GROUP BY 1",

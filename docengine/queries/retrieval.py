@@ -45,12 +45,11 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """Each hundredth document as a question: near vectors and words of its first 60 characters, fused."""
-    v = _vectors(spark, sf_dir)
-    d = documents(spark, sf_dir)
-    q = d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("question_id"), F.substring("text", 1, 60).alias("text"))
-    words = R.bm25(d.select(F.col("doc_id").alias("chunk_id"), "text"), q, 20)
-    return R.fuse([("vector", R.dense(v, _asked(v), 20)), ("bm25", words)], k=k)
+    """Each benchmark text as a question: chunks by its words and by the vector of its number, fused."""
+    v, q = _vectors(spark, sf_dir), _benchmark(spark, sf_dir)
+    words = R.bm25(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"), q, 20)
+    near = R.dense(v, v.join(F.broadcast(q.select("question_id")), F.col("chunk_id") == F.col("question_id")).select("question_id", "vector"), 20)
+    return R.fuse([("vector", near), ("bm25", words)], k=k)
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused candidates by the part of the question's words that their texts hold."""
     d = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    q = d.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("question_id"), F.substring("text", 1, 60).alias("question"))
+    q = _benchmark(spark, sf_dir).withColumnRenamed("text", "question")
     c = _hybrid(spark, sf_dir).join(d, "chunk_id").join(q, "question_id")
     return R.rerank(c, R.overlap_score(F.col("question"), F.col("text"))).select("question_id", "chunk_id", "rerank_score", F.col("pre_rerank_rank").cast("long").alias("pre_rerank_rank"), F.col("rank").cast("long").alias("rank"))
 
@@ -124,20 +123,20 @@ def _bm25_sql(docs: str, asked: str, k: int, p: str = "") -> str:
       {p}bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM {p}s) WHERE rank <= {k})"""
 
 
-def _dense_sql(k: int, where: str = "true") -> str:
+def _dense_sql(k: int, where: str = "true", asked: str = "q.vec_id % 100 = 0") -> str:
     return f"""dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank FROM (
-        SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, round(list_cosine_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND {where})) WHERE rank <= {k})"""
+        SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, round(list_cosine_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings q, embeddings v WHERE {asked} AND {where})) WHERE rank <= {k})"""
 
 
 _ALL_DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 _GERMAN = _ALL_DOCS + " WHERE lang = 'de'"
 _BENCH = "SELECT item_id AS question_id, text FROM benchmark"
-_HYBRID = f"""{_bm25_sql(_ALL_DOCS, f"SELECT doc_id AS question_id, substr(text, 1, 60) AS text FROM ({_ALL_DOCS}) WHERE doc_id % 100 = 0", 20)}, {_dense_sql(20)},
+_HYBRID = f"""{_bm25_sql(_ALL_DOCS, _BENCH, 20)}, {_dense_sql(20, asked="q.vec_id IN (SELECT item_id FROM benchmark)")},
     u AS (SELECT question_id, chunk_id, rank, 0 AS l, 'vector' AS name FROM dense UNION ALL SELECT question_id, chunk_id, rank, 1, 'bm25' FROM bm25),
     f AS (SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, min(l * 1000 + rank) AS seen, string_agg(name, ',' ORDER BY name) AS sources FROM u GROUP BY question_id, chunk_id),
     hybrid AS (SELECT * EXCLUDE (seen) FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen, chunk_id) AS rank FROM f) WHERE rank <= 10)"""
-_RERANK = rf"""{_HYBRID}, words AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w, list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[\p{{L}}\p{{N}}_]+')) AS a FROM ({_ALL_DOCS})),
-    sc AS (SELECT h.question_id, h.chunk_id, h.rank AS pre_rerank_rank, round(CASE WHEN len(q.a) > 0 THEN len(list_intersect(q.a, c.w)) / len(q.a)::DOUBLE ELSE 0 END, 6) AS rerank_score FROM hybrid h JOIN words q ON q.doc_id = h.question_id JOIN words c ON c.doc_id = h.chunk_id),
+_RERANK = rf"""{_HYBRID}, words AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM ({_ALL_DOCS})), asked AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS a FROM benchmark),
+    sc AS (SELECT h.question_id, h.chunk_id, h.rank AS pre_rerank_rank, round(CASE WHEN len(q.a) > 0 THEN len(list_intersect(q.a, c.w)) / len(q.a)::DOUBLE ELSE 0 END, 6) AS rerank_score FROM hybrid h JOIN asked q ON q.item_id = h.question_id JOIN words c ON c.doc_id = h.chunk_id),
     rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, pre_rerank_rank) AS rank FROM sc) WHERE rank <= 5)"""
 _GROUPS = f"""{_bm25_sql(_ALL_DOCS, _BENCH, 20)}, {_P},
     x AS (SELECT b.*, p.parent_key, p.document_id, p.position AS page,

@@ -168,7 +168,7 @@ def answer_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Openings of answers to open and closed questions."""
     d = documents(spark, sf_dir)
     q = _pick(("O que diz a confissão?", "A salvação pode ser perdida?", "Há requisitos?"), F.col("doc_id"))
-    a = F.concat(_pick(("Sim. ", "Não, ", "**Sim** - "), F.floor(F.col("doc_id") / 3)), F.lit("os eleitos não podem decair. "), F.substring("text", 1, 30))
+    a = F.concat(_pick(("Sim. ", "Não, ", "**Sim** - "), F.floor(F.col("doc_id") / 3)), F.lit("os eleitos não podem decair. "), F.trim("text"))
     return d.select("doc_id", A.is_open_question(q).alias("open"), F.md5(A.without_opening(A.corrected_polarity(a, q), q)).alias("answer_hash"))
 
 
@@ -188,7 +188,7 @@ ORACLE_SQL = {
         v AS (SELECT *, last_value(CASE WHEN i = 3 THEN 'I' END IGNORE NULLS) OVER (PARTITION BY document_id, p ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inciso,
           last_value(CASE WHEN i = 4 THEN 'a' END IGNORE NULLS) OVER (PARTITION BY document_id, q ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS alinea FROM w)
         SELECT document_id, unit, min(paragraph) AS paragraph, min(inciso) AS inciso, min(alinea) AS alinea, md5(string_agg(line, ' ' ORDER BY line_index)) AS text_hash FROM v GROUP BY document_id, unit""",
-    "answer_polish": rf"""WITH d AS (SELECT doc_id, doc_id % 3 AS q, (doc_id // 3) % 3 AS a, 'os eleitos não podem decair. ' || substr(text, 1, 30) AS rest FROM ({DOCS})),
+    "answer_polish": rf"""WITH d AS (SELECT doc_id, doc_id % 3 AS q, (doc_id // 3) % 3 AS a, 'os eleitos não podem decair. ' || trim(text) AS rest FROM ({DOCS})),
         p AS (SELECT doc_id, q = 0 AS open, CASE WHEN q = 1 THEN ['Não. ', 'Não, ', '**Não** - '][a + 1] ELSE ['Sim. ', 'Não, ', '**Sim** - '][a + 1] END AS o, a, rest FROM d)
         SELECT doc_id, open, md5(CASE WHEN open THEN regexp_replace(CASE WHEN a < 2 THEN rest ELSE o || rest END, '\A\s+|\s+\z', '', 'g') ELSE o || rest END) AS answer_hash FROM p""",
     "article_headings": f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '5' WHEN 1 THEN '12' WHEN 2 THEN '7' END AS number, CASE doc_id % 5 WHEN 0 THEN 'Art. 5º' WHEN 1 THEN 'Art. 12' WHEN 2 THEN 'Art. 7' END AS display,

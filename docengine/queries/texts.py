@@ -24,7 +24,7 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    return d.select("doc_id", F.sha2(T.fold_ascii("text"), 256).alias("folded_hash"), T.slug(F.substring("text", 1, 60)).alias("slug"), F.sha2(T.scope_text("text"), 256).alias("scope_hash"), F.sha2("text", 256).alias("text_hash"))
+    return d.select("doc_id", F.sha2(T.fold_ascii("text"), 256).alias("folded_hash"), F.md5(T.slug("text")).alias("slug_hash"), F.sha2(T.scope_text("text"), 256).alias("scope_hash"), F.sha2("text", 256).alias("text_hash"))
 
 
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def next_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers put before words of each text, parsed again."""
     heads = F.array(*map(F.lit, MARKED))
-    d = documents(spark, sf_dir).select("doc_id", F.concat(F.element_at(heads, (F.col("doc_id") % len(MARKED) + 1).cast("int")), F.lit(" "), F.regexp_replace(F.substring("text", 1, 40), "\\s+", " ")).alias("line"))
+    d = documents(spark, sf_dir).select("doc_id", F.concat(F.element_at(heads, (F.col("doc_id") % len(MARKED) + 1).cast("int")), F.lit(" "), F.regexp_replace("text", "\\s+", " ")).alias("line"))
     d = d.withColumn("m", T.item_marker("line"))
     return d.select("doc_id", F.col("m.kind").alias("kind"), F.col("m.value").alias("value"))
 
@@ -153,7 +153,7 @@ ORACLE_SQL = {
         SELECT doc_id, sha256(regexp_replace(regexp_replace(p, '\A(?:[ \t]*[0-9]{1,3}[ \t]*(?:\n|\z))+', ''), '(?:(?:\n|\A)[ \t]*[0-9]{1,3}[ \t]*)+\z', '')) AS text_hash
         FROM (SELECT doc_id, concat(doc_id % 1000, chr(10), ' 7 ', chr(10), coalesce(text, ''), chr(10), '12', chr(10), ' 3') AS p FROM documents)""",
     "folded": f"""
-        SELECT doc_id, sha256({sql_fold('text')}) AS folded_hash, {sql_slug('substr(text, 1, 60)')} AS slug,
+        SELECT doc_id, sha256({sql_fold('text')}) AS folded_hash, md5({sql_slug('text')}) AS slug_hash,
                sha256(trim(regexp_replace({sql_fold('text')}, '[^a-z0-9]+', ' ', 'g'))) AS scope_hash, sha256(text) AS text_hash FROM ({DOCS})""",
     "word_tokens": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS t, regexp_extract_all({sql_fold('text')}, '\w+') AS w FROM ({DOCS})),
