@@ -89,6 +89,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: F.Colu
     return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled")).select("_id", "_text", "_label")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: rows hold whole texts, and a task holds a batch several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def lasting(name: str, make: Callable[[], T]) -> T:
     """What a Python worker keeps from task to task, one thing at a time: made again when another name is asked for."""
     held = sys.modules.setdefault("_docengine_lasting", types.ModuleType("_docengine_lasting")).__dict__

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import held_out, labelled_sample, text_of
+from docengine.llm.common import held_out, labelled_sample, lasting, text_batches, text_of
 
 #: Terms that name groups of people; those of one line may stand for each other.
 IDENTITY_TERMS = (
@@ -38,7 +39,7 @@ IDENTITY_TERMS = (
 ROWS, BUCKETS, PREFIXES, PENALTY, RIDGE = 8_000, 2**20, (3, 4, 5, 6), 1.0, 2e-4
 #: Steps and rate of the fit; a bucket counts if it is in LEAST_ROWS texts and its share of the two labels' texts differs by LEAST_Z standard errors.
 STEPS, RATE, LEAST_ROWS, LEAST_Z = 150, 0.1, 4, 5.0
-CACHE = 500_000
+CACHE = 200_000
 SWAP = {w: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, w in enumerate(line)}
 
 
@@ -59,21 +60,23 @@ class Model:
 
 
 def _features(sample: DataFrame) -> DataFrame:
-    """(_label, _own, _swapped): buckets of each text, and of the same text with its identity terms swapped (null without such terms)."""
+    """(_label, _own, _times, _swapped): distinct buckets of each text and their counts, and all of the same text with its identity terms swapped (null without such terms)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, swapped = [], []
+            own, times, swapped = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                own.append(np.array([b for w in words for b in buckets(w)], np.int32))
+                found, counts = np.unique(np.array([b for w in words for b in buckets(w)], np.int32), return_counts=True)
+                own.append(found)
+                times.append(counts.astype(np.float32))
                 named = words & SWAP.keys()
                 other = (words - named) | {SWAP[w] for w in named}
                 swapped.append(np.array([b for w in other for b in buckets(w)], np.int32) if named else None)
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(own, kind), pa.array(swapped, kind)], ["_label", "_own", "_swapped"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(own, kind), pa.array(times, pa.list_(pa.float32())), pa.array(swapped, kind)], ["_label", "_own", "_times", "_swapped"])
 
-    return sample.mapInArrow(run, "_label int, _own array<int>, _swapped array<int>")
+    return sample.mapInArrow(run, "_label int, _own array<int>, _times array<float>, _swapped array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> Model:
@@ -89,34 +92,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, rows: in
     y = table.column("_label").to_numpy().astype(np.float64)
     if not len(y):
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    own = table.column("_own").combine_chunks()
-    at = np.repeat(np.arange(len(y)), own.value_lengths().to_numpy())
-    cols = own.flatten().to_numpy()
-    pairs = np.unique(at.astype(np.int64) * BUCKETS + cols)
-    there = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    toxic = np.bincount(pairs % BUCKETS, y[pairs // BUCKETS], BUCKETS)
+    own, other = table.column("_own").combine_chunks(), table.column("_swapped").combine_chunks()
+    at = np.repeat(np.arange(len(y), dtype=np.int32), own.value_lengths().to_numpy())
+    cols, times = own.flatten().to_numpy(), table.column("_times").combine_chunks().flatten().to_numpy()
+    del table, own
+    there = np.bincount(cols, minlength=BUCKETS)
+    toxic = np.bincount(cols[y[at] == 1], minlength=BUCKETS)
     n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
     share = there / len(y)
     z = (toxic / n1 - (there - toxic) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     wide = (there >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)
-    other = table.column("_swapped").combine_chunks()
-    has = np.flatnonzero(~other.is_null().to_numpy(zero_copy_only=False))
     # the change of a text's features under the swap
+    has = np.flatnonzero(~other.is_null().to_numpy(zero_copy_only=False))
     lengths = [len(other[int(i)]) for i in has]
-    change_at = np.concatenate([np.repeat(np.arange(len(has)), lengths), np.searchsorted(has, at[np.isin(at, has)])]).astype(np.int64) if len(has) else np.zeros(0, np.int64)
-    change_cols = np.concatenate([other.flatten().to_numpy(), cols[np.isin(at, has)]]) if len(has) else np.zeros(0, np.int64)
-    change_sign = np.concatenate([np.ones(sum(lengths)), -np.ones(int(np.isin(at, has).sum()))]) if len(has) else np.zeros(0)
+    named = np.isin(at, has)
+    change_at = np.concatenate([np.repeat(np.arange(len(has)), lengths), np.searchsorted(has, at[named])]).astype(np.int64)
+    change_cols = np.concatenate([other.flatten().to_numpy(), cols[named]]).astype(np.int64)
+    change_sign = np.concatenate([np.ones(sum(lengths)), -times[named]])
+    change = wide[change_cols]
+    change_at, change_cols, change_sign = change_at[change], change_cols[change], change_sign[change]
     keep = wide[cols]
-    at, cols = at[keep], cols[keep]
+    at, cols, times = at[keep], cols[keep], times[keep]
     w, bias = np.zeros(BUCKETS), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
     weight /= weight.mean()
     for step in range(1, STEPS + 1):
-        z = np.bincount(at, w[cols], len(y)) + bias
+        z = np.bincount(at, times * w[cols], len(y)) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         error = weight * (p - y) / len(y)
-        g = np.bincount(cols, error[at], BUCKETS) + RIDGE * w
+        g = np.bincount(cols, times * error[at], BUCKETS) + RIDGE * w
         if len(has):
             delta = np.bincount(change_at, change_sign * w[change_cols], len(has))
             g += np.bincount(change_cols, 2 * penalty / len(y) * delta[change_at] * change_sign, BUCKETS)
@@ -138,7 +143,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     kept = [F.col(id_col).alias("_id"), *[F.col(c).alias(f"_carry_{c}") for c in carry]]
     rows = docs.select(*kept, text_of(text_col).alias("_text"))
-    names = rows.columns[:-1]
+    names, name = rows.columns[:-1], uuid.uuid4().hex
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_text")
 
@@ -150,7 +156,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             return s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bias = Scores(), shared.value[1]
+        known, bias = lasting(f"toxicity-{name}", Scores), shared.value[1]
         for batch in batches:
             # sorted: sums of floats do not depend on a set's order
             z = np.array([bias + sum(map(known.__getitem__, sorted(words_of(t)))) for t in batch.column(len(names)).to_pylist()], np.float64)
