@@ -12,12 +12,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import lasting, text_of
+from docengine.llm.common import lasting, text_batches, text_of
 
 #: Characters of a chunk, and how many of the next chunk's it also holds.
 CHUNK, OVERLAP = 32_768, 512
 #: Pre-tokens whose ids a task keeps; the table is emptied when it is full.
-CACHE = 300_000
+CACHE = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -114,6 +114,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     apart. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import written
+from docengine.llm.common import text_batches, written
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -275,6 +275,7 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     without a tree. Broken markup never fails: what cannot be a tag is text.
     Repeated rows are pages of their own. An empty table gives no rows.
     """
+    text_batches(pages.sparkSession)
     host = F.nullif(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select(host.alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_page"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     trees = written(low_branches(rows.select("_host", "_page")), "trees")

@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import components, text_of, written
+from docengine.llm.common import components, lasting, text_batches, text_of, written
 
 #: Words of a k-mer; least similarity; sketches of a text; k-mers of a sketch.
 K, SIMILARITY, SKETCHES, TUPLE = 5, 0.8, 48, 4
 #: Sketches that texts of different components must share; members outside a bucket's largest component beyond which it is split.
 LEAST_SHARED, SPLIT = 13, 2048
-CACHE = 500_000
+CACHE = 200_000
 
 
 class Words(dict):
@@ -112,7 +112,7 @@ def _sketched(docs: DataFrame, k: int, count: int, size: int) -> DataFrame:
     kept = [c for c in docs.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = lasting("words", Words)
         for batch in batches:
             found = [sketches(*kmers(t, words, k), seeds, size) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.list_(pa.int64()))], [*kept, "_sketches"])
@@ -125,7 +125,7 @@ def _kmer_table(docs: DataFrame, k: int) -> DataFrame:
     """(_v, _kmers): each text's distinct k-mers in order of their first occurrence, 64 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = lasting("words", Words)
         for batch in batches:
             found = [runs[label == 0].tobytes() for runs, label in (kmers(t, words, k) for t in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["_v", "_kmers"])
@@ -198,6 +198,7 @@ def near_classes(
     No step has a cap. Null or wordless text is linked to identical texts only. Ties, repeated rows
     and other columns have no influence. An empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     rows = rows.withColumn("_v", F.substring(F.unhex(F.sha2("_text", 256)), 1, 16))
     sketched = _sketched(rows.select("_v", "_text"), k, count, size)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import release, text_of, written
+from docengine.llm.common import release, text_batches, text_of, written
 
 #: Bytes of a string that is removed, and of the strings whose ranks it is the pair of.
 LENGTH = 100
@@ -181,6 +181,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document, each with its result. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_tie"), F.encode(text_of(text_col), "UTF-8").alias("_text"))
 
