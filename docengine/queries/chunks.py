@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
 from docengine.functions import vocab
 from docengine.operators import consolidation as C
 from docengine.operators import chunks as K
-from docengine.queries.common import CHUNKS, DOCS, chunk_rows, documents, sql_list, sql_slug, table
+from docengine.queries.common import CHUNKS, chunk_rows, sql_slug, table
 
 
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
 from docengine.functions import vocab
 from docengine.operators import evaluation as E
 from docengine.operators import questions as Q
-from docengine.queries.common import CHUNKS, DOCS, documents, sql_fold, sql_list, table
+from docengine.queries.common import DOCS, documents, sql_fold, sql_list, table
 from docengine.streaming.events import windowed_counts
 
 #: Questions that are put before the texts of conversations, one after another.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docengine.operators import consolidation as C
 from docengine.operators import retrieval as R
-from docengine.queries.common import CHUNKS, DOCS, chunk_rows, documents, sql_list, table
+from docengine.queries.common import documents, table
 from docengine.queries.chunks import _P, _parents
 
 

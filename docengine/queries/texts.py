@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import text as T
 from docengine.operators import lines as L
-from docengine.queries.common import CHUNKS, DOCS, chunk_rows, documents, sql_fold, sql_list, sql_slug, table
+from docengine.queries.common import DOCS, documents, sql_fold, sql_list, sql_slug
 from docengine.functions import vocab
 
 
