@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,50 +12,67 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import held_out, labelled_sample, text_of
+from docengine.llm.common import held_out, labelled_sample, lasting, text_batches, text_of
 
 #: Training rows at most; buckets of words and of character n-grams, and of word pairs; dimensions; passes; first learning rate.
 ROWS, BUCKETS, DIMENSIONS, PASSES, RATE = 6_000, 2**17, 8, 6, 0.5
 NGRAMS = (2, 3)
-CACHE = 400_000
+CACHE = 200_000
 #: Bucket of a word that follows itself.
 SAME = 0
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams, with marks at both ends."""
+def bucket(piece: str) -> int:
+    return 1 + xxhash.xxh32_intdigest(piece) % (BUCKETS - 1)
+
+
+def grams(word: str) -> dict[str, None]:
+    """The distinct character n-grams of a word with marks at both ends, in order."""
     marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
-    return [1 + xxhash.xxh32_intdigest(x, seed) % (BUCKETS - 1) for seed, xs in ((1, (word,)), (2, sorted(grams))) for x in xs]
+    return dict.fromkeys([marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)])
+
+
+class Known(dict):
+    """What f gives for pieces, computed once each while they fit."""
+
+    def __init__(self, f):
+        self.f = f
+
+    def __missing__(self, piece: str):
+        if len(self) >= CACHE:
+            self.clear()
+        x = self[piece] = self.f(piece)
+        return x
 
 
 class Vocabulary:
-    """Words as numbers into growing arrays: of each word its hash, and its buckets (in training) or what they add up to."""
+    """Words as numbers into growing arrays: of each word its hash, and its buckets (in training) or what their projections add up to."""
 
     def __init__(self, projected: np.ndarray | None = None):
         self.projected = projected
+        self.hashes, self.sums, self.counts = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16), np.zeros(1 << 16, np.int64)
+        self.pieces = Known(bucket if projected is None else lambda piece: float(projected[bucket(piece)]))
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.hashes: list[int] = []
         self.buckets: list[list[int]] = []
-        self.sums: list[float] = []
-        self.counts: list[int] = []
 
     def number(self, word: str) -> int:
-        n = self.ids[word] = len(self.hashes)
-        found = features(word)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        n = self.ids[word] = len(self.ids)
+        if n >= len(self.hashes):
+            self.hashes, self.sums, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.sums, self.counts))
+        inner, whole = grams(word), f"<{word}>"
+        self.hashes[n] = xxhash.xxh3_64_intdigest(word)
         if self.projected is None:
-            self.buckets.append(found)
+            self.buckets.append([bucket(whole), *map(self.pieces.__getitem__, inner)])
         else:
-            self.sums.append(float(self.projected[found].sum(dtype=np.float64)))
-            self.counts.append(len(found))
+            self.sums[n] = self.projected[bucket(whole)] + sum(map(self.pieces.__getitem__, inner))
+            self.counts[n] = 1 + len(inner)
         return n
 
     def text(self, words: list[str]) -> np.ndarray:
-        if len(self.hashes) >= CACHE:
+        if len(self.ids) >= CACHE:
             self.clear()
         get, number = self.ids.get, self.number
         return np.fromiter((n if (n := get(w)) is not None else number(w) for w in words), np.int64, len(words))
@@ -88,7 +106,7 @@ def _features(sample: DataFrame) -> DataFrame:
                 words, times = np.unique(at, return_counts=True)
                 found = [np.repeat(np.array(known.buckets[w]), n) for w, n in zip(words.tolist(), times.tolist(), strict=True)]
                 if len(at) > 1:
-                    found.append(pair_buckets(np.array([known.hashes[w] for w in at.tolist()], np.uint64)))
+                    found.append(pair_buckets(known.hashes[at]))
                 b, c = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
                 ids.append(b.astype(np.int32))
                 counts.append(c.astype(np.int32))
@@ -146,19 +164,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     direction = (model.output[1] - model.output[0]).astype(np.float64)
     shared = docs.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float64) @ direction, float(model.bias[1] - model.bias[0])))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    name = uuid.uuid4().hex
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projected, bias = shared.value
-        known = Vocabulary(projected)
+        known = lasting(f"quality-{name}", lambda: Vocabulary(projected))
         for batch in batches:
             z = []
             for text in batch.column(1).to_pylist():
                 at = known.text(text.split())
-                words = at.tolist()
-                total = sum(map(known.sums.__getitem__, words))
-                n = sum(map(known.counts.__getitem__, words))
-                if len(words) > 1:
-                    pairs = pair_buckets(np.fromiter(map(known.hashes.__getitem__, words), np.uint64, len(words)))
+                total = float(known.sums[at].sum())
+                n = int(known.counts[at].sum())
+                if len(at) > 1:
+                    pairs = pair_buckets(known.hashes[at])
                     total += float(projected[pairs].sum())
                     n += len(pairs)
                 z.append(bias + total / max(n, 1))
