@@ -19,7 +19,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_classes(table(spark, sf_dir, "documents"))
     sizes = found.groupBy("_class").agg(F.count("*").alias("class_size"))
     out = found.join(sizes, "_class").select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"), "class_size")
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
