@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,8 @@ from docengine.llm.common import lasting, text_batches, text_of
 
 #: Characters of a chunk, and how many of the next chunk's it also holds.
 CHUNK, OVERLAP = 32_768, 512
-#: Pre-tokens whose ids a task keeps; the table is emptied when it is full.
-CACHE = 200_000
+#: Pre-tokens whose ids a worker keeps in each of two tables; when the younger is full it replaces the older, so what is in use stays.
+CACHE = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,16 +31,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(piece) > 500:
         return _merge_long(piece, ranks)
+    get, none = ranks.get, len(ranks) + 2**32
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (best := min(pairs)) != none:
+        i = pairs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
     return [ranks[p] for p in parts]
 
 
@@ -83,13 +83,16 @@ class PieceIds(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = merge(piece.encode(), self.ranks)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(piece)
+        if out is None:
+            out = b"".join([x.to_bytes(4, "little") for x in merge(piece.encode(), self.ranks)])
         if len(piece) < 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
             self[piece] = out
         return out
 
