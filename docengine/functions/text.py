@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions import vocab
@@ -113,6 +113,21 @@ def normalized_page(x: Column | str) -> Column:
     return F.struct(now.alias("text"), F.when(F.size(actions) == 0, F.array(F.lit("no_changes"))).otherwise(actions).alias("actions"))
 
 
+def normalized_pages(pages: DataFrame, text: str = "text") -> DataFrame:
+    """pages with page_text and actions, as normalized_page() gives them; each step is a column, so none is computed again inside the next."""
+    steps = [(name, lambda x, pattern=pattern, put=put: F.regexp_replace(x, pattern, put)) for name, pattern, put in STEPS]
+    steps += [
+        ("normalized_whitespace", squeeze_lines), ("removed_isolated_page_number", strip_page_numbers),
+        ("normalized_excess_blank_lines", lambda x: F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")),
+    ]
+    out = pages.withColumn("_t0", F.col(text))
+    for n, (_, step) in enumerate(steps):
+        out = out.withColumn(f"_t{n + 1}", step(F.col(f"_t{n}")))
+    actions = F.array_compact(F.array(*[F.when(F.col(f"_t{n}") != F.col(f"_t{n + 1}"), F.lit(name)) for n, (name, _) in enumerate(steps)]))
+    out = out.withColumn("page_text", F.col(f"_t{len(steps)}")).withColumn("actions", F.when(F.size(actions) == 0, F.array(F.lit("no_changes"))).otherwise(actions))
+    return out.drop(*[f"_t{n}" for n in range(len(steps) + 1)])
+
+
 def truncated(x: Column | str, limit: Column | int) -> Column:
     """Texts over the limit cut so that the mark fits."""
     x, limit = _col(x), limit if isinstance(limit, Column) else F.lit(limit)

@@ -12,8 +12,8 @@ from docengine.functions import vocab
 
 
 def norm_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).select("doc_id", T.normalized_page("text").alias("p"))
-    return d.select("doc_id", F.sha2("p.text", 256).alias("text_hash"), F.length("p.text").cast("long").alias("n_chars"), F.array_join("p.actions", ",").alias("actions"))
+    d = T.normalized_pages(documents(spark, sf_dir))
+    return d.select("doc_id", F.sha2("page_text", 256).alias("text_hash"), F.length("page_text").cast("long").alias("n_chars"), F.array_join("actions", ",").alias("actions"))
 
 
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
