@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,8 +17,8 @@ from docengine.llm.common import components, lasting, text_batches, text_of, wri
 
 #: Words of a k-mer; least similarity; sketches of a text; k-mers of a sketch.
 K, SIMILARITY, SKETCHES, TUPLE = 5, 0.8, 48, 4
-#: Sketches that texts of different components must share; members outside a bucket's largest component beyond which it is split.
-LEAST_SHARED, SPLIT = 13, 2048
+#: Members outside a bucket's largest component beyond which it is split; cells of the table of k-mer frequencies.
+SPLIT, CELLS = 4, 2**18
 CACHE = 200_000
 
 
@@ -122,15 +123,15 @@ def _sketched(docs: DataFrame, k: int, count: int, size: int) -> DataFrame:
 
 
 def _kmer_table(docs: DataFrame, k: int) -> DataFrame:
-    """(_v, _kmers): each text's distinct k-mers in order of their first occurrence, 64 bits each."""
+    """(_v, _kmers, _size): each text's distinct k-mers in order of their first occurrence, 64 bits each, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lasting("words", Words)
         for batch in batches:
             found = [runs[label == 0].tobytes() for runs, label in (kmers(t, words, k) for t in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["_v", "_kmers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([len(x) // 8 for x in found], pa.int64())], ["_v", "_kmers", "_size"])
 
-    return docs.mapInArrow(run, "_v binary, _kmers binary")
+    return docs.mapInArrow(run, "_v binary, _kmers binary, _size long")
 
 
 def _verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
@@ -148,27 +149,64 @@ def _verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """buckets (_key, _v) of more than one component: each member's component _c, whether that is the bucket's largest (_main), and the number _others of members outside it."""
-    buckets = buckets.join(labels.withColumnsRenamed({"id": "_v", "component": "_l"}), "_v", "left").select("_key", "_v", F.coalesce("_l", "_v").alias("_c"))
+    """buckets (_key, _v, _at, _size) of more than one component, with each member's component _c, whether that is the bucket's largest (_main), and the number _others of members outside it."""
+    buckets = buckets.join(labels.withColumnsRenamed({"id": "_v", "component": "_l"}), "_v", "left").withColumn("_c", F.coalesce("_l", "_v")).drop("_l")
     parts = buckets.groupBy("_key", "_c").agg(F.count("*").alias("_n"))
     sizes = parts.groupBy("_key").agg(F.max_by("_c", F.struct("_n", "_c")).alias("_largest"), (F.sum("_n") - F.max("_n")).alias("_others")).where("_others > 0")
-    return buckets.join(sizes, "_key").select("_key", "_v", "_c", (F.col("_c") == F.col("_largest")).alias("_main"), "_others")
+    return buckets.join(sizes, "_key").withColumn("_main", F.col("_c") == F.col("_largest")).drop("_largest")
 
 
-def _crossing(members: DataFrame, depth: int) -> DataFrame:
-    """Pairs (a, b) of members (_key, _v, _c, _main, _sketches, _first .. of depth) from different components that share LEAST_SHARED sketches.
-
-    A pair is made only in the bucket of the first sketches it shares, so once.
-    """
+def _crossing(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members (_key, _v, _c, _main, _at, _size) of a bucket from different components whose k-mers from _at on are enough for a similarity of `least`."""
     left = members.where("not _main").select(*[F.col(c).alias(f"{c}_a") for c in members.columns])
     right = members.select(*[F.col(c).alias(f"{c}_b") for c in members.columns])
-    shared = F.array_intersect("_sketches_a", "_sketches_b")
-    meet = (F.col("_key_a") == F.col("_key_b")) & (F.col("_c_a") != F.col("_c_b")) & (F.col("_main_b") | (F.col("_v_a") < F.col("_v_b"))) & (F.size(shared) >= LEAST_SHARED)
-    for n in range(depth):
-        meet = meet & (shared[n] == F.col(f"_s{n}_a"))
+    enough = F.least(F.col("_size_a") - F.col("_at_a"), F.col("_size_b") - F.col("_at_b")) >= (F.col("_size_a") + F.col("_size_b")) * (least / (1 + least)) - 1e-9
+    meet = (F.col("_key_a") == F.col("_key_b")) & (F.col("_c_a") != F.col("_c_b")) & (F.col("_main_b") | (F.col("_v_a") < F.col("_v_b"))) & enough
     return left.join(right, meet).select(F.least("_v_a", "_v_b").alias("a"), F.greatest("_v_a", "_v_b").alias("b"))
 
 
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How often the k-mers of texts (_v, _kmers) fall into each of CELLS cells: a table of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) % np.uint64(CELLS), minlength=CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array([x.tobytes() for x in np.split(total, 64)])], ["_part", "_counts"])
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_part": parts["_part"][:1], "_counts": [sum(np.frombuffer(x, np.int64) for x in parts["_counts"]).tobytes()]})
+
+    kinds = "_part long, _counts binary"
+    parts = dict(map(tuple, texts.select("_kmers").mapInArrow(count, kinds).groupBy("_part").applyInPandas(add, kinds).collect()))
+    return np.concatenate([np.frombuffer(parts.get(n, bytes(CELLS // 8)), np.int64) for n in range(64)])
+
+
+def _prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """Buckets (_key, _v, _at, _size) of texts (_v, _kmers, _size) by k-mers, in which all pairs of similarity `least` meet.
+
+    K-mers are put in order of their cell's frequency, then of hash. Texts of n
+    k-mers that share `least` of them share one of the first n - least n + 1 in
+    any order that holds for all texts; _at is its place. So a passage that many
+    texts have brings only those together that have little else.
+    """
+    often = _frequencies(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for x in batch.column(1).to_pylist():
+                own = np.frombuffer(x, np.uint64)
+                most = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                keys.append(own[np.lexsort((own, often[own % np.uint64(CELLS)]))[:most]].view(np.int64))
+            if keys:
+                of = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
+                columns = [pa.array(np.concatenate(keys)), batch.column(0).take(of), pa.array(np.concatenate([np.arange(len(x)) for x in keys])), batch.column(2).take(of)]
+                yield pa.RecordBatch.from_arrays(columns, ["_key", "_v", "_at", "_size"])
+
+    return texts.select("_v", "_kmers", "_size").mapInArrow(run, "_key long, _v binary, _at long, _size long")
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, similarity: float = SIMILARITY, count: int = SKETCHES, size: int = TUPLE, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -189,11 +227,11 @@ def near_classes(
        texts in all its buckets, as an original meets its copies; the links' components follow. A bucket of one component is done, so a group of
        thousands of near copies costs one comparison per member and sketch.
     4. In buckets with several components, members outside the largest one are
-       aligned with those of other components with which they share
-       LEAST_SHARED sketches: a pair of similarity 0.8 shares 20 of 48 on
-       average and fewer than 13 twice in 100 times, one of 0.85 fewer than 13 once in
-       10,000 times; texts that share half their words rarely share 13. Where more than SPLIT members are outside, as
-       a very common passage makes them, the bucket is first split by a second sketch.
+       aligned with all members of other components whose length allows the
+       similarity. Buckets with more than SPLIT members outside, as a very common
+       passage makes them, are dealt anew by the rarest k-mers of each text, one of
+       which any two texts of that similarity share. So every pair that shares a
+       bucket is aligned, linked through others, or cannot be similar enough.
 
     No step has a cap. Null or wordless text is linked to identical texts only. Ties, repeated rows
     and other columns have no influence. An empty table gives no rows.
@@ -215,11 +253,13 @@ def near_classes(
     spokes = buckets.join(pivots, "_key").where("_v <> _pivot").select(F.least("_v", "_pivot").alias("a"), F.greatest("_v", "_pivot").alias("b"))
     stars = written(spokes.distinct(), "stars")
     edges = written(_verified(stars, table, similarity), "links")
-    open_ = written(_open(buckets, components(edges)).join(vertices, "_v").withColumn("_s0", F.col("_key")), "open")
-    pairs = _crossing(open_.where(F.col("_others") <= SPLIT).drop("_others"), 1)
-    large = open_.where(F.col("_others") > SPLIT).drop("_others").withColumn("_s1", F.explode("_sketches"))
-    large = large.where(F.array_position("_sketches", F.col("_s1")) > F.array_position("_sketches", F.col("_s0"))).withColumn("_key", F.xxhash64("_s0", "_s1"))
-    pairs = pairs.union(_crossing(large, 2)).join(stars, ["a", "b"], "left_anti")
+    labels = components(edges)
+    sized = buckets.join(table.select("_v", "_size"), "_v").withColumn("_at", F.lit(0).cast("long"))
+    open_ = written(_open(sized, labels), "open")
+    pairs = _crossing(open_.where(F.col("_others") <= SPLIT), similarity)
+    large = written(table.join(open_.where(F.col("_others") > SPLIT).select("_v").distinct(), "_v", "left_semi"), "large")
+    dealt = written(_open(written(_prefixes(large, similarity), "prefixes"), labels), "dealt")
+    pairs = pairs.union(_crossing(dealt, similarity)).distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(written(pairs, "crossing"), table, similarity)
     labels = components(written(edges.union(more), "links"))
     owner = rows.select("_id", "_v", *[f"_carry_{c}" for c in carry])

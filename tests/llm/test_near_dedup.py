@@ -64,6 +64,31 @@ def test_near_classes(frame, monkeypatch, split):
     assert sorted(map(tuple, got)) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("split", [2048, 2])
+def test_pairs_beside_a_hot_passage(frame, monkeypatch, split):
+    """Pairs of similarity 0.80 to 0.87 that repeat a phrase differently often, in buckets whose pivots are texts of the same passage that neither is similar to."""
+    monkeypatch.setattr(near_dedup, "SPLIT", split)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(6))
+    rows = []
+    add = lambda words: rows.append((len(rows) + 1, " ".join(words)))
+    for n in range(16):
+        passage, phrase = [word() for _ in range((60, 24)[n % 2])], [word() for _ in range(5)]
+        copies = [passage + phrase * times + [word() for _ in range((5, 3)[n % 2])] for times in (12, 30)]
+        a, b = (shingles(" ".join(c)) for c in copies)
+        assert 0.8 <= len(a & b) / len(a | b) < 0.87
+        for c in copies:
+            add(c)
+        for _ in range(20):
+            other = [word() for _ in range(len(passage) // 3)]
+            add(passage + phrase * 2 + other)
+            add(passage + phrase * 2 + other + [word()])
+    want = brute_classes(rows)
+    assert len({c for _, c in want}) == 336
+    got = near_dedup.near_classes(frame([(i, t, "s") for i, t in rows])).select("_id", "_class").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_empty(frame):
     assert near_dedup.near_classes(frame([])).count() == 0
     assert near_dedup.near_classes(frame([(None, "a b", "s"), (None, None, "s")])).count() == 2
