@@ -125,6 +125,21 @@ def test_plan(spark):
     assert [(r["question_id"], r["can_answer"]) for r in got] == [(1, True)] and got[0]["context_count"] <= 4 and got[0]["total_chars"] <= 18_000
 
 
+def test_plan_expands_parents(spark):
+    """Small parents come whole, large ones with neighbours, lone chunks as anchors; questions without hits get a row."""
+    word = lambda i: f"batismo graca alvo{i}"
+    rows = [(1, "d1", "small", 1, word(1)), (2, "d1", "small", 2, "irma dois"), (3, "d1", "small", 3, "irma tres"), (4, "d2", "lone", 4, word(4))]
+    rows += [(10 + i, "d3", "large", 10 + i, word(13) if i == 3 else f"parte{i} " + "x" * 3000) for i in range(6)] + [(30, "d4", "long", 30, word(30) + "z" * 20_000)]
+    chunks = spark.createDataFrame([(*r[:4], "doctrinal_article", "catechism", r[4]) for r in rows], "chunk_id int, document_id string, parent_key string, position int, chunk_type string, document_type string, text string")
+    asked = spark.createDataFrame([(1, "alvo1"), (4, "alvo4"), (13, "alvo13"), (30, "alvo30" + "z" * 20_000), (99, "zzz qqq")], "question_id int, text string")
+    got = {r["question_id"]: r for r in decisions(chunks, asked, unanswered=True).collect()}
+    assert got[1]["context_text"] == f"{word(1)}\n\nirma dois\n\nirma tres" and got[1]["statuses"] == ["expanded"]
+    assert got[4]["context_text"] == word(4) and got[4]["statuses"] == ["anchor_only"]
+    assert [x.split()[0] for x in got[13]["context_text"].split("\n\n")] == ["batismo", "parte2", "parte4"] and got[13]["total_chars"] == len(got[13]["context_text"])
+    assert got[30]["total_chars"] == 18_000 and got[30]["context_text"].endswith("LIMITE DE CONTEXTO]")
+    assert (got[99]["reason"], got[99]["can_answer"], got[99]["context_count"]) == ("no_context", False, 0)
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, f"2024-01-01 0{i % 3}:10:00", 1, "click", 1.5, "{}") for i in range(9)]
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
