@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,6 +120,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     spark: SparkSession = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
+    # workers keep the ids of pre-tokens from task to task, for this vocabulary only
+    name = "bpe-" + hashlib.sha256(repr(sorted((r, b) for b, r in ranks.items())).encode()).hexdigest()
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     length = F.char_length("_text")
@@ -161,7 +164,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        known = lasting("bpe", lambda: PieceIds(shared.value)).__getitem__
+        known = lasting(name, lambda: PieceIds(shared.value)).__getitem__
         for batch in batches:
             out = [b"".join(map(known, find(text))) for text in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())], ["_id", "_row", "_piece", "_ids"])

@@ -102,6 +102,16 @@ def test_repetition(frame):
     assert repetition.repetition_coverage(frame([])).count() == 0
 
 
+def test_bpe_of_two_vocabularies(frame):
+    """A reused worker encodes with the ranks it is given, not with those of the task before."""
+    up = {bytes([i]): i for i in range(256)}
+    down = {bytes([i]): 255 - i for i in range(256)}
+    docs = frame([(1, "ab c", "s")]).coalesce(1)
+    for ranks in (up, down, up, down):
+        got = bpe.encode(docs, ranks, public_tokenizers.PATTERN)[0].collect()
+        assert [bytes(r["_ids"]) for r in got] == [b"".join(ranks[bytes([x])].to_bytes(4, "little") for x in b"ab c")]
+
+
 def test_bpe(frame):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
