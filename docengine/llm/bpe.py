@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import lasting, text_batches, text_of
+from docengine.llm.common import lasting, slices, text_of
 
 #: Characters of a chunk, and how many of the next chunk's it also holds.
 CHUNK, OVERLAP = 32_768, 512
@@ -118,7 +118,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     apart. An empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
-    text_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
     # workers keep the ids of pre-tokens from task to task, for this vocabulary only
     name = "bpe-" + hashlib.sha256(repr(sorted((r, b) for b, r in ranks.items())).encode()).hexdigest()
@@ -138,7 +137,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).finditer
-        for batch in batches:
+        for batch in slices(batches):
             heads, tails = [], []
             for k, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 at = [m.start() for m in find(text)]
@@ -165,7 +164,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         known = lasting(name, lambda: PieceIds(shared.value)).__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             out = [b"".join(map(known, find(text))) for text in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())], ["_id", "_row", "_piece", "_ids"])
 
@@ -181,7 +180,7 @@ def decode(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for x in batch.column(place):
                 raw = x.as_py() or b""

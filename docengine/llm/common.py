@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import count
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,23 +26,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; a cluster session is refused."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
     return found
 
 
-def written(df: DataFrame, name: str = "part") -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends and the planner knows the size."""
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str = "part", slot: str | None = None) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: lineage ends and the planner knows the size.
+
+    The shuffle files behind the rows are dropped when the write has ended: what
+    follows reads the table. With slot, a table written under the same name and slot before is replaced.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docengine-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/docengine-{name}-{slot or uuid.uuid4().hex}"
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows. Spark ends a batch of texts at spark.sql.execution.arrow.maxBytesPerBatch; what a task makes of one slice is a part of that."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_of(column: str) -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -50,24 +80,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round joins the neighbours' labels and the label's own label (pointer
     jumping), so that the rounds grow with the logarithm of a chain's length.
-    A vertex with very many neighbours is reduced by partial aggregation.
+    A vertex with very many neighbours is reduced by partial aggregation. The
+    tables of a round replace those of the round before the last.
     """
-    both = written(
-        edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(),
-        "edges",
-    )
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
-    while True:
+    run = uuid.uuid4().hex
+    both = written(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels", f"{run}-0")
+    for n in count(1):
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         step = labels.join(near, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
-        step = written(step, "step")
+        step = written(step, "step", run)
         up = step.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        after = written(
-            step.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"), "was"), "labels"
-        )
+        after = written(step.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"), "was"), "labels", f"{run}-{n % 2}")
         if after.where("component <> was").isEmpty():
-            return after.select("id", "component")
+            break
         labels = after.select("id", "component")
+    return after.select("id", "component")
 
 
 def held_out(id_column: str, modulus: int, remainder: int) -> F.Column:
@@ -89,22 +117,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: F.Colu
     return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled")).select("_id", "_text", "_label")
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000: rows hold whole texts, and a task holds a batch several times."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
-
-
 def lasting(name: str, make: Callable[[], T]) -> T:
     """What a Python worker keeps from task to task, one thing at a time: made again when another name is asked for."""
     held = sys.modules.setdefault("_docengine_lasting", types.ModuleType("_docengine_lasting")).__dict__
     if held.get("name") != name:
         held["name"], held["value"] = name, make()
     return held["value"]
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that nobody holds any more; a driver that rarely fills its heap would keep them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

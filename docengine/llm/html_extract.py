@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import text_batches, written
+from docengine.llm.common import slices, written
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -21,7 +21,7 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"\b(class|id|role|href|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start of one of the first closes an open one of the second.
@@ -37,17 +37,25 @@ DROP_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset(("header", "topbar", "branding"))
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
-#: A style node counts from so many pages and this part of its host's; branches up to this importance go; decay of a level.
-LEAST_PAGES, LEAST_PART, LEAST_IMPORTANCE, DECAY = 5, 0.01, 0.3, 0.9
+#: Containers that their place among equal siblings tells apart where they have no class or id, up to the place MOST_PLACES.
+PLACED = frozenset("div section table ul ol dl td form aside nav header footer".split())
+MOST_PLACES = 9
+#: Elements nested deeper belong to the style node at this depth.
+DEPTH = 64
+#: What ends a piece of text that is counted as one feature.
+PIECE = re.compile(r"[.!?;:|\u00b7\u2022]+")
+#: A style node counts from so many pages; a branch goes if its importance is this far below its host's mean; pages that the same node on all hosts weighs; decay of a level.
+LEAST_PAGES, GAP, PRIOR_PAGES, DECAY = 5, 0.1, 50, 0.9
 
 
 class Node:
-    """An open element: its place in the style tree, whether it goes, and whether it is inside an article or main part."""
+    """An open element: its place in the style tree and those above it, what says that it goes (a low branch, or a name), and whether it is inside an article or main part."""
 
-    __slots__ = ("tag", "path", "drop", "article", "main", "named")
+    __slots__ = ("tag", "path", "chain", "low", "drop", "article", "main", "named", "places")
 
-    def __init__(self, tag: str, path: int, drop: bool, article: bool, main: bool, named: bool):
-        self.tag, self.path, self.drop, self.article, self.main, self.named = tag, path, drop, article, main, named
+    def __init__(self, tag: str, path: int, chain: tuple[int, ...], low: bool, drop: bool, article: bool, main: bool, named: bool):
+        self.tag, self.path, self.chain, self.low, self.drop, self.article, self.main, self.named = tag, path, chain, low, drop, article, main, named
+        self.places: dict[str, int] = {}
 
 
 class Parser:
@@ -63,9 +71,9 @@ class Parser:
             p = self.paths[parent, signature] = xxhash.xxh3_64_intdigest(f"{parent}>{signature}") - 2**63
         return p
 
-    def read(self, page: str, low: frozenset[int] = frozenset(), tree: dict | None = None) -> list[tuple[str, Node]]:
-        """(text, node) of each block that is not dropped, in page order; with tree, also path -> (parent, signatures of its children)."""
-        root = Node("", 0, False, False, False, False)
+    def read(self, page: str, low: frozenset[int] = frozenset(), tree: dict | None = None, links: list | None = None) -> list[tuple[str, Node]]:
+        """(text, node) of each block, in page order; with tree, also path -> (paths above, paths of its children), with links also (path, target)."""
+        root = Node("", 0, (), False, False, False, False, False)
         stack, blocks, pieces = [root], [], []
         holder = root
 
@@ -78,7 +86,7 @@ class Parser:
         at = 0
         for token in TOKEN.finditer(page):
             top = stack[-1]
-            if token.start() > at and (tree is not None or not top.drop):
+            if token.start() > at:
                 if not pieces:
                     holder = top
                 pieces.append(page[at : token.start()])
@@ -111,23 +119,22 @@ class Parser:
                     break
                 if stack[i].tag in FENCE:
                     break
-            node = self.open(tag, token["attributes"], stack[-1], inline)
+            node = self.open(tag, token["attributes"], stack[-1], inline, links)
             if tree is not None and not inline:
-                # a path's children, once for each page and kind
-                tree.setdefault(stack[-1].path, (0, []))[1].append(node.path)
-                tree.setdefault(node.path, (stack[-1].path, []))
+                tree.setdefault(stack[-1].path, (stack[-1].chain, []))[1].append(node.path)
+                tree.setdefault(node.path, (node.chain, []))
             if node.path in low and not inline and tag not in ("html", "body") and (node.named or not (node.article or node.main)):
-                node.drop = True
+                node.low = True
             if not token["attributes"].endswith("/") or tag not in ("br", "hr"):
                 stack.append(node)
-        if at < len(page) and (tree is not None or not stack[-1].drop):
+        if at < len(page):
             if not pieces:
                 holder = stack[-1]
             pieces.append(page[at:])
         flush()
         return blocks
 
-    def open(self, tag: str, attributes: str, parent: Node, inline: bool) -> Node:
+    def open(self, tag: str, attributes: str, parent: Node, inline: bool, links: list | None = None) -> Node:
         drop, named, signature = parent.drop or tag in DROP_TAGS, parent.named and parent.article, tag
         article, main = parent.article or tag == "article", parent.main or tag == "main"
         if tag == "header" and not article:
@@ -141,6 +148,9 @@ class Parser:
                     signature += f".{value}"
                     named = True
                     words.update(re.split(r"[^a-z]+", value))
+                elif name == "href":
+                    if links is not None and tag == "a" and value:
+                        links.append((parent.path, value))
                 elif name == "role":
                     drop = drop or value in DROP_ROLES
                     main = main or value == "main"
@@ -154,141 +164,157 @@ class Parser:
                     drop = True
                 elif words & HEADER_WORDS and not article and not words & CONTENT_WORDS:
                     drop = True
-        return Node(tag, parent.path if inline else self.path(parent.path, signature), drop, article, main, named)
-
-
-def main_text(parser: Parser, page: str, low: frozenset[int]) -> str:
-    """The blocks of a page's articles, else of its main part, else of all that is not dropped."""
-    blocks = [(t, n) for t, n in parser.read(page, low) if not n.drop]
+        if inline or len(parent.chain) >= DEPTH:
+            return Node(tag, parent.path, parent.chain, parent.low, drop, article, main, named)
+        if signature == tag and tag in PLACED:
+            place = parent.places[tag] = min(parent.places.get(tag, 0) + 1, MOST_PLACES)
+            signature = f"{tag}:{place}"
+        return Node(tag, self.path(parent.path, signature), (*parent.chain, parent.path), parent.low, drop, article, main, named)
+
+
+def main_text(parser: Parser, page: str, low: frozenset[int]) -> tuple[str, int, int]:
+    """The blocks of a page's articles, else of its main part, else of all, without what goes; and how many blocks low branches and, of the others, names took away."""
+    every = parser.read(page, low)
+    kept = [(t, n) for t, n in every if not n.low]
+    by_tree = len(every) - len(kept)
+    blocks = [(t, n) for t, n in kept if not n.drop]
     for part in ("article", "main"):
         if any(getattr(n, part) for _, n in blocks):
             blocks = [(t, n) for t, n in blocks if getattr(n, part)]
             break
-    return "\n".join(t for t, _ in blocks)
+    return "\n".join(t for t, _ in blocks), by_tree, len(kept) - len(blocks)
+
+
+def features(text: str) -> set[str]:
+    """The pieces between a block's sentence marks, in lower case."""
+    return {p for x in PIECE.split(text.lower()) if (p := x.strip())}
 
 
 def _style_rows(pages: DataFrame) -> DataFrame:
-    """(_host, _path, _parent, _kind, _value), once for each page: of each style path the hash of its children (kind 0) and of each text block in it (kind 1)."""
+    """(_host, _path, _chain, _kind, _value, _c): on how many of a batch's pages a style path has these children (kind 0, _value their hash, _chain the paths above) or holds this piece of text or link (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
-        for batch in batches:
-            hosts, rows = [], []
+        for batch in slices(batches):
+            counts: Counter = Counter()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tree: dict = {}
-                blocks = parser.read(page, tree=tree)
-                own = {(p, parent, 0, xxhash.xxh3_64_intdigest(np.array(children, np.int64).tobytes()) - 2**63) for p, (parent, children) in tree.items()}
-                own |= {(n.path, tree.get(n.path, (0,))[0], 1, xxhash.xxh3_64_intdigest(t) - 2**63) for t, n in blocks}
-                hosts += [host] * len(own)
-                rows += own
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True))], ["_host", "_path", "_parent", "_kind", "_value"])
-
-    return pages.mapInArrow(run, "_host string, _path long, _parent long, _kind int, _value long")
-
-
-def importance(tree: pd.DataFrame) -> dict[int, float]:
-    """path -> the largest composite importance in its branch, from the rows (path, parent, m pages, styles entropy, content importance or NaN) of one host.
-
-    A path without children has its content's importance. Another has
-    (1 - DECAY) times the entropy of its children's presentations plus DECAY
-    times the mean of its children and of its own content, by pages. A branch
-    is noise only if all of it is.
+                links: list = []
+                blocks = parser.read(page, tree=tree, links=links)
+                tree.setdefault(0, ((), []))
+                counts.update((host, p, chain, 0, np.array(children, np.int64).tobytes()) for p, (chain, children) in tree.items())
+                counts.update({(host, n.path, None, 1, piece) for t, n in blocks for piece in features(t)} | {(host, p, None, 1, f">{x}") for p, x in links})
+            hosts, paths, chains, kinds, values = zip(*counts, strict=True) if counts else ((),) * 5
+            hashes = [xxhash.xxh3_64_intdigest(v) - 2**63 for v in values]
+            columns = [pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(chains, pa.list_(pa.int64())), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_host", "_path", "_chain", "_kind", "_value", "_c"])
+
+    return pages.mapInArrow(run, "_host string, _path long, _chain array<long>, _kind int, _value long, _c long")
+
+
+def _spread(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _texts and _logs: how many features the nodes have, and the sum of the logarithms of the pages that have them; counts holds _value and _c."""
+    of = counts.groupBy(*keys, "_value").agg(F.sum("_c").alias("_c"))
+    return of.groupBy(*keys).agg(F.count("*").alias("_texts"), F.sum(F.log("_c")).alias("_logs"))
+
+
+def style_tree(pages: DataFrame, prior_pages: int = PRIOR_PAGES) -> DataFrame:
+    """_host, _path, _chain, _m, _all (pages that have it, on the host and on all hosts), _texts, _content, _styles, _importance: the nodes of the style trees of all hosts of pages (_host, _page), each with its own importance.
+
+    Pages of one host are merged: a node is a style path, the elements (with class
+    and id, else the place of a container among its equals) from the root down.
+    Counts are aggregated in the tasks before every shuffle, so a host with a third of
+    all pages is no hot key.
+
+    Content: the features of a node are its pieces of text between sentence marks
+    and its link targets. A feature on c of the node's m pages has the
+    entropy log c / log m; the content importance is one less the mean over the
+    distinct features, so copies of one article weigh as one text. A host with few
+    pages says little about them: prior_pages pages of weight stand for the same node on
+    the pages of all hosts.
+
+    Presentation: the entropy of the distribution of a node's children over its pages.
+    A node with both has their mean, weighted by DECAY in favour of content.
     """
-    children: dict[int, list[int]] = {}
-    rows = {r.path: r for r in tree.itertuples()}
-    for p, r in rows.items():
-        if p and r.parent != p:
-            children.setdefault(r.parent, []).append(p)
-    found: dict[int, float] = {}
-    most: dict[int, float] = {}
-    todo = [p for p, r in rows.items() if r.parent not in rows or p == 0]
-    order = []
-    while todo:
-        p = todo.pop()
-        order.append(p)
-        todo += children.get(p, [])
-    for p in reversed(order):
-        r = rows[p]
-        parts = [(rows[c].m, found[c]) for c in children.get(p, []) if c in found]
-        if r.content == r.content:
-            parts.append((r.m, r.content))
-        inner = sum(m * x for m, x in parts) / sum(m for m, _ in parts) if parts else (1.0 if not children.get(p) else r.styles)
-        found[p] = (1 - DECAY) * r.styles + DECAY * inner if children.get(p) else inner
-        most[p] = max([found[p], *(most[c] for c in children.get(p, []) if c in most)])
-    return most
-
-
-def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, least_part: float = LEAST_PART, threshold: float = LEAST_IMPORTANCE) -> DataFrame:
+    counted = written(_style_rows(pages.where("_host is not null")).groupBy("_host", "_path", "_chain", "_kind", "_value").agg(F.sum("_c").alias("_c")), "styles")
+    m = F.col("_m").cast("double")
+    styles = counted.where("_kind = 0").groupBy("_host", "_path", "_chain").agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.log("_c")).alias("_clogc"))
+    styles = styles.withColumn("_styles", F.when(m > 1, 1 - F.col("_clogc") / (m * F.log(m)))).drop("_clogc")
+    pieces = counted.where("_kind = 1")
+    own = _spread(pieces, ["_host", "_path"])
+    every = _spread(pieces, ["_path"]).withColumnsRenamed({"_texts": "_all_texts", "_logs": "_all_logs"}).join(styles.groupBy("_path").agg(F.sum("_m").alias("_all")), "_path")
+    nodes = styles.join(own, ["_host", "_path"], "left").join(every, "_path", "left")
+    here = F.when(m > 1, F.col("_logs") / F.col("_texts") / F.log(m))
+    there = F.when(F.col("_all") > F.col("_m"), F.col("_all_logs") / F.col("_all_texts") / F.log("_all"))
+    weight = F.when(there.isNotNull(), F.lit(float(prior_pages))).otherwise(0.0)
+    content = 1 - (m * F.coalesce(here, F.lit(0.0)) + weight * F.coalesce(there, F.lit(0.0))) / (m + weight)
+    nodes = nodes.withColumn("_content", F.when(F.col("_texts").isNotNull() & (here.isNotNull() | there.isNotNull()), content))
+    both = (1 - DECAY) * F.col("_styles") + DECAY * F.col("_content")
+    return nodes.select("_host", "_path", "_chain", "_m", "_all", "_texts", "_content", "_styles", F.coalesce(both, "_content", "_styles").alias("_importance"))
+
+
+def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, gap: float = GAP, prior_pages: int = PRIOR_PAGES) -> DataFrame:
     """(_host, _low): the style paths of each host's tree whose branches are to be removed.
 
-    Pages (_host, _page) of one host are merged into one tree of style paths
-    (elements with class and id). Counts of equal children and equal texts are
-    aggregated before every shuffle, so a host with a third of all pages is
-    no hot key. Of a text that is on c of the m pages with its path, the
-    entropy over pages is log c / log m; a path's content importance is one
-    less the mean entropy of its distinct texts, so copies of one article
-    weigh as one text. Presentations are weighed by the entropy of their
-    distribution. Paths on fewer than least_pages pages or least_part of the
-    host's are not judged, which bounds a host's tree by the size of a page.
+    A branch's composite importance is the mean of its nodes' importance, by
+    pages and by DECAY for each level down. A branch goes if neither it nor
+    any branch inside it comes within `gap` of the host's own mean content importance
+    (over all features of its nodes, most of which articles have; the mean of all hosts weighs as prior_pages features). Both are sums over
+    pairs (node above, node) with partial aggregation. Nodes on fewer than least_pages pages of their
+    host and fewer than prior_pages of all hosts are not judged. _low holds the tops of the removed branches only.
     """
-    counted = _style_rows(pages.where("_host is not null")).groupBy("_host", "_path", "_parent", "_kind", "_value").agg(F.count("*").alias("_c"))
-    style, content = F.col("_kind") == 0, F.col("_kind") == 1
-    nodes = counted.groupBy("_host", "_path", "_parent").agg(
-        F.sum(F.when(style, F.col("_c"))).alias("_m"),
-        F.sum(F.when(style, F.col("_c") * F.log("_c"))).alias("_clogc"),
-        F.count(F.when(content, 1)).alias("_texts"),
-        F.sum(F.when(content, F.log("_c"))).alias("_logs"),
-    )
-    m = F.col("_m").cast("double")
-    nodes = nodes.select(
-        "_host", "_path", "_parent", "_m",
-        F.when(m > 1, 1 - F.col("_clogc") / (m * F.log(m))).otherwise(1.0).alias("_styles"),
-        F.when((F.col("_texts") > 0) & (m > 1), 1 - F.col("_logs") / F.col("_texts") / F.log(m)).alias("_content"),
-    )
-    sizes = nodes.where("_path = 0").select("_host", F.col("_m").alias("_pages"))
-    judged = nodes.join(sizes, "_host").where((F.col("_m") >= least_pages) & (F.col("_m") >= least_part * F.col("_pages"))).drop("_pages")
-
-    def judge(tree: pd.DataFrame) -> pd.DataFrame:
-        low = [p for p, x in importance(tree.rename(columns=lambda c: c[1:])).items() if p and x <= threshold]
-        return pd.DataFrame({"_host": [tree["_host"].iloc[0]], "_low": [low]})
-
-    return judged.groupBy("_host").applyInPandas(judge, "_host string, _low array<long>")
-
-
-def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Main text of every page: _text (empty if none) and carried columns as _carry_<name>.
+    nodes = written(style_tree(pages, prior_pages).where((F.col("_m") >= least_pages) | (F.col("_all") >= prior_pages)), "nodes")
+    pairs = nodes.where("_importance is not null").select("_host", "_path", "_m", "_importance", F.posexplode(F.concat(F.reverse("_chain"), F.array("_path"))).alias("_p", "_above"))
+    down = F.when(F.col("_above") == F.col("_path"), 0).otherwise(F.col("_p") + 1)
+    share = F.pow(F.lit(DECAY), down) * F.col("_m")
+    composite = pairs.groupBy("_host", "_above").agg((F.sum(share * F.col("_importance")) / F.sum(share)).alias("_composite"))
+    inner = nodes.select("_host", "_chain", F.col("_path").alias("_above")).join(composite, ["_host", "_above"])
+    inner = inner.select("_host", "_composite", F.explode(F.concat("_chain", F.array("_above"))).alias("_path"))
+    most = inner.groupBy("_host", "_path").agg(F.max("_composite").alias("_most"))
+    sums = [F.coalesce(F.sum(F.col("_content") * F.col("_texts")), F.lit(0.0)).alias("_of"), F.coalesce(F.sum(F.when(F.col("_content").isNotNull(), F.col("_texts"))), F.lit(0)).alias("_n")]
+    every = nodes.agg(*sums).select((F.col("_of") / F.col("_n")).alias("_mean"))
+    base = nodes.groupBy("_host").agg(*sums).crossJoin(F.broadcast(every)).select("_host", ((F.col("_of") + prior_pages * F.col("_mean")) / (F.col("_n") + prior_pages)).alias("_base"))
+    low = written(most.where("_path <> 0").join(base, "_host").where(F.col("_most") < F.col("_base") - gap).select("_host", "_path"), "low")
+    parents = nodes.select("_host", "_path", F.element_at("_chain", -1).alias("_parent"))
+    inside = low.withColumnRenamed("_path", "_parent").select("_host", "_parent")
+    tops = low.join(parents, ["_host", "_path"]).join(inside, ["_host", "_parent"], "left_anti")
+    return tops.groupBy("_host").agg(F.collect_set("_path").alias("_low"))
+
+
+def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", carry: tuple[str, ...] = (), gap: float = GAP) -> DataFrame:
+    """Main text of every page: _text (empty if none), _by_tree and _by_names (blocks removed as low branches, and those that were not but whose element, role or name is no part of an article), and carried columns as _carry_<name>.
 
     First the site style trees of all hosts; then each page is read again,
-    without branches that are unimportant on its host or that elements, roles
-    or names mark as no part of an article. Inside an article only branches
+    without the branches that are unimportant on its host. What elements, roles or names mark as
+    clutter or as an article decides the rest: unique clutter such as readers' comments, and hosts of few pages.
+    Inside an article only branches
     with a class or id are judged by the tree, so that an article that is copied to
     all pages of a host stays. Of the rest, the articles count, else the main
     part, else everything. Character references are decoded, white space in a
     block becomes one space, blocks are joined by line feeds.
 
-    The table of trees has one row per host. It is written out first: it is broadcast
+    The table of trees has one row per host, with as many paths as its tops of low
+    branches. It is written out first: it is broadcast
     only if its files are below spark.sql.autoBroadcastJoinThreshold, else the join
     is shuffled, and adaptive execution splits a hot host.
 
     Null html is empty. Pages whose url is null or has no host are read
     without a tree. Broken markup never fails: what cannot be a tag is text.
-    Repeated rows are pages of their own. An empty table gives no rows.
+    Repeated rows are pages of their own. Other columns are ignored, also those named like inner ones. An empty table gives no rows.
     """
-    text_batches(pages.sparkSession)
     host = F.nullif(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select(host.alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_page"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
-    trees = written(low_branches(rows.select("_host", "_page")), "trees")
-    joined = rows.join(trees.where(F.size("_low") > 0), "_host", "left").drop("_host")
+    trees = written(low_branches(rows.select("_host", "_page"), gap=gap), "trees")
+    joined = rows.join(trees, "_host", "left").drop("_host")
     names = [f"_carry_{c}" for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, nothing = Parser(), frozenset()
-        for batch in batches:
-            texts = []
-            for page, low in zip(batch.column("_page").to_pylist(), batch.column("_low").to_pylist(), strict=True):
-                texts.append(main_text(parser, page, frozenset(low) if low else nothing))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], [*names, "_text"])
+        for batch in slices(batches):
+            found = [main_text(parser, page, frozenset(low) if low else nothing) for page, low in zip(batch.column("_page").to_pylist(), batch.column("_low").to_pylist(), strict=True)]
+            texts, by_tree, by_names = zip(*found, strict=True)
+            extra = [pa.array(texts, pa.string()), pa.array(by_tree, pa.int64()), pa.array(by_names, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *extra], [*names, "_text", "_by_tree", "_by_names"])
 
     kinds = "".join(f"`{c}` {t}, " for c, t in joined.dtypes if c in names)
-    return joined.mapInArrow(run, f"{kinds}_text string")
+    return joined.mapInArrow(run, f"{kinds}_text string, _by_tree long, _by_names long")

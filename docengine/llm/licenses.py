@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import text_batches, text_of
+from docengine.llm.common import slices, text_of
 
 #: Licence notices by identifier (fixed values: public short notices).
 TEMPLATES = (
@@ -68,12 +68,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     Null, empty and wordless texts match nothing. Repeated rows give repeated
     results; other columns are ignored. An empty table gives no rows.
     """
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, least)
-        for batch in batches:
+        for batch in slices(batches):
             counts, names, scores = [], [], []
             for text in batch.column(1).to_pylist():
                 lines = text.split("\n")

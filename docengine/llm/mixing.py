@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import WORD, text_of, written
+from docengine.llm.common import text_of, WORD, written
 
 #: Rows of one source and size that one task numbers, about.
 BLOCK = 200_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Targets of the sources in sizes (_source, _total), whose number is small beside the rows'.
+    """Targets of the sources in sizes (_source, _total), whose number is small beside the rows': one window holds them all.
 
     Sources in code-point order, null last, weigh weights, repeated. They
     share `share` times all sizes in proportion to their weights, but none
@@ -76,7 +76,8 @@ def systematic_mix(
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("_size"),
         *carried,
     )
-    return _numbered(rows, weights, share, most, seed).withColumnsRenamed({f"_carry_{c}": c for c in carry})
+    # words are counted once: all that follows reads ids, sources and sizes
+    return _numbered(written(rows, "sizes"), weights, share, most, seed).withColumnsRenamed({f"_carry_{c}": c for c in carry})
 
 
 def _numbered(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: str) -> DataFrame:

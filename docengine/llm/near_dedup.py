@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import components, lasting, text_batches, text_of, written
+from docengine.llm.common import components, lasting, slices, text_of, written
 
 #: Words of a k-mer; least similarity; sketches of a text; k-mers of a sketch.
 K, SIMILARITY, SKETCHES, TUPLE = 5, 0.8, 48, 4
@@ -114,7 +114,7 @@ def _sketched(docs: DataFrame, k: int, count: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lasting("words", Words)
-        for batch in batches:
+        for batch in slices(batches):
             found = [sketches(*kmers(t, words, k), seeds, size) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.list_(pa.int64()))], [*kept, "_sketches"])
 
@@ -127,7 +127,7 @@ def _kmer_table(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = lasting("words", Words)
-        for batch in batches:
+        for batch in slices(batches):
             found = [runs[label == 0].tobytes() for runs, label in (kmers(t, words, k) for t in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([len(x) // 8 for x in found], pa.int64())], ["_v", "_kmers", "_size"])
 
@@ -139,7 +139,7 @@ def _verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     both = pairs.join(table.withColumnsRenamed({"_v": "a", "_kmers": "_ka"}), "a").join(table.withColumnsRenamed({"_v": "b", "_kmers": "_kb"}), "b").select("a", "b", "_ka", "_kb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 good.append(aligned_similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least)
@@ -170,7 +170,7 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) % np.uint64(CELLS), minlength=CELLS)
         yield pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array([x.tobytes() for x in np.split(total, 64)])], ["_part", "_counts"])
 
@@ -193,7 +193,7 @@ def _prefixes(texts: DataFrame, least: float) -> DataFrame:
     often = _frequencies(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = []
             for x in batch.column(1).to_pylist():
                 own = np.frombuffer(x, np.uint64)
@@ -236,7 +236,6 @@ def near_classes(
     No step has a cap. Null or wordless text is linked to identical texts only. Ties, repeated rows
     and other columns have no influence. An empty table gives no rows.
     """
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     rows = rows.withColumn("_v", F.substring(F.unhex(F.sha2("_text", 256)), 1, 16))
     sketched = _sketched(rows.select("_v", "_text"), k, count, size)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import held_out, labelled_sample, lasting, text_batches, text_of
+from docengine.llm.common import held_out, labelled_sample, lasting, slices, text_of
 
 #: Training rows at most; buckets of words and of character n-grams, and of word pairs; dimensions; passes; first learning rate.
 ROWS, BUCKETS, DIMENSIONS, PASSES, RATE = 6_000, 2**17, 8, 6, 0.5
@@ -99,7 +99,7 @@ def _features(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary()
-        for batch in batches:
+        for batch in slices(batches):
             ids, counts = [], []
             for text in batch.column(1).to_pylist():
                 at = known.text(text.split())
@@ -165,12 +165,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float64) @ direction, float(model.bias[1] - model.bias[0])))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     name = uuid.uuid4().hex
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projected, bias = shared.value
         known = lasting(f"quality-{name}", lambda: Vocabulary(projected))
-        for batch in batches:
+        for batch in slices(batches):
             z = []
             for text in batch.column(1).to_pylist():
                 at = known.text(text.split())

@@ -12,7 +12,7 @@ from docengine.llm.common import table, text_of
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract_main_text(table(spark, sf_dir, "pages"), carry=("page_id", "url"))
-    return found.select(F.col("_carry_page_id").alias("page_id"), F.col("_carry_url").alias("url"), F.col("_text").alias("text"), F.char_length("_text").cast("long").alias("n_chars"))
+    return found.select(F.col("_carry_page_id").alias("page_id"), F.col("_carry_url").alias("url"), F.col("_text").alias("text"), F.char_length("_text").cast("long").alias("n_chars"), F.col("_by_tree").alias("n_by_tree"), F.col("_by_names").alias("n_by_names"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import lasting, text_batches
+from docengine.llm.common import lasting, slices
 
 #: Most of a text's word characters that duplicated n-grams of each length may cover (fixed values from published web-corpus rules).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -112,13 +112,12 @@ def repetition_coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty texts have no words and are not repetitive. Repeated rows give
     repeated results; other columns are ignored.
     """
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("_bytes"))
     schema = f"_id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{c} long" for c in COUNTS)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = lasting("word hashes", WordHashes)
-        for batch in batches:
+        for batch in slices(batches):
             found = [measure(x.as_py(), hashes) for x in batch.column(1)]
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_id", *COUNTS])

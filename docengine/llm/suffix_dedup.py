@@ -7,14 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import release, text_batches, text_of, written
+from docengine.llm.common import slices, text_of, written
 
 #: Bytes of a string that is removed, and of the strings whose ranks it is the pair of.
 LENGTH = 100
 HALF = LENGTH // 2
+#: Places of one rank that meet in one task, about.
+BLOCK = 10_000
 _A, _B, _C, _SHIFT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 31))
 _BYTES = np.arange(1, 257, dtype=np.uint64) * _A
 
@@ -166,7 +168,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Ranks of strings of HALF bytes are 64-bit fingerprints, computed in each
        task by doubling offsets. Of each string of LENGTH bytes only the one of least rank inside it
        (about one position in 25) goes to Spark, which counts equal ranks. Unique ones end there.
-    2. Spark sorts the others by rank and place. Stretches of a document
+    2. The first place of each rank, aggregated in the same step, is joined to the others, in
+       blocks of about BLOCK places where a rank is very common. Stretches of a document
        whose anchors all have their first occurrence at the same distance in one earlier document are
        equal to it and settled; copies are, mostly.
     3. The rest is ranked at LENGTH bytes, the pair of ranks at offset HALF,
@@ -176,17 +179,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Only what is open after a step is shuffled in the next. Steps 1 to 3 hold one text, or one
     batch of rows with the distinct strings of one anchor, in a task at a time.
 
-    Null text counts as empty and null ids come first. Rows with the same id
+    Null text counts as empty and null ids come first. Other columns are ignored, whatever their names. Rows with the same id
     but different texts are ordered by a hash of the text; identical rows are one
     document, each with its result. Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_tie"), F.encode(text_of(text_col), "UTF-8").alias("_text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, rank = [], []
             for text in batch.column(2):
                 g, _, chosen = anchors(np.frombuffer(text.as_buffer(), np.uint8))
@@ -199,21 +200,24 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     marks = rows.where(F.octet_length("_text") >= LENGTH).mapInArrow(mark, f"_id {id_type}, _tie long, _at int, _rank long")
-    again = written(marks.groupBy("_rank").agg(F.count("*").alias("_n")).where("_n > 1").select("_rank"), "again")
-    release(spark)
-    place = Window.partitionBy("_rank").orderBy("_id", "_tie", "_at").rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.join(again, "_rank").withColumn("_first", F.first(F.struct("_id", "_tie", "_at")).over(place))
+    first = F.min(F.struct("_id", "_tie", "_at")).alias("_first")
+    again = marks.groupBy("_rank").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"), F.count("*").alias("_n"), first).where("_n > 1")
+    again = written(again.select("_rank", F.col("_blocks").cast("int").alias("_blocks"), "_first"), "again")
+    # places of a very common rank are dealt over several blocks; such ranks are few, one for BLOCK places at most
+    common = again.where("_blocks > 1").select("_rank", F.col("_blocks").alias("_common"))
+    dealt = marks.join(common, "_rank", "left").withColumn("_block", F.coalesce(F.pmod(F.xxhash64("_tie", "_at"), F.col("_common")).cast("int"), F.lit(0))).drop("_common")
+    firsts = again.select("_rank", "_first", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    found = dealt.join(firsts, ["_rank", "_block"])
     own = F.col("_first._id").eqNullSafe(F.col("_id")) & (F.col("_first._tie") == F.col("_tie")) & (F.col("_first._at") == F.col("_at"))
     found = found.select("_id", "_tie", F.struct("_at", F.xxhash64("_first._id", "_first._tie").alias("_in"), (F.col("_first._at") - F.col("_at")).alias("_shift"), own.alias("_own")).alias("_mark"))
     lists = written(found.groupBy("_id", "_tie").agg(F.sort_array(F.collect_set("_mark")).alias("_marks")), "marks")
-    release(spark)
 
     def match(a: DataFrame, b: DataFrame, kind: str = "inner") -> DataFrame:
         b = b.withColumnsRenamed({"_id": "_id_b", "_tie": "_tie_b"})
         return a.join(b, F.col("_id").eqNullSafe(F.col("_id_b")) & (F.col("_tie") == F.col("_tie_b")), kind).drop("_id_b", "_tie_b")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             known, counts, rank, start, part = [], [0], [], [], []
             for text, listed in zip(batch.column(2), batch.column(3), strict=True):
                 flat = listed.values
@@ -233,13 +237,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         split, f"_id {id_type}, _tie long, _known array<int>, _parts array<struct<_rank: long, _start: int, _part: binary>>"
     )
     opened = written(opened, "open")
-    release(spark)
     parts = opened.select("_id", "_tie", F.explode("_parts").alias("_p")).select("_p._rank", "_id", "_tie", "_p._start", "_p._part")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         before = None
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             head, tail = ([c[i].as_py() for c in batch.columns[:4]] for i in (0, batch.num_rows - 1))
@@ -270,10 +273,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = sorted_parts.mapInArrow(judge, f"_id {id_type}, _tie long, _known array<int>")
     every = opened.select("_id", "_tie", "_known").where(F.size("_known") > 0).union(judged)
     cuts = written(every.groupBy("_id", "_tie").agg(F.flatten(F.collect_list("_known")).alias("_cuts")), "cuts")
-    release(spark)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, removed, spans, kept = [], [], [], []
             for text, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 gone, pieces, end, n = 0, [], 0, 0

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import held_out, labelled_sample, lasting, text_batches, text_of
+from docengine.llm.common import held_out, labelled_sample, lasting, slices, text_of
 
 #: Terms that name groups of people; those of one line may stand for each other.
 IDENTITY_TERMS = (
@@ -63,7 +63,7 @@ def _features(sample: DataFrame) -> DataFrame:
     """(_label, _own, _times, _swapped): distinct buckets of each text and their counts, and all of the same text with its identity terms swapped (null without such terms)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own, times, swapped = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
@@ -144,7 +144,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kept = [F.col(id_col).alias("_id"), *[F.col(c).alias(f"_carry_{c}") for c in carry]]
     rows = docs.select(*kept, text_of(text_col).alias("_text"))
     names, name = rows.columns[:-1], uuid.uuid4().hex
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_text")
 
@@ -157,7 +156,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bias = lasting(f"toxicity-{name}", Scores), shared.value[1]
-        for batch in batches:
+        for batch in slices(batches):
             # sorted: sums of floats do not depend on a set's order
             z = np.array([bias + sum(map(known.__getitem__, sorted(words_of(t)))) for t in batch.column(len(names)).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*names, "_score"])

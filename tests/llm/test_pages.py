@@ -1,6 +1,11 @@
 """Main text of pages with many kinds of clutter."""
 
+import math
+import os
+from collections import Counter, defaultdict
+
 import pytest
+from pyspark.sql import functions as F
 
 from docengine.llm import html_extract
 
@@ -28,7 +33,7 @@ CASES = {
 @pytest.mark.parametrize("case", CASES)
 def test_main_text(case):
     text, want = CASES[case]
-    assert html_extract.main_text(html_extract.Parser(), text or "", frozenset()) == want
+    assert html_extract.main_text(html_extract.Parser(), text or "", frozenset())[0] == want
 
 
 def test_style_trees_find_what_names_do_not(spark):
@@ -51,6 +56,59 @@ def test_style_trees_find_what_names_do_not(spark):
 
 def test_very_long_page():
     body = "<p>" + "word " * 10 + "</p>"
-    text = html_extract.main_text(html_extract.Parser(), f"<article>{body * 20_000}</article>", frozenset())
+    text = html_extract.main_text(html_extract.Parser(), f"<article>{body * 20_000}</article>", frozenset())[0]
     assert len(text.split("\n")) == 20_000
-    assert html_extract.main_text(html_extract.Parser(), "<div>" * 20_000 + "deep", frozenset()) == "deep"
+    assert html_extract.main_text(html_extract.Parser(), "<div>" * 20_000 + "deep", frozenset())[0] == "deep"
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+def test_content_importance_against_plain_counting(spark):
+    """Features, entropies and the weight of other hosts' pages, counted page by page."""
+    menu = "<nav><a href='/x'>One</a><a href='/y'>Two</a></nav>"
+    rows = [(f"h{i % 3}.example", page(f"{menu}<div class='a'>Part {i}. Same. Word{'x' * (i % 4)}!</div><p>Unique{chr(65 + i)}.</p>")) for i in range(24)]
+    rows += [(None, rows[0][1]), ("alone.example", rows[0][1])]
+    parser, pages_of, seen = html_extract.Parser(), defaultdict(lambda: defaultdict(Counter)), defaultdict(Counter)
+    for host, text in rows:
+        if host is None:
+            continue
+        tree, links = {}, []
+        blocks = parser.read(text, tree=tree, links=links)
+        seen[host].update({0, *tree})
+        for path, feature in {(n.path, f) for t, n in blocks for f in html_extract.features(t)} | {(p, ">" + x) for p, x in links}:
+            pages_of[host][path][feature] += 1
+    want = {}
+    for host, paths in pages_of.items():
+        for path, counts in paths.items():
+            m, every = seen[host][path], sum((pages_of[h][path] for h in pages_of), Counter())
+            total, weight, value = sum(seen[h][path] for h in seen), 0.0, 0.0
+            if m > 1:
+                value = m * sum(map(math.log, counts.values())) / len(counts) / math.log(m)
+            if total > m:
+                weight = html_extract.PRIOR_PAGES
+                value += weight * sum(map(math.log, every.values())) / len(every) / math.log(total)
+            want[host, path] = 1 - value / (m + weight)
+    got = html_extract.style_tree(spark.createDataFrame(rows, "_host string, _page string")).where("_content is not null").collect()
+    assert {(r["_host"], r["_path"]) for r in got} == set(want)
+    assert all(abs(r["_content"] - want[r["_host"], r["_path"]]) < 1e-9 for r in got)
+
+
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="no tables")
+def test_trees_decide_where_names_say_nothing(spark):
+    """All element and class names made neutral: the trees alone keep the article's characters and remove the clutter's."""
+    pages = spark.read.parquet(f"{TABLES}/pages.parquet")
+    neutral = F.regexp_replace(F.regexp_replace("html", r"<(/?)(nav|article|footer|aside|header|main)\b", r"<$1div"), ' class="ad"', "")
+    found = {r["_carry_page_id"]: r for r in html_extract.extract_main_text(pages.withColumn("html", neutral), carry=("page_id",)).collect()}
+    parser, sizes = html_extract.Parser(), Counter()
+    for r in pages.collect():
+        left = Counter(found[r["page_id"]]["_text"].split("\n"))
+        assert found[r["page_id"]]["_by_names"] == 0
+        for text, node in parser.read(r["html"] or ""):
+            kind = "article" if node.article else "clutter"
+            sizes[kind] += len(text)
+            if left[text]:
+                left[text] -= 1
+                sizes[f"kept {kind}"] += len(text)
+    assert sizes["kept article"] >= 0.98 * sizes["article"]
+    assert sizes["kept clutter"] <= 0.1 * sizes["clutter"]
