@@ -272,7 +272,7 @@ def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, gap: float =
     inner = inner.select("_host", "_composite", F.explode(F.concat("_chain", F.array("_above"))).alias("_path"))
     most = inner.groupBy("_host", "_path").agg(F.max("_composite").alias("_most"))
     sums = [F.coalesce(F.sum(F.col("_content") * F.col("_texts")), F.lit(0.0)).alias("_of"), F.coalesce(F.sum(F.when(F.col("_content").isNotNull(), F.col("_texts"))), F.lit(0)).alias("_n")]
-    every = nodes.agg(*sums).select((F.col("_of") / F.col("_n")).alias("_mean"))
+    every = nodes.agg(*sums).select((F.col("_of") / F.nullif(F.col("_n"), F.lit(0))).alias("_mean"))
     base = nodes.groupBy("_host").agg(*sums).crossJoin(F.broadcast(every)).select("_host", ((F.col("_of") + prior_pages * F.col("_mean")) / (F.col("_n") + prior_pages)).alias("_base"))
     low = written(most.where("_path <> 0").join(base, "_host").where(F.col("_most") < F.col("_base") - gap).select("_host", "_path"), "low")
     parents = nodes.select("_host", "_path", F.element_at("_chain", -1).alias("_parent"))
