@@ -22,7 +22,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name; texts in fewer files than the session has cores are dealt to all of them."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if name in ("documents", "pages") and len(found.inputFiles()) < cores else found
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -16,6 +16,8 @@ from docengine.llm.common import held_out, labelled_sample, lasting, slices, tex
 
 #: Training rows at most; buckets of words and of character n-grams, and of word pairs; dimensions; passes; first learning rate.
 ROWS, BUCKETS, DIMENSIONS, PASSES, RATE = 6_000, 2**17, 8, 6, 0.5
+#: Texts of a step.
+BATCH = 16
 NGRAMS = (2, 3)
 CACHE = 200_000
 #: Bucket of a word that follows itself.
@@ -117,45 +119,52 @@ def _features(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Embeddings and softmax weights from at most `rows` labelled texts, by numpy stochastic gradient descent, one text a step.
+    """Embeddings and softmax weights from at most `rows` labelled texts, by numpy stochastic gradient descent, BATCH texts a step.
 
     A text's vector is the mean of the vectors of all its words' buckets:
     words, character n-grams and neighbouring pairs, each as often as it
     occurs. Texts come in an order drawn with a fixed seed. Without labels
-    all scores are 0.5.
+    all scores are 0.5. Repeated rows of labelled texts count each; columns of other names are ignored.
     """
     table = _features(labelled_sample(docs, labels, label, held, rows, id_col, text_col)).orderBy(F.xxhash64("_id"), "_id", F.size("_buckets")).toArrow()
     y = table.column("_label").to_numpy()
     state = np.random.RandomState(7)
-    vectors = ((state.rand(BUCKETS, DIMENSIONS) - 0.5) / DIMENSIONS).astype(np.float32)
-    output, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
+    vectors = (state.rand(BUCKETS, DIMENSIONS) - 0.5) / DIMENSIONS
+    output, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
     ids, counts = table.column("_buckets").combine_chunks(), table.column("_counts").combine_chunks()
     start = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]) if len(y) else np.zeros(1, np.int64)
     flat, times = (ids.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float32)) if len(y) else (np.zeros(0, np.int32), np.zeros(0, np.float32))
     steps, done = PASSES * max(len(y), 1), 0
     for _ in range(PASSES):
-        for i in state.permutation(len(y)):
+        order = state.permutation(len(y))
+        for first in range(0, len(y), BATCH):
+            texts = order[first : first + BATCH]
             rate = RATE * (1 - done / steps)
-            done += 1
-            b = flat[start[i] : start[i + 1]]
-            share = times[start[i] : start[i + 1]]
-            share = share / max(share.sum(), 1)
-            hidden = share @ vectors[b] if len(b) else np.zeros(DIMENSIONS, np.float32)
-            z = output @ hidden + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
+            done += len(texts)
+            sizes = start[texts + 1] - start[texts]
+            of = np.repeat(np.arange(len(texts)), sizes)
+            at = np.repeat(start[texts] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            b, share = flat[at], times[at]
+            share = share / np.maximum(np.bincount(of, share, len(texts)), 1)[of]
+            add = lambda where, x, n: np.stack([np.bincount(where, x[:, d], n) for d in range(DIMENSIONS)], 1)
+            hidden = add(of, share[:, None] * vectors[b], len(texts))
+            z = hidden @ output.T + bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(texts)), y[texts]] -= 1
             back = p @ output
-            output -= rate * np.outer(p, hidden)
-            bias -= 0.1 * rate * p
-            if len(b):
-                # a text's buckets share the step by their part in its mean; scaled so that it does not fade with its length
-                vectors[b] -= rate * np.minimum(share * 50, 1)[:, None] * back
+            output -= rate * (p.T @ hidden) / len(texts) ** 0.5
+            bias -= 0.1 * rate * p.mean(0)
+            # a text's buckets share the step by their part in its mean, scaled so that it does not fade with its length; a bucket takes the mean of its texts' steps
+            used, place = np.unique(b, return_inverse=True)
+            weight = np.minimum(share * 50, 1)
+            step = add(place, weight[:, None] * back[of], len(used)) / np.bincount(place, minlength=len(used))[:, None] ** 0.5
+            vectors[used] -= rate * step
     return Model(vectors, output, bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id and _score (0 to 1, higher: label 1 likelier) for every row; no shuffle.
+    """_id and _score (0 to 1, higher: label 1 likelier) for every row, repeated ones too; no shuffle. An empty table gives no rows.
 
     The output layer is linear in the mean, so each bucket's vector is
     projected to one number before it is sent: the executors get a table whose

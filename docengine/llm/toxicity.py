@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import uuid
 from collections.abc import Iterator
@@ -15,32 +16,58 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import held_out, labelled_sample, lasting, slices, text_of
 
-#: Terms that name groups of people; those of one line may stand for each other.
+#: Terms that name groups of people, with their forms; those of one line may stand for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
+    ("women's", "men's", "girls'", "boys'"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "arab", "african", "european"),
+    ("asians", "latinos", "arabs", "africans", "europeans"),
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
+    ("gays", "lesbians", "bisexuals"),
+    ("immigrant", "refugee", "foreigner", "native"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "deaf", "blind", "elderly", "young"),
+    ("femme", "homme", "fille", "garçon"),
     ("femmes", "hommes", "filles", "garçons"),
+    ("chrétien", "musulman", "juif", "hindou", "athée"),
+    ("chrétienne", "musulmane", "juive", "hindoue"),
     ("chrétiens", "musulmans", "juifs", "hindous", "athées"),
+    ("chrétiennes", "musulmanes", "juives", "hindoues"),
+    ("noir", "blanc", "arabe", "asiatique", "africain", "européen"),
+    ("noirs", "blancs", "arabes", "asiatiques", "africains", "européens"),
+    ("immigré", "réfugié", "étranger"),
     ("immigrés", "réfugiés", "étrangers"),
+    ("frau", "mann", "junge"),
     ("frauen", "männer", "mädchen", "jungen"),
+    ("christ", "muslim", "jude", "hindu", "atheist"),
     ("christen", "muslime", "juden", "hindus", "atheisten"),
-    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("christlich", "muslimisch", "jüdisch", "hinduistisch"),
+    ("christliche", "muslimische", "jüdische", "hinduistische"),
+    ("schwarze", "weiße", "asiatische", "arabische", "afrikanische", "europäische"),
+    ("einwanderer", "flüchtling", "ausländer"),
+    ("einwanderern", "flüchtlinge", "ausländern"),
+    ("mujer", "hombre", "niña", "niño"),
     ("mujeres", "hombres", "niñas", "niños"),
+    ("cristiano", "musulmán", "judío", "hindú", "ateo"),
+    ("cristiana", "musulmana", "judía", "atea"),
     ("cristianos", "musulmanes", "judíos", "hindúes", "ateos"),
+    ("negro", "blanco", "asiático", "árabe", "africano", "europeo"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("inmigrante", "refugiado", "extranjero"),
     ("inmigrantes", "refugiados", "extranjeros"),
 )
 #: Training rows at most; hash buckets; lengths of word beginnings; weight of the counterfactual penalty and of the ridge.
-ROWS, BUCKETS, PREFIXES, PENALTY, RIDGE = 8_000, 2**20, (3, 4, 5, 6), 1.0, 2e-4
+ROWS, BUCKETS, PREFIXES, PENALTY, RIDGE = 8_000, 2**20, (3, 4, 5, 6), 4.0, 2e-4
 #: Steps and rate of the fit; a bucket counts if it is in LEAST_ROWS texts and its share of the two labels' texts differs by LEAST_Z standard errors.
 STEPS, RATE, LEAST_ROWS, LEAST_Z = 150, 0.1, 4, 5.0
 CACHE = 200_000
-SWAP = {w: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, w in enumerate(line)}
+#: Of each term the line that it is first in, and its place there; what ends a sentence.
+PLACE = {w: (line, i) for line in reversed(IDENTITY_TERMS) for i, w in enumerate(line)}
+MOST = max(map(len, IDENTITY_TERMS))
+SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def words_of(text: str) -> set[str]:
@@ -53,6 +80,22 @@ def buckets(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(word) % BUCKETS, *(xxhash.xxh32_intdigest("^" + word[:n]) % BUCKETS for n in PREFIXES if len(word) >= n)]
 
 
+def swaps(text: str) -> list[list[int]]:
+    """How the buckets of a text's sentences change when all identity terms in a sentence are swapped for others of their lines: signed numbers of buckets from 1, one list for each distinct change."""
+    named = {frozenset(words & PLACE.keys()) for sentence in SENTENCE.split(text) if (words := words_of(sentence))}
+    found = []
+    for terms in sorted(map(sorted, named)):
+        for shift in range(1, MOST):
+            lines = [(line, i + shift) for line, i in map(PLACE.__getitem__, terms)]
+            if all(shift >= len(line) for line, _ in lines):
+                break
+            other = {line[i % len(line)] for line, i in lines}
+            change = [b + 1 for w in sorted(other - set(terms)) for b in buckets(w)] + [-b - 1 for w in sorted(set(terms) - other) for b in buckets(w)]
+            if change:
+                found.append(change)
+    return found
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -60,39 +103,43 @@ class Model:
 
 
 def _features(sample: DataFrame) -> DataFrame:
-    """(_label, _own, _times, _swapped): distinct buckets of each text and their counts, and all of the same text with its identity terms swapped (null without such terms)."""
+    """(_label, _own, _times, _swaps): distinct buckets of each text and their counts, and the changes under swaps of identity terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own, times, swapped = [], [], []
+            own, times, changes = [], [], []
             for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                found, counts = np.unique(np.array([b for w in words for b in buckets(w)], np.int32), return_counts=True)
+                found, counts = np.unique(np.array([b for w in words_of(text) for b in buckets(w)], np.int32), return_counts=True)
                 own.append(found)
                 times.append(counts.astype(np.float32))
-                named = words & SWAP.keys()
-                other = (words - named) | {SWAP[w] for w in named}
-                swapped.append(np.array([b for w in other for b in buckets(w)], np.int32) if named else None)
+                changes.append(swaps(text))
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(own, kind), pa.array(times, pa.list_(pa.float32())), pa.array(swapped, kind)], ["_label", "_own", "_times", "_swapped"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(own, kind), pa.array(times, pa.list_(pa.float32())), pa.array(changes, pa.list_(kind))], ["_label", "_own", "_times", "_swaps"])
 
-    return sample.mapInArrow(run, "_label int, _own array<int>, _times array<float>, _swapped array<int>")
+    return sample.mapInArrow(run, "_label int, _own array<int>, _times array<float>, _swaps array<array<int>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> Model:
     """Logistic regression on at most `rows` labelled texts, with a penalty on score changes under swaps of identity terms.
 
-    The loss is the mean of log-loss plus penalty * (z - z')**2, where z is a
-    text's logit and z' that of its counterfactual, plus a ridge. Features are
+    Each sentence of a text with identity terms has counterfactuals: the terms
+    swapped for each of the others of their lines. The loss is the mean over texts of log-loss plus penalty times
+    the mean of (z - z')**2 over a text's counterfactuals, where z is a
+    sentence's logit and z' the counterfactual's, plus a ridge. Features are
     counts of hashed words and word beginnings over a text's distinct words;
     those that do not tell the labels apart get no weight. Without labels all
-    scores are 0.5.
+    scores are 0.5. Repeated rows of labelled texts count each; columns of other names are ignored.
     """
     table = _features(labelled_sample(docs, labels, label, held, rows, id_col, text_col)).toArrow()
     y = table.column("_label").to_numpy().astype(np.float64)
     if not len(y):
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    own, other = table.column("_own").combine_chunks(), table.column("_swapped").combine_chunks()
+    own, swapped = table.column("_own").combine_chunks(), table.column("_swaps").combine_chunks()
+    each = swapped.flatten()
+    signed = each.flatten().to_numpy().astype(np.int64)
+    change_at, change_cols, change_sign = np.repeat(np.arange(len(each)), each.value_lengths().to_numpy()), np.abs(signed) - 1, np.sign(signed).astype(np.float64)
+    per_text = swapped.value_lengths().to_numpy()
+    part = np.repeat(1 / np.maximum(per_text, 1), per_text)
     at = np.repeat(np.arange(len(y), dtype=np.int32), own.value_lengths().to_numpy())
     cols, times = own.flatten().to_numpy(), table.column("_times").combine_chunks().flatten().to_numpy()
     del table, own
@@ -102,13 +149,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, rows: in
     share = there / len(y)
     z = (toxic / n1 - (there - toxic) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     wide = (there >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)
-    # the change of a text's features under the swap
-    has = np.flatnonzero(~other.is_null().to_numpy(zero_copy_only=False))
-    lengths = [len(other[int(i)]) for i in has]
-    named = np.isin(at, has)
-    change_at = np.concatenate([np.repeat(np.arange(len(has)), lengths), np.searchsorted(has, at[named])]).astype(np.int64)
-    change_cols = np.concatenate([other.flatten().to_numpy(), cols[named]]).astype(np.int64)
-    change_sign = np.concatenate([np.ones(sum(lengths)), -times[named]])
     change = wide[change_cols]
     change_at, change_cols, change_sign = change_at[change], change_cols[change], change_sign[change]
     keep = wide[cols]
@@ -122,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, rows: in
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         error = weight * (p - y) / len(y)
         g = np.bincount(cols, times * error[at], BUCKETS) + RIDGE * w
-        if len(has):
-            delta = np.bincount(change_at, change_sign * w[change_cols], len(has))
+        if len(change_at):
+            delta = np.bincount(change_at, change_sign * w[change_cols], len(each)) * part
             g += np.bincount(change_cols, 2 * penalty / len(y) * delta[change_at] * change_sign, BUCKETS)
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -135,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, rows: in
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """_id, _score (0 to 1, higher: more likely toxic) and carried columns as _carry_<name>, for every row; no shuffle.
+    """_id, _score (0 to 1, higher: more likely toxic) and carried columns as _carry_<name>, for every row, repeated ones too; no shuffle. An empty table gives no rows; other columns are ignored, whatever their names.
 
     A text's logit is the bias plus the weights of its distinct words' buckets.
     Null and empty texts have the bias alone. The model's size is fixed by

@@ -51,11 +51,37 @@ def test_held_out_accuracy(data, name):
 def test_counterfactual_penalty(data):
     docs, labels, _ = data
     gap = {}
-    for penalty in (0.0, 50.0):
+    for penalty in (0.0, toxicity.PENALTY):
         model = toxicity.fit(docs, labels, "toxic", F.lit(False), penalty=penalty)
-        own, other = (model.weights[toxicity.buckets(w)].sum() for w in ("women", toxicity.SWAP["women"]))
+        own, other = (model.weights[toxicity.buckets(w)].sum() for w in ("women", "men"))
         gap[penalty] = abs(own - other)
-    assert gap[50.0] < 0.2 * gap[0.0]
+    assert gap[toxicity.PENALTY] < 0.3 * gap[0.0]
+
+
+def test_neutral_mentions_are_left_alone_by_the_default_penalty(spark, frame):
+    """Toxic training texts name one group; held-out neutral sentences about that group are false positives without the penalty, and toxic ones are found with it."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("aeioustrnl") for _ in range(r.randint(2, 5)))
+    text = lambda *extra: " ".join([word() for _ in range(r.randint(6, 40))] + list(extra)) + "."
+    rows = [(i, text("muslims", r.choice(("zgrok", "zgrux", "zgrim"))) if i % 4 == 0 else text(), "s") for i in range(800)]
+    neutral = [(1000 + i, text("muslims") if i % 2 else text("The", "muslims", "live", "here"), "s") for i in range(60)]
+    toxic = [(2000 + i, text(r.choice(("zgrok", "zgrux", "zgrim"))), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    rate = {}
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.fit(frame(rows), labels, "toxic", F.lit(False), penalty=penalty)
+        scores = {x["_id"]: x["_score"] >= 0.5 for x in toxicity.score(frame(neutral + toxic), model).collect()}
+        rate[penalty] = [np.mean([scores[i] for i, _, _ in part]) for part in (neutral, toxic)]
+    assert rate[0.0][0] > 0.9 and rate[toxicity.PENALTY][0] < 0.1
+    assert rate[toxicity.PENALTY][1] > 0.9
+
+
+def test_swaps_are_made_in_each_sentence():
+    found = toxicity.swaps("The women came. No one else! The women and the jews.\nWomen stay")
+    buckets = lambda plus, minus: sorted([b + 1 for w in plus for b in toxicity.buckets(w)] + [-b - 1 for w in minus for b in toxicity.buckets(w)])
+    assert buckets(["men"], ["women"]) in map(sorted, found)
+    assert buckets(["men", "hindus"], ["women", "jews"]) in map(sorted, found)
+    assert len(found) == 3 + 5 and toxicity.swaps("nothing here") == toxicity.swaps("") == []
 
 
 def test_without_rows_or_labels(spark, frame, data):
