@@ -275,7 +275,7 @@ def low_branches(pages: DataFrame, least_pages: int = LEAST_PAGES, gap: float =
     every = nodes.agg(*sums).select((F.col("_of") / F.nullif(F.col("_n"), F.lit(0))).alias("_mean"))
     base = nodes.groupBy("_host").agg(*sums).crossJoin(F.broadcast(every)).select("_host", ((F.col("_of") + prior_pages * F.col("_mean")) / (F.col("_n") + prior_pages)).alias("_base"))
     low = written(most.where("_path <> 0").join(base, "_host").where(F.col("_most") < F.col("_base") - gap).select("_host", "_path"), "low")
-    parents = nodes.select("_host", "_path", F.element_at("_chain", -1).alias("_parent"))
+    parents = nodes.select("_host", "_path", F.try_element_at("_chain", F.lit(-1)).alias("_parent"))
     inside = low.withColumnRenamed("_path", "_parent").select("_host", "_parent")
     tops = low.join(parents, ["_host", "_path"]).join(inside, ["_host", "_parent"], "left_anti")
     return tops.groupBy("_host").agg(F.collect_set("_path").alias("_low"))
