@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Cells of a table of questions that goes to the tasks; chunks that a task scores at once.
+CELLS, ROWS = 2**23, 256
 
 
 def top(rows: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -15,6 +22,24 @@ def top(rows: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def _scored(rows: DataFrame, kinds: str, score, k: int, ascending: bool) -> DataFrame:
+    """question_id, chunk_id, score: of each Arrow batch of rows (chunk_id first) the k best of each question; score gives (matrix rows x questions, which of it count, question ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                part = part.take(pc.sort_indices(part.column(0)))
+                values, there, ids = score(part)
+                order = np.argsort(np.where(there, np.round(values if ascending else -values, 6), np.inf), axis=0, kind="stable")[:k]
+                place, of = order.ravel(), np.tile(np.arange(values.shape[1]), len(order))
+                good = there[place, of]
+                place, of = place[good], of[good]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), part.column(0).take(pa.array(place)), pa.array(values[place, of])], ["question_id", "chunk_id", "score"])
+
+    return rows.mapInArrow(run, kinds)
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """question_id, chunk_id, score, rank: the k chunks of each question with the best Okapi BM25 score.
 
@@ -23,19 +48,55 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     mean idf. Ties go to the smaller id. Questions with fewer than k chunks that share
     a word have fewer rows: chunks without one score 0 and are not ranked.
 
-    Only words of the questions are joined; terms are counted before the
-    shuffle, so a very common word is one row per chunk that holds it.
+    Frequencies in documents are one count by word, of the vocabulary's size. The questions are a stated
+    batch: as a table of words by questions of up to CELLS cells it goes to the tasks,
+    which score each chunk where it is and keep the best k of a batch, so that no pair of
+    chunk and word is shuffled. A larger batch of questions is joined by word.
     """
     words = chunks.select("chunk_id", tokens("text").alias("words"))
     totals = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    tf = words.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "mean")
+    counts = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = counts.crossJoin(F.broadcast(totals)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "mean")
     floor = df.agg((F.avg("idf") * EPSILON).alias("floor"))
     weights = df.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"), "mean")
-    asked = questions.select("question_id", F.explode(tokens("text")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times")).join(weights, "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = asked.join(tf, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scores, "question_id", [F.desc("score"), F.asc("chunk_id")], k)
+    asked = questions.select("question_id", F.explode(tokens("text")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
+    shape = asked.agg(F.count_distinct("question_id").alias("questions"), F.count_distinct("term").alias("terms")).first()
+    asked = asked.join(weights, "term")
+    if shape["questions"] * shape["terms"] <= CELLS:
+        scores = _scored_words(words, asked.select("question_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "mean"), k)
+    else:
+        tf = words.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+        part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        scores = asked.join(tf, "term").groupBy("question_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return top(scores.withColumn("score", F.round("score", 6)), "question_id", [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def _scored_words(words: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    table = asked.toArrow()
+    kinds = f"question_id {dict(asked.dtypes)['question_id']}, chunk_id {dict(words.dtypes)['chunk_id']}, score double"
+    coded, terms = (table.column(c).combine_chunks().dictionary_encode() for c in ("question_id", "term"))
+    ids, known = coded.dictionary, {t: i for i, t in enumerate(terms.dictionary.to_pylist())}
+    if not known:
+        return words.sparkSession.createDataFrame([], kinds)
+    matrix = np.zeros((len(known), len(ids)))
+    matrix[terms.indices.to_numpy(), coded.indices.to_numpy()] = table.column("weight").to_numpy()
+    shared = words.sparkSession.sparkContext.broadcast((known, matrix, ids, table.column("mean")[0].as_py()))
+
+    def score(part: pa.RecordBatch):
+        known, matrix, ids, mean = shared.value
+        held = part.column(1)
+        lengths = held.value_lengths().to_numpy()
+        flat = held.flatten().dictionary_encode()
+        number = np.array([known.get(w, -1) for w in flat.dictionary.to_pylist()] or [-1])[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        pair, tf = np.unique((of * len(known) + number)[number >= 0], return_counts=True)
+        weight = np.zeros(len(lengths) * len(known))
+        weight[pair] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[pair // len(known)] / mean))
+        weight = weight.reshape(len(lengths), len(known))
+        values = weight @ matrix
+        return values, values > 0 if (matrix >= 0).all() else (weight > 0).astype(np.float32) @ (matrix != 0).astype(np.float32) > 0, ids
+
+    return _scored(words, kinds, score, k, False)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -43,19 +104,33 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense(vectors: DataFrame, questions: DataFrame, k: int = 10, filters: Column | None = None, ways: int = 16) -> DataFrame:
+def dense(vectors: DataFrame, questions: DataFrame, k: int = 10, filters: Column | None = None) -> DataFrame:
     """question_id, chunk_id, distance, rank: the k nearest vectors of each question by cosine distance, exact.
 
-    vectors (chunk_id, vector), questions (question_id, vector), a stated
-    set. Vectors are dealt into `ways` blocks by their id; every question meets every
-    block, a block's best k are taken first, then the best of all.
+    vectors (chunk_id, vector), questions (question_id, vector), a stated set of up to CELLS
+    numbers, which goes to the tasks; each multiplies its Arrow batches with it and
+    keeps a batch's best k. Larger sets raise. The filter is applied before anything is ranked.
     """
-    norm = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = (vectors if filters is None else vectors.where(filters)).select("chunk_id", F.col("vector").alias("_v"), norm("vector").alias("_n"), F.pmod(F.xxhash64("chunk_id"), F.lit(ways)).alias("_block"))
-    asked = questions.select("question_id", F.col("vector").alias("_q"), norm("vector").alias("_m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).alias("_block"))
-    product = F.aggregate(F.zip_with("_v", "_q", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = asked.join(rows, "_block").select("question_id", "chunk_id", F.round(1 - product / (F.col("_n") * F.col("_m")), 6).alias("distance"))
-    return top(pairs, "question_id", [F.asc("distance"), F.asc("chunk_id")], k)
+    rows = (vectors if filters is None else vectors.where(filters)).select("chunk_id", "vector")
+    size = questions.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()["n"]
+    if size > CELLS:
+        raise ValueError(f"{size} numbers in the questions' vectors; ask in batches of up to {CELLS}")
+    asked = questions.select("question_id", "vector").toArrow()
+    kinds = f"question_id {dict(questions.dtypes)['question_id']}, chunk_id {dict(rows.dtypes)['chunk_id']}, score double"
+    if not len(asked):
+        found = vectors.sparkSession.createDataFrame([], kinds)
+    else:
+        wanted = np.array(asked.column("vector").to_pylist(), np.float64)
+        shared = vectors.sparkSession.sparkContext.broadcast((wanted / np.linalg.norm(wanted, axis=1, keepdims=True), asked.column("question_id").combine_chunks()))
+
+        def score(part: pa.RecordBatch):
+            wanted, ids = shared.value
+            v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+            values = 1 - (v @ wanted.T) / np.linalg.norm(v, axis=1, keepdims=True)
+            return values, np.ones(values.shape, bool), ids
+
+        found = _scored(rows, kinds, score, k, True)
+    return top(found.select("question_id", "chunk_id", F.round("score", 6).alias("distance")), "question_id", [F.asc("distance"), F.asc("chunk_id")], k)
 
 
 def fuse(lists: list[tuple[str, DataFrame]], rrf_k: int = 60, k: int = 10) -> DataFrame:

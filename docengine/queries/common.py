@@ -9,7 +9,10 @@ from docengine.functions import vocab
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name; texts in fewer files than the session has cores are dealt to all of them."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if name in ("documents", "conversations") and len(found.inputFiles()) < cores else found
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,21 +20,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as chunks: chunk_id, document_id, text, lang, position; types and roles follow from the id."""
+    """documents as chunks: chunk_id, document_id, text, lang, position; CHUNKS_OF texts of neighbouring ids are the chunks of one document at any size of the table; types and roles follow from id and source."""
     d = documents(spark, sf_dir)
     pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (F.pmod(c, F.lit(len(values))) + 1).cast("int"))
     return d.select(
         F.col("doc_id").alias("chunk_id"),
-        F.col("source").alias("document_id"),
+        F.concat(F.lit("d"), F.floor(F.col("doc_id") / CHUNKS_OF).cast("string")).alias("document_id"),
         "text",
         "lang",
         F.col("doc_id").alias("position"),
         pick(CHUNK_TYPES, F.col("doc_id")).alias("chunk_type"),
         pick(DOCUMENT_TYPES, F.length("source") + F.ascii(F.substring("source", -1, 1))).alias("document_type"),
-        (F.col("doc_id") % 10).cast("string").alias("article_number"),
+        (F.length("text") % 10).cast("string").alias("article_number"),
     )
 
 
+CHUNKS_OF = 40
 CHUNK_TYPES = ("doctrinal_article", "confession_paragraph", "preface", "special_layout", "note", "summary", "normative_article")
 DOCUMENT_TYPES = ("confession_of_faith", "constitution", "letter", "catechism", "other")
 
@@ -49,7 +53,7 @@ def sql_slug(x: str, empty: str = "sem-chave") -> str:
 
 
 DOCS = "SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents"
-CHUNKS = f"""SELECT doc_id AS chunk_id, source AS document_id, coalesce(text, '') AS text, lang, doc_id AS position,
+CHUNKS = f"""SELECT doc_id AS chunk_id, 'd' || doc_id // {CHUNKS_OF} AS document_id, coalesce(text, '') AS text, lang, doc_id AS position,
     {sql_list(CHUNK_TYPES)}[doc_id % {len(CHUNK_TYPES)} + 1] AS chunk_type,
     {sql_list(DOCUMENT_TYPES)}[(length(source) + ascii(right(source, 1))) % {len(DOCUMENT_TYPES)} + 1] AS document_type,
-    CAST(doc_id % 10 AS VARCHAR) AS article_number FROM documents"""
+    CAST(length(coalesce(text, '')) % 10 AS VARCHAR) AS article_number FROM documents"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
@@ -12,17 +12,20 @@ from docengine.operators import questions as Q
 from docengine.queries.common import DOCS, documents, sql_fold, sql_list, table
 from docengine.streaming.events import windowed_counts
 
-#: Questions that are put before the texts of conversations, one after another.
+#: Questions of the domain. The messages of conversations are asked with one of them behind or, where a text is short or even in length, in place of it: the texts of the tables are of no domain.
 ASKED = (
     "O que a constituição ensina sobre batismo?", "Quais documentos orientam a ordenação de ministros?", "Compare Westminster e Dort.", "Explique melhor isso", "Qual o papel da igreja local na Aliança?",
     "E ela?", "Resuma o catecismo de Heidelberg.", "Não entendi", "Qual a relação entre doutrina congregacional e normas da Aliança e da igreja?", "O que diz a confissão de fé de Westminster sobre a graça?",
 )
 
 
+def _question(text: Column) -> Column:
+    one = F.element_at(F.array(*map(F.lit, ASKED)), (F.length(text) % len(ASKED) + 1).cast("int"))
+    return F.when(F.length(text) % 2 == 0, one).otherwise(F.concat_ws(" ", text, one))
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    pick = F.element_at(F.array(*map(F.lit, ASKED)), ((F.col("conv_id") + F.col("turn")) % len(ASKED) + 1).cast("int"))
-    return c.withColumn("question", pick)
+    return table(spark, sf_dir, "conversations").withColumn("question", _question(F.coalesce("text", F.lit(""))))
 
 
 def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +68,9 @@ def evidence_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*values), (i % len(values) + 1).cast("int"))
     arrays = lambda *xs: [F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in xs]
     p = d.select(
-        "doc_id", pick([F.lit(q) for q in ASKED]).alias("query"), F.when(i % 11 == 0, 0).otherwise(2).alias("context_count"), F.length("text").alias("total_chars"), (i % 13 != 0).alias("has_source_map"),
+        "doc_id", F.element_at(F.array(*map(F.lit, ASKED)), (F.length("text") % len(ASKED) + 1).cast("int")).alias("query"), F.when(i % 11 == 0, 0).otherwise(2).alias("context_count"), F.length("text").alias("total_chars"), (i % 13 != 0).alias("has_source_map"),
         pick(arrays(["doctrinal"], ["normative"], ["introductory"], ["contextual", "introductory"])).alias("priorities"), pick(arrays(["expanded"], ["anchor_only", "anchor_only_consolidated"], ["anchor_only"])).alias("statuses"),
-        F.concat_ws(" ", "text", F.when(i % 3 == 0, pick([F.lit(q) for q in ASKED]))).alias("context_text"),
+        F.concat_ws(" ", "text", F.when(i % 3 == 0, F.element_at(F.array(*map(F.lit, ASKED)), (F.length("text") % len(ASKED) + 1).cast("int")))).alias("context_text"),
     )
     return Q.evidence(p).select("doc_id", "reason", "can_answer")
 
@@ -112,7 +115,8 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FNS = (query_intent, query_scope_exact, query_scope_fuzzy, history_window, followup_contextualize, query_expansion, evidence_decision, skip_reasons, eval_means, eval_by_category, behavioural_histograms, join_unique_sources, event_windows)
 QUERIES = {f.__name__: f for f in _FNS}
 
-_Q = f"q AS (SELECT *, {sql_list(ASKED)}[(conv_id + turn) % {len(ASKED)} + 1] AS question FROM conversations), f AS (SELECT *, {sql_fold('question')} AS folded FROM q), w AS (SELECT *, list_distinct(regexp_extract_all(folded, '\\w+')) AS w FROM f)"
+_QUESTION = lambda x: f"CASE WHEN length({x}) % 2 = 0 THEN {sql_list(ASKED)}[length({x}) % {len(ASKED)} + 1] ELSE {x} || ' ' || {sql_list(ASKED)}[length({x}) % {len(ASKED)} + 1] END"
+_Q = f"q AS (SELECT *, {_QUESTION("coalesce(text, '')")} AS question FROM conversations), f AS (SELECT *, {sql_fold('question')} AS folded FROM q), w AS (SELECT *, list_distinct(regexp_extract_all(folded, '\\w+')) AS w FROM f)"
 _has = lambda terms: f"list_has_any(w, {sql_list(terms)})"
 _match = lambda patterns, x="folded": "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in patterns) + ")"
 _contains = lambda marks, x="folded": "(" + " OR ".join(f"contains({x}, '{m}')" for m in marks) + ")"
@@ -144,12 +148,12 @@ ORACLE_SQL = {
         SELECT conv_id, turn, CASE WHEN lower(trim(role)) = 'bot' THEN 'assistant' ELSE lower(trim(role)) END AS role, md5(substr({_PREV}, 1, 1600)) AS content_hash FROM n
         WHERE n <= 8 AND lower(trim(role)) IN ('user', 'assistant', 'bot') AND {_PREV} <> ''""",
     "followup_contextualize": f"""WITH {_Q}, p AS (SELECT *, coalesce(last_value(CASE WHEN lower(trim(role)) = 'user' AND {_PREV} <> '' THEN {_PREV} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prev FROM f)
-        SELECT conv_id, turn, md5(CASE WHEN NOT {_FOLLOW} OR prev = '' THEN question WHEN {_contains(vocab.CLARIFICATION_MARKERS)} THEN 'Explique novamente, em linguagem mais simples, a resposta documental sobre: ' || prev
-          ELSE question || ' Contexto da pergunta anterior: ' || prev END) AS query_hash FROM p""",
+        SELECT conv_id, turn, md5(CASE WHEN NOT {_FOLLOW} OR prev = '' THEN clean WHEN {_contains(vocab.CLARIFICATION_MARKERS)} THEN 'Explique novamente, em linguagem mais simples, a resposta documental sobre: ' || prev
+          ELSE clean || ' Contexto da pergunta anterior: ' || prev END) AS query_hash FROM (SELECT *, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS clean FROM p)""",
     "query_expansion": f"""WITH {_Q}, t AS (SELECT conv_id, turn, {_sig("concat_ws(' ', question, CASE WHEN turn % 2 = 0 THEN 'expiação regeneração' END)")} AS t FROM q)
         SELECT conv_id, turn, array_to_string(list_sort(t), ',') AS terms, array_to_string(list_sort({_expand('t')}), ',') AS expanded FROM t""",
     "evidence_decision": f"""
-        WITH p0 AS (SELECT doc_id, {sql_list(ASKED)}[doc_id % {len(ASKED)} + 1] AS query, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 2 END AS n, length(text) AS chars, doc_id % 13 <> 0 AS has_map,
+        WITH p0 AS (SELECT doc_id, {sql_list(ASKED)}[length(text) % {len(ASKED)} + 1] AS query, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 2 END AS n, length(text) AS chars, doc_id % 13 <> 0 AS has_map,
             [['doctrinal'], ['normative'], ['introductory'], ['contextual', 'introductory']][doc_id % 4 + 1] AS pri, doc_id % 3 <> 0 AS anchors, text FROM ({DOCS})),
         p AS (SELECT *, concat_ws(' ', text, CASE WHEN doc_id % 3 = 0 THEN query END) AS ctx, {sql_fold('query')} AS folded FROM p0),
         t AS (SELECT *, {_sig('query')} AS asked, {_sig('ctx')} AS there, list_distinct(regexp_extract_all(folded, '\\w+')) AS w FROM p),

@@ -9,13 +9,24 @@ from docengine.functions import answers as A
 from docengine.functions import text as T
 from docengine.operators import lines as L
 from docengine.operators import orchestration as O
+from docengine.operators import retrieval as R
 from docengine.operators import structure as S
 from docengine.queries.common import DOCS, documents, sql_list, table
+from docengine.queries.retrieval import _bm25_sql
 from docengine.queries.texts import _LINES
 
-HEADS = ("Art. 5º – Da fé", "Art. 12. Texto", "Art 7 Dos membros", "Artigo 3", "art. 1. x")
 NOTES = ("ver (Rm 3:21-24) e (cf. nota)", "(1 Co 2; Jo 3.16) (texto)", "sem nada", "(Sl 119) (Ap 2:1)")
-CUT = ("1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "1", "12", "1", "14", "15")
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the texts, each behind a head that its length chooses; numbers are those of the line."""
+    lines = L.flatten(documents(spark, sf_dir))
+    n, i = F.length("line"), F.col("line_index").cast("string")
+    head = F.when(n % 6 == 0, F.concat(F.lit("Art. "), i, F.lit("º – "))).when(n % 6 == 1, F.concat(F.lit("Art "), i, F.lit(". "))).when(n % 6 == 2, F.concat(F.lit("Art."), i, F.lit(" "))).when(n % 6 == 3, F.concat(F.lit("Artigo "), i, F.lit(" "))).otherwise(F.lit(""))
+    return lines.withColumn("line", F.concat(head, "line"))
+
+
+_HEADED = rf"""{_LINES}, headed AS (SELECT document_id, line_index, CASE length(line) % 6 WHEN 0 THEN 'Art. ' || line_index || 'º – ' WHEN 1 THEN 'Art ' || line_index || '. ' WHEN 2 THEN 'Art.' || line_index || ' ' WHEN 3 THEN 'Artigo ' || line_index || ' ' ELSE '' END || line AS line FROM lines)"""
 
 
 def _pick(values, by):
@@ -23,8 +34,9 @@ def _pick(values, by):
 
 
 def article_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).select("doc_id", S.article_heading(_pick(HEADS, F.col("doc_id"))).alias("a"))
-    return d.select("doc_id", F.col("a.number").alias("number"), F.col("a.display").alias("display"), F.col("a.remainder").alias("remainder"))
+    """Articles that the lines of each text open, and what follows their number."""
+    d = _headed(spark, sf_dir).select("document_id", "line_index", S.article_heading(F.col("line")).alias("a")).where("a is not null")
+    return d.select("document_id", "line_index", F.col("a.number").alias("number"), F.col("a.display").alias("display"), F.md5("a.remainder").alias("remainder_hash"))
 
 
 def biblical_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,22 +54,22 @@ def pair_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day numbers of each document, some cut off, repaired."""
-    d = documents(spark, sf_dir).select("doc_id", F.slice(F.array(*map(F.lit, CUT)), 1, (F.col("doc_id") % 15 + 1).cast("int")).alias("n"))
-    return d.select("doc_id", F.array_join(F.transform(S.repaired_numbers(F.col("n")), lambda x: x.cast("string")), ",").alias("numbers"))
-
-
-def _notes(spark: SparkSession, sf_dir: str):
-    d = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"))
-    m = d.select("document_id", F.posexplode(F.sequence(F.lit(1), (F.col("document_id") % 4 + 1).cast("int"))).alias("position", "marker"))
-    shift = F.when(F.col("document_id") % 3 == 1, 1).otherwise(0)
-    size = F.col("document_id") % 4 + 1 - F.when(F.col("document_id") % 3 == 2, 1).otherwise(0)
-    r = d.where(size > 0).select("document_id", F.posexplode(F.transform(F.sequence(F.lit(1), size.cast("int")), lambda x: x + shift)).alias("position", "number"))
-    return m, r.withColumn("reference", F.concat(F.lit("ref-"), F.col("number").cast("string")))
+    """The numbers of each text's lines, cut to their first digit where a line's length is a multiple of 3 and 5 ahead where it is one of 11, repaired."""
+    lines = L.flatten(documents(spark, sf_dir))
+    place = F.row_number().over(L.ordered()) + F.when(F.length("line") % 11 == 0, 5).otherwise(0)
+    seen = lines.withColumn("n", place.cast("string")).withColumn("n", F.when(F.length("line") % 3 == 0, F.substring("n", 1, 1)).otherwise(F.col("n")))
+    d = seen.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "n"))), lambda x: x["n"]).alias("n"))
+    return d.select("document_id", F.array_join(F.transform(S.repaired_numbers(F.col("n")), lambda x: x.cast("string")), ",").alias("numbers"))
 
 
 def footnote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, r = _notes(spark, sf_dir)
+    """Lines of odd length as markers and lines of a length that 3 divides as references, numbered in each text from 1 or, where its first line is long, from 2."""
+    lines = L.flatten(documents(spark, sf_dir))
+    place = F.row_number().over(L.ordered())
+    long_ = F.first(F.length("line") > 200).over(L.ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    m = lines.where("length(line) % 2 = 1").withColumn("position", place - 1).select("document_id", "position", (F.col("position") + 1).alias("marker"))
+    r = lines.withColumn("_long", long_).where("length(line) % 3 = 0").withColumn("position", place - 1)
+    r = r.select("document_id", "position", (F.col("position") + F.when(F.col("_long"), 2).otherwise(1)).alias("number"), F.md5("line").alias("reference"))
     return S.linked_notes(m, r).select("document_id", F.col("marker").cast("long").alias("marker"), "reference", "link")
 
 
@@ -80,10 +92,11 @@ def top_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents dealt to 50 questions as candidates, longest first."""
-    d = documents(spark, sf_dir).select((F.col("doc_id") % 50).alias("question_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), "lang", F.length("text").cast("long").alias("n_chars"), (F.col("doc_id") % 7).alias("page"))
+    """The 50 best chunks of each benchmark text as candidates."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), "lang", F.length("text").cast("long").alias("n_chars"), (F.length("text") % 7).cast("long").alias("page"))
     d = d.withColumn("parent_key", F.concat_ws("::", "document_id", F.col("page").cast("string")))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("n_chars"), "chunk_id")).cast("long"))
+    hits = R.bm25(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text"), 50)
+    return hits.join(d, "chunk_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 def framing_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,10 +150,12 @@ def joined_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggestion_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suggestions made of each document's id and language, fenced as models do."""
-    q = lambda *c: F.concat(F.lit('{"question": "'), *c, F.lit('"}'))
-    body = F.concat(F.lit("```json\n["), q(F.lit("Um "), "lang"), F.lit(","), q(F.lit("um  "), F.upper("lang")), F.lit(","), q(F.col("doc_id").cast("string")), F.lit(","), q(F.lit("")), F.lit(","), q("source"), F.lit(","), q(F.lit("fim")), F.lit("]\n```"))
-    return O.suggestions(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), body.alias("content")))
+    """The texts of each conversation as a fenced JSON array of suggestions, as models give them."""
+    c = table(spark, sf_dir, "conversations").withColumn("question", F.coalesce("text", F.lit("")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "question"))), lambda x: F.struct(x["question"].alias("question")))
+    content = F.concat(F.lit("```json\n"), F.to_json(listed), F.lit("\n```"))
+    found = O.suggestions(c.groupBy(F.col("conv_id").alias("id")).agg(content.alias("content")))
+    return found.select("id", "place", F.md5("question").alias("question_hash"))
 
 
 def merged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +193,8 @@ _FNS = (
 )
 QUERIES = {f.__name__: f for f in _FNS}
 
-_CAND = f"""c AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n_chars DESC, chunk_id) AS rank FROM (
-    SELECT doc_id % 50 AS question_id, doc_id AS chunk_id, source AS document_id, lang, CAST(length(text) AS BIGINT) AS n_chars, doc_id % 7 AS page, source || '::' || doc_id % 7 AS parent_key FROM ({DOCS})))"""
+_CAND = f"""{_bm25_sql(f"SELECT doc_id, text FROM ({DOCS})", "SELECT item_id AS question_id, text FROM benchmark", 50, "z")},
+    c AS (SELECT question_id, chunk_id, source AS document_id, lang, CAST(length(text) AS BIGINT) AS n_chars, length(text) % 7 AS page, source || '::' || length(text) % 7 AS parent_key, rank FROM zbm25 JOIN ({DOCS}) d ON d.doc_id = chunk_id)"""
 
 ORACLE_SQL = {
     "article_units": f"""WITH {_LINES}, m AS (SELECT *, line_index % 6 AS i FROM lines),
@@ -191,8 +206,8 @@ ORACLE_SQL = {
     "answer_polish": rf"""WITH d AS (SELECT doc_id, doc_id % 3 AS q, (doc_id // 3) % 3 AS a, 'os eleitos não podem decair. ' || trim(text) AS rest FROM ({DOCS})),
         p AS (SELECT doc_id, q = 0 AS open, CASE WHEN q = 1 THEN ['Não. ', 'Não, ', '**Não** - '][a + 1] ELSE ['Sim. ', 'Não, ', '**Sim** - '][a + 1] END AS o, a, rest FROM d)
         SELECT doc_id, open, md5(CASE WHEN open THEN regexp_replace(CASE WHEN a < 2 THEN rest ELSE o || rest END, '\A\s+|\s+\z', '', 'g') ELSE o || rest END) AS answer_hash FROM p""",
-    "article_headings": f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '5' WHEN 1 THEN '12' WHEN 2 THEN '7' END AS number, CASE doc_id % 5 WHEN 0 THEN 'Art. 5º' WHEN 1 THEN 'Art. 12' WHEN 2 THEN 'Art. 7' END AS display,
-        CASE doc_id % 5 WHEN 0 THEN 'Da fé' WHEN 1 THEN 'Texto' WHEN 2 THEN 'Dos membros' END AS remainder FROM documents""",
+    "article_headings": rf"""WITH {_HEADED}, m AS (SELECT document_id, line_index, regexp_extract(line, '^Art\.?\s*([0-9]+)([º°]?)(?:\.\s*|\s*[–—-]\s*|\s+([A-ZÁÉÍÓÚÂÊÔÃÕ]))(.*)$', ['n', 'o', 'capital', 'rest']) AS x FROM headed)
+        SELECT document_id, line_index, x.n AS number, 'Art. ' || x.n || x.o AS display, md5(trim(x.capital || x.rest)) AS remainder_hash FROM m WHERE x.n <> ''""",
     "biblical_references": f"""WITH d AS (SELECT doc_id, concat_ws(' ', regexp_replace(text, '[()]', '', 'g'), {sql_list(NOTES)}[doc_id % 4 + 1]) AS t FROM ({DOCS}))
         SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, '\\(([^)]*)\\)', 1), lambda x: regexp_matches(x, '(?i)\\b([1-3]\\s*)?(rm|co|jo|sl|ap)\\.?\\s*[0-9]+')), ';') AS found FROM d""",
     "joined_text": f"""WITH {_LINES}, s AS (SELECT *, CAST(sum(CASE WHEN length(line) % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS paragraph FROM lines)
@@ -200,10 +215,18 @@ ORACLE_SQL = {
     "pair_forward": f"""WITH {_LINES}, n AS (SELECT *, min(CASE WHEN length(line) % 5 = 0 THEN line_index END) OVER (PARTITION BY document_id ORDER BY line_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r, max(line_index) OVER (PARTITION BY document_id) AS last FROM lines)
         SELECT a.document_id, a.line_index AS left_index, a.r AS right_index, coalesce((SELECT min(b.line_index) FROM lines b WHERE b.document_id = a.document_id AND length(b.line) % 7 = 0 AND b.line_index > a.r), any_value(a.last) + 1) - 1 AS end_index
         FROM n a WHERE length(a.line) % 7 = 0 AND a.r IS NOT NULL GROUP BY a.document_id, a.line_index, a.r""",
-    "number_repair": "SELECT doc_id, array_to_string(list_transform(range(1, doc_id % 15 + 2), lambda x: CAST(x AS VARCHAR)), ',') AS numbers FROM documents",
-    "footnote_links": """WITH m AS (SELECT doc_id AS document_id, unnest(range(1, doc_id % 4 + 2)) AS marker FROM documents)
-        SELECT document_id, marker, CASE WHEN document_id % 3 = 2 AND marker = document_id % 4 + 1 THEN NULL ELSE 'ref-' || (marker + CASE WHEN document_id % 3 = 1 THEN 1 ELSE 0 END) END AS reference,
-          CASE document_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'position_inferred_number_mismatch' ELSE CASE WHEN marker = document_id % 4 + 1 THEN 'missing_source_reference' ELSE 'exact' END END AS link FROM m""",
+    "number_repair": f"""WITH RECURSIVE {_LINES}, k AS (SELECT document_id, length(line) AS len, row_number() OVER (PARTITION BY document_id ORDER BY line_index) AS i FROM lines),
+        n AS (SELECT document_id, i, CASE WHEN len % 3 = 0 THEN left(CAST(x AS VARCHAR), 1) ELSE CAST(x AS VARCHAR) END AS n FROM (SELECT *, i + CASE WHEN len % 11 = 0 THEN 5 ELSE 0 END AS x FROM k)),
+        r AS (SELECT document_id, i, CAST(n AS BIGINT) AS v FROM n WHERE i = 1
+              UNION ALL SELECT n.document_id, n.i, CASE WHEN starts_with(CAST(r.v + 1 AS VARCHAR), n.n) THEN r.v + 1 ELSE CAST(n.n AS BIGINT) END FROM r JOIN n ON n.document_id = r.document_id AND n.i = r.i + 1)
+        SELECT document_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS numbers FROM r GROUP BY document_id""",
+    "footnote_links": f"""WITH {_LINES}, l AS (SELECT *, first_value(length(line) > 200) OVER (PARTITION BY document_id ORDER BY line_index) AS long FROM lines),
+        m AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY line_index) AS marker FROM l WHERE length(line) % 2 = 1),
+        r AS (SELECT document_id, md5(line) AS reference, row_number() OVER (PARTITION BY document_id ORDER BY line_index) AS p, p + CASE WHEN long THEN 1 ELSE 0 END AS number FROM l WHERE length(line) % 3 = 0),
+        k AS (SELECT a.document_id, CASE WHEN b.n IS NULL THEN 'number' WHEN a.s = b.s THEN 'exact' WHEN a.n = b.n THEN 'position' ELSE 'number' END AS kind
+              FROM (SELECT document_id, list(marker ORDER BY marker) AS s, count(*) AS n FROM m GROUP BY 1) a LEFT JOIN (SELECT document_id, list(number ORDER BY number) AS s, count(*) AS n FROM r GROUP BY 1) b USING (document_id))
+        SELECT m.document_id, m.marker, r.reference, CASE WHEN kind = 'position' THEN 'position_inferred_number_mismatch' WHEN r.reference IS NULL THEN 'missing_source_reference' ELSE 'exact' END AS link
+        FROM m JOIN k USING (document_id) LEFT JOIN r ON r.document_id = m.document_id AND CASE WHEN kind = 'position' THEN r.p ELSE r.number END = m.marker""",
     "table_layout": f"""WITH {_LINES}, p AS (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY line_index) - 1) // 3 AS row FROM lines)
         SELECT document_id, row, md5(string_agg(line, ' | ' ORDER BY line_index)) AS cells_hash FROM p GROUP BY document_id, row""",
     "article_audit": """WITH d AS (SELECT source AS document_id, doc_id, doc_id % 97 AS article FROM documents), k AS (SELECT document_id, article FROM d WHERE doc_id % 89 <> 0 UNION ALL SELECT document_id, article FROM d WHERE doc_id % 83 = 0),
@@ -225,7 +248,9 @@ ORACLE_SQL = {
     "source_map": f"WITH {_CAND} SELECT question_id, 'source_' || rank AS source, concat('[', rank, '] ', document_id, ', p. ', page, '.') AS label FROM c WHERE rank <= 8",
     "candidate_audit": f"""WITH {_CAND}, f AS (SELECT question_id, parent_key, min(rank) AS r FROM c GROUP BY ALL HAVING min(rank) <= 4) SELECT question_id, chunk_id, coalesce(r, 0) AS final_rank, r IS NOT NULL AS selected FROM c LEFT JOIN f USING (question_id, parent_key)""",
     "joined_lists": "SELECT source, CASE WHEN len(l) < 2 THEN l[1] ELSE array_to_string(l[:-2], ', ') || ' e ' || l[-1] END AS joined FROM (SELECT source, list_sort(list(DISTINCT lang)) AS l FROM documents GROUP BY source)",
-    "suggestion_parse": """SELECT doc_id AS id, CAST(place AS BIGINT) AS place, question FROM (SELECT doc_id, unnest([1, 2, 3]) AS place, unnest(['Um ' || lang, CAST(doc_id AS VARCHAR), source]) AS question FROM documents)""",
+    "suggestion_parse": r"""WITH q AS (SELECT conv_id AS id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS question FROM conversations),
+        o AS (SELECT id, question, turn FROM (SELECT *, row_number() OVER (PARTITION BY id, lower(question) ORDER BY turn) AS n FROM q WHERE question <> '') WHERE n = 1)
+        SELECT id, place, md5(substr(question, 1, 220)) AS question_hash FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS place FROM o) WHERE place <= 3""",
     "merged_scores": """WITH r AS (SELECT source AS shard, doc_id AS position, doc_id % 5 = 0 AS skip, row_number() OVER (PARTITION BY source, doc_id % 5 = 0 ORDER BY doc_id) AS place FROM documents)
         SELECT shard, position, CASE WHEN skip OR place % 6 = 0 THEN -1.0::DOUBLE ELSE place / 4.0::DOUBLE END AS score, CASE WHEN NOT skip AND place % 6 = 0 THEN 'missing_score' END AS warning FROM r""",
     "run_summary": "SELECT role, count(*) AS total, count(*) FILTER (trim(coalesce(text, '')) = '') AS empty, count(DISTINCT conv_id) AS conversations, max(turn) AS last_turn FROM conversations GROUP BY role",

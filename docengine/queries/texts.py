@@ -89,19 +89,22 @@ def next_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers put before words of each text, parsed again."""
+    """The lines of the texts behind markers that their length chooses, parsed again."""
     heads = F.array(*map(F.lit, MARKED))
-    d = documents(spark, sf_dir).select("doc_id", F.concat(F.element_at(heads, (F.col("doc_id") % len(MARKED) + 1).cast("int")), F.lit(" "), F.regexp_replace("text", "\\s+", " ")).alias("line"))
-    d = d.withColumn("m", T.item_marker("line"))
-    return d.select("doc_id", F.col("m.kind").alias("kind"), F.col("m.value").alias("value"))
+    lines = L.flatten(documents(spark, sf_dir))
+    d = lines.withColumn("line", F.concat(F.element_at(heads, (F.length("line") % len(MARKED) + 1).cast("int")), F.lit(" "), "line")).withColumn("m", T.item_marker("line"))
+    return d.where("m is not null").select("document_id", "line_index", F.col("m.kind").alias("kind"), F.col("m.value").alias("value"))
 
 
 MARKED = ("§ 2º", "§ 3.", "Parágrafo único.", "a)", "IV -", "XVI -", "xii.", "Art. 5º", "-")
 
 
 def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).select("doc_id", F.element_at(F.array(*map(F.lit, vocab.ROMANS)), (F.col("doc_id") % 15 + 1).cast("int")).alias("roman"))
-    return d.select("doc_id", "roman", T.roman_value("roman").cast("long").alias("value"))
+    """The numeral that stands before each line of a text, by its place, up to the largest known."""
+    numeral = F.element_at(F.array(*map(F.lit, vocab.ROMANS)), F.col("place").cast("int"))
+    lines = L.flatten(documents(spark, sf_dir)).withColumn("place", F.row_number().over(L.ordered())).where(F.col("place") <= len(vocab.ROMANS))
+    lines = lines.withColumn("roman", F.regexp_extract(F.concat(numeral, F.lit(". "), "line"), "^([IVXLCDM]+)\\.", 1))
+    return lines.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(T.roman_value("roman")).cast("long").alias("total"), F.max_by("roman", "line_index").alias("last"))
 
 
 def length_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,11 +121,12 @@ def answer_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations [n] after each text, with four sources, renumbered in order of use."""
-    d = documents(spark, sf_dir)
-    n = lambda k: F.concat(F.lit("["), (F.col("doc_id") * k % 6).cast("string"), F.lit("]"))
-    d = d.select("doc_id", T.compacted_citations(F.concat(F.lit("a "), n(1), F.lit(" b "), n(3), F.lit(" c "), n(5)), F.lit(4)).alias("c"))
-    return d.select("doc_id", F.col("c.text").alias("cited_text"), F.array_join(F.transform("c.numbers", lambda x: x.cast("string")), ",").alias("numbers"))
+    """The first 12 lines of each text with a citation [n] by their length behind each; four sources are renumbered in order of use."""
+    lines = L.flatten(documents(spark, sf_dir)).withColumn("place", F.row_number().over(L.ordered())).where("place <= 12")
+    cited = F.concat(F.regexp_replace("line", r"[\[\]]", ""), F.lit(" ["), (F.length("line") % 6).cast("string"), F.lit("]"))
+    d = lines.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", cited.alias("c")))), lambda x: x["c"]), " ").alias("t"))
+    d = d.select("document_id", T.compacted_citations(F.col("t"), F.lit(4)).alias("c"))
+    return d.select("document_id", F.array_join(F.regexp_extract_all("c.text", F.lit(r"\[[0-9]+\]"), F.lit(0)), "").alias("cited"), F.array_join(F.transform("c.numbers", lambda x: x.cast("string")), ",").alias("numbers"))
 
 
 _FNS = (norm_page_text, page_numbers, folded, word_tokens, page_profile, marker_validation, page_zone, flat_lines, carried_heading, line_segments, next_heading, item_markers, roman_numerals, length_parts, answer_cleanup, citation_compaction)
@@ -177,15 +181,15 @@ ORACLE_SQL = {
         SELECT document_id, segment, count(*) AS n_lines, min(line_index) AS first_line, CAST(sum(length(line)) AS BIGINT) AS chars FROM s GROUP BY ALL""",
     "next_heading": f"""
         WITH {_LINES} SELECT document_id, line_index, coalesce(min(CASE WHEN length(line) < 80 THEN line_index END) OVER (PARTITION BY document_id ORDER BY line_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS next_index FROM lines""",
-    "item_markers": f"""
-        SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'paragraph' WHEN 3 THEN 'alinea' WHEN 4 THEN 'inciso' WHEN 6 THEN 'inciso' END AS kind,
-               CASE doc_id % 9 WHEN 0 THEN '2º' WHEN 1 THEN '3º' WHEN 2 THEN 'único' WHEN 3 THEN 'a' WHEN 4 THEN 'IV' WHEN 6 THEN 'XII' END AS value FROM documents""",
-    "roman_numerals": f"SELECT doc_id, {sql_list(vocab.ROMANS)}[doc_id % 15 + 1] AS roman, CAST(doc_id % 15 + 1 AS BIGINT) AS value FROM documents",
-    "citation_compaction": """
-        WITH n AS (SELECT doc_id, [doc_id % 6, doc_id * 3 % 6, doc_id * 5 % 6] AS c FROM documents),
-        u AS (SELECT doc_id, c, list_filter(c, lambda x, i: x BETWEEN 1 AND 4 AND NOT list_contains(c[1:i - 1], x)) AS used FROM n),
-        r AS (SELECT doc_id, used, list_transform(c, lambda x: CASE WHEN list_contains(used, x) THEN list_position(used, x) ELSE x END) AS y FROM u)
-        SELECT doc_id, concat('a [', y[1], '] b [', y[2], '] c [', y[3], ']') AS cited_text, array_to_string(list_transform(used, lambda x: CAST(x AS VARCHAR)), ',') AS numbers FROM r""",
+    "item_markers": f"""WITH {_LINES}, m AS (SELECT *, length(line) % 9 AS i FROM lines)
+        SELECT document_id, line_index, CASE WHEN i < 3 THEN 'paragraph' WHEN i = 3 THEN 'alinea' ELSE 'inciso' END AS kind, CASE i WHEN 0 THEN '2º' WHEN 1 THEN '3º' WHEN 2 THEN 'único' WHEN 3 THEN 'a' WHEN 4 THEN 'IV' WHEN 6 THEN 'XII' END AS value
+        FROM m WHERE i IN (0, 1, 2, 3, 4, 6)""",
+    "roman_numerals": f"""WITH {_LINES}, p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_index) AS place FROM lines)
+        SELECT document_id, count(*) AS n, CAST(sum(place) AS BIGINT) AS total, {sql_list(vocab.ROMANS)}[max(place)] AS last FROM p WHERE place <= {len(vocab.ROMANS)} GROUP BY document_id""",
+    "citation_compaction": f"""
+        WITH {_LINES}, n AS (SELECT document_id, list(len ORDER BY line_index) AS c FROM (SELECT *, length(line) % 6 AS len, row_number() OVER (PARTITION BY document_id ORDER BY line_index) AS place FROM lines) WHERE place <= 12 GROUP BY document_id),
+        u AS (SELECT document_id, c, list_filter(c, lambda x, i: x BETWEEN 1 AND 4 AND NOT list_contains(c[1:i - 1], x)) AS used FROM n)
+        SELECT document_id, array_to_string(list_transform(c, lambda x: '[' || CASE WHEN list_contains(used, x) THEN list_position(used, x) ELSE x END || ']'), '') AS cited, array_to_string(list_transform(used, lambda x: CAST(x AS VARCHAR)), ',') AS numbers FROM u""",
     "answer_cleanup": rf"""
         WITH d AS (SELECT doc_id, 'αβγ ' || text AS t FROM ({DOCS})),
         c AS (SELECT doc_id, regexp_replace(t, '[\x{{370}}-\x{{3ff}}\x{{1f00}}-\x{{1fff}}\x{{590}}-\x{{5ff}}]+', '', 'g') AS t FROM d)
