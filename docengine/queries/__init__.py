@@ -1,6 +1,6 @@
 """Registered queries: each with the DuckDB SQL that gives the same rows."""
 
-from docengine.queries import chunks, questions, retrieval, structure, texts
+from docengine.queries import chunks, contexts, questions, retrieval, structure, texts
 
-QUERIES = texts.QUERIES | chunks.QUERIES | retrieval.QUERIES | questions.QUERIES | structure.QUERIES
-ORACLE_SQL = texts.ORACLE_SQL | chunks.ORACLE_SQL | retrieval.ORACLE_SQL | questions.ORACLE_SQL | structure.ORACLE_SQL
+QUERIES = texts.QUERIES | chunks.QUERIES | retrieval.QUERIES | questions.QUERIES | structure.QUERIES | contexts.QUERIES
+ORACLE_SQL = texts.ORACLE_SQL | chunks.ORACLE_SQL | retrieval.ORACLE_SQL | questions.ORACLE_SQL | structure.ORACLE_SQL | contexts.ORACLE_SQL
