@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import vocab
+from docengine.functions.text import truncated
 from docengine.operators.lines import greedy_fit
 
 
@@ -93,3 +94,55 @@ def one_per_document(ranked: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("question_id", "document_id").orderBy("rank")) == 1
     marked = ranked.withColumn("promoted", first & (F.col("ranking_score") >= floor))
     return marked.withColumn("rank", F.row_number().over(q.orderBy(F.desc("promoted"), F.asc("rank"))))
+
+
+def diversified(ranked: DataFrame, k: int = 4) -> DataFrame:
+    """Adds reason and renews rank: which contexts of each question come first.
+
+    ranked (question_id, parent_key, document_id, rank, ranking_score, topic_score, document_filter, specific_document, overview_query, is_overview).
+    The first that holds: a single context stays; a question with a document filter puts its k best topic
+    matches first; one that names a document stays; an overview puts the contexts of the first overview's document first;
+    topic matches in several documents put the best match of each first, up to k; matches in one document all come
+    first. Promoted contexts are in order of topic score and score (of different documents by score alone), the others as they were.
+    """
+    q = Window.partitionBy("question_id")
+    match = F.col("topic_score") > 0
+    lead = F.min_by("document_id", F.when(F.col("is_overview"), F.col("rank"))).over(q)
+    rows = ranked.withColumn("_n", F.count("*").over(q)).withColumn("_matched", F.size(F.collect_set(F.when(match, F.col("document_id"))).over(q))).withColumn("_lead", lead).withColumn("_documents", F.size(F.collect_set("document_id").over(q)))
+    rows = rows.withColumn("_of_lead", F.count_if(F.col("document_id") == F.col("_lead")).over(q))
+    why = (
+        F.when(F.col("_n") <= 1, "disabled_or_single_candidate").when(F.col("document_filter") & (F.col("_matched") > 0), "intradocument_topic_contexts_promoted").when(F.col("document_filter"), "document_filter_present")
+        .when(F.col("specific_document"), "specific_document_mentioned").when(F.col("overview_query") & (F.col("_of_lead") > 1), "overview_same_document_contexts_promoted")
+        .when(F.col("_matched") >= 2, "topic_matched_one_context_per_document_promoted").when(F.col("_documents") <= 1, "single_document_available").otherwise("no_relevant_alternative_document")
+    )
+    rows = rows.withColumn("reason", why)
+    best = [F.desc("topic_score"), F.desc("ranking_score"), F.asc("rank")]
+    inside = F.row_number().over(Window.partitionBy("question_id", match).orderBy(*best)) <= k
+    first = match & (F.row_number().over(Window.partitionBy("question_id", "document_id", match).orderBy("rank")) == 1)
+    rows = rows.withColumn("_inside", match & inside).withColumn("_first", first)
+    rows = rows.withColumn("_first", F.col("_first") & (F.row_number().over(Window.partitionBy("question_id", "_first").orderBy(F.desc("ranking_score"), "rank")) <= k))
+    several = F.col("reason") == "topic_matched_one_context_per_document_promoted"
+    promoted = (
+        F.when(F.col("reason") == "intradocument_topic_contexts_promoted", F.col("_inside")).when(F.col("reason") == "overview_same_document_contexts_promoted", F.col("document_id") == F.col("_lead")).when(several, F.col("_first"))
+        .when(F.col("reason").isin("single_document_available", "no_relevant_alternative_document"), match).otherwise(False)
+    )
+    rows = rows.withColumn("promoted", promoted)
+    moved = F.col("promoted") & (F.col("reason") != "overview_same_document_contexts_promoted")
+    order = q.orderBy(F.desc("promoted"), F.desc(F.when(moved & ~several, F.col("topic_score"))), F.desc(F.when(moved, F.col("ranking_score"))), F.asc("rank"))
+    return rows.withColumn("rank", F.row_number().over(order)).drop("_n", "_matched", "_lead", "_documents", "_of_lead", "_inside", "_first")
+
+
+def preferred_scope(ranked: DataFrame, scoped: Column) -> DataFrame:
+    """Without the doctrinal contexts outside a scope where a question has contexts inside it; ranks anew."""
+    q = Window.partitionBy("question_id")
+    inside = F.coalesce(scoped, F.lit(False))
+    marked = ranked.withColumn("_in", inside).withColumn("_any", F.bool_or(inside).over(q))
+    kept = marked.where(~(F.col("_any") & ~F.col("_in") & (F.col("priority") == "doctrinal")))
+    return kept.withColumn("rank", F.row_number().over(q.orderBy("rank"))).drop("_in", "_any")
+
+
+def budgeted(contexts: DataFrame, total: int) -> DataFrame:
+    """Contexts (question_id, rank, text) that fit into total characters in order of rank, what does not fit being skipped; the first is cut to it with a mark."""
+    first = F.row_number().over(Window.partitionBy("question_id").orderBy("rank")) == 1
+    cut = contexts.withColumn("_first", first).withColumn("text", F.when(F.col("_first"), truncated("text", total)).otherwise(F.col("text"))).drop("_first")
+    return fitted(cut.withColumn("_size", F.length("text")), ["question_id"], "rank", "_size", total).drop("_size")

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docengine.functions import text as T
 from docengine.functions import vocab
+from docengine.operators import consolidation as C
 from docengine.operators import contexts as X
 from docengine.operators import lines as L
+from docengine.operators import questions as Q
+from docengine.operators import retrieval as R
 from docengine.operators import segments as G
 from docengine.queries.chunks import _P, _parents
 from docengine.queries.common import documents, sql_fold, sql_list
-from docengine.queries.questions import _QUESTION, _match, _question
-from docengine.queries.retrieval import _ALL_DOCS, _BENCH, _benchmark, _bm25_sql
+from docengine.queries.questions import _QUESTION, _has, _match, _question
+from docengine.queries.retrieval import _ALL_DOCS, _BENCH, _PRUNED, _benchmark, _bm25_sql, _groups
 from docengine.queries.texts import _LINES, _UPPER
-from docengine.operators import retrieval as R
 
 
 def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +76,34 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("question_id", "anchor_id", "strategy", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.array_join(F.transform("included", lambda x: x.cast("string")), ",").alias("included"), "page_start", "page_end", F.md5("context_text").alias("text_hash"))
 
 
-_FNS = (document_segments, heading_titles, boundaries, loose_headings, context_build)
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of the benchmark texts with topic scores of their first chunk and what their questions ask for."""
+    q = _benchmark(spark, sf_dir).select("question_id", F.col("text").alias("asked"), _question(F.col("text")).alias("query"))
+    q = q.select("question_id", T.topic_terms("asked").alias("_asked"), (F.length("asked") % 5 == 0).alias("document_filter"), Q.names_document("query").alias("specific_document"), Q.is_overview("query").alias("overview_query"))
+    ranked = C.pruned(_groups(spark, sf_dir)).withColumn("chunk_id", F.col("chunk_ids")[0])
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    rows = ranked.join(texts, "chunk_id").join(q, "question_id")
+    score = F.size(F.array_intersect("_asked", T.topic_terms("text"))).cast("long")
+    return rows.withColumn("topic_score", F.when(score >= 3, score).otherwise(0)).withColumn("is_overview", F.length("text") % 3 == 0)
+
+
+def diversity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts put in order by topic, document and overview; three shared terms are a match."""
+    return C.diversified(_ranked(spark, sf_dir)).select("question_id", "parent_key", "reason", "promoted", F.col("rank").cast("long").alias("rank"))
+
+
+def scope_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of texts of even length as the scope."""
+    return C.preferred_scope(_ranked(spark, sf_dir), F.length("text") % 2 == 0).select("question_id", "parent_key", F.col("rank").cast("long").alias("rank"))
+
+
+def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each question's contexts fits into 3,000 characters."""
+    b = C.budgeted(_ranked(spark, sf_dir).select("question_id", "parent_key", "rank", "text"), 3000)
+    return b.select("question_id", "parent_key", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_hash"))
+
+
+_FNS = (diversity_order, scope_preference, budget_fit, document_segments, heading_titles, boundaries, loose_headings, context_build)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _ROMAN = f"{sql_list(vocab.ROMANS)}[line_index % {len(vocab.ROMANS)} + 1]"
@@ -93,7 +123,27 @@ _SEG = rf"""{_LINES}, made AS (SELECT document_id, line_index, trim(CASE WHEN le
 _BLOCK = lambda anchor: f"""rtrim('--- ' || CASE WHEN {anchor} THEN 'Chunk âncora' ELSE 'Contexto relacionado: ' || c.chunk_id END || ' ---' || chr(10) || 'Chunk: ' || c.chunk_id || chr(10) || 'Referência: ' || coalesce(c.reference, 'não informado')
       || chr(10) || 'Páginas: ' || CASE WHEN c.page_end IS NULL OR c.page_start = c.page_end THEN CAST(c.page_start AS VARCHAR) ELSE c.page_start || '-' || c.page_end END || chr(10) || chr(10) || c.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"""
 
+_STOP = sql_list(vocab.TOPIC_STOPWORDS)
+_TERMS = lambda x: f"list_distinct(list_transform(list_filter(regexp_extract_all({sql_fold(x)}, '\\w+'), lambda t: length(t) >= 4 AND NOT list_contains({_STOP}, t)), lambda t: CASE WHEN length(t) > 5 THEN regexp_replace(t, 's$', '') ELSE t END))"
+_RANKED = f"""{_PRUNED}, qq AS (SELECT item_id AS question_id, text AS asked, {_QUESTION('text')} AS query FROM benchmark), qw AS (SELECT *, {sql_fold('query')} AS folded, list_distinct(regexp_extract_all(folded, '\\w+')) AS w FROM qq),
+    qx AS (SELECT question_id, {_TERMS('asked')} AS terms, length(asked) % 5 = 0 AS document_filter, {_has(vocab.SPECIFIC_DOCUMENT_TERMS)} OR (list_contains(w, 'congregacional') AND {_has(['confissao', 'fe'])}) AS specific, {_match(vocab.OVERVIEW_PATTERNS)} AS overview FROM qw),
+    rk0 AS (SELECT pr.question_id, parent_key, document_id, priority, rs, rank, t.text, qx.* EXCLUDE (question_id), len(list_intersect(qx.terms, {_TERMS('t.text')})) AS s0, length(t.text) % 3 = 0 AS is_overview FROM pr JOIN ({_ALL_DOCS}) t ON t.doc_id = ids[1] JOIN qx USING (question_id)),
+    rk AS (SELECT *, CASE WHEN s0 >= 3 THEN s0 ELSE 0 END AS topic FROM rk0)"""
+
 ORACLE_SQL = {
+    "diversity_order": f"""WITH {_RANKED}, dm AS (SELECT *, count(*) OVER o AS n, count(DISTINCT CASE WHEN topic > 0 THEN document_id END) OVER o AS matched, count(DISTINCT document_id) OVER o AS documents, arg_min(document_id, rank) FILTER (is_overview) OVER o AS lead FROM rk WINDOW o AS (PARTITION BY question_id)),
+        dy AS (SELECT *, CASE WHEN n <= 1 THEN 'disabled_or_single_candidate' WHEN document_filter AND matched > 0 THEN 'intradocument_topic_contexts_promoted' WHEN document_filter THEN 'document_filter_present' WHEN specific THEN 'specific_document_mentioned'
+          WHEN overview AND count(*) FILTER (document_id = lead) OVER (PARTITION BY question_id) > 1 THEN 'overview_same_document_contexts_promoted' WHEN matched >= 2 THEN 'topic_matched_one_context_per_document_promoted' WHEN documents <= 1 THEN 'single_document_available' ELSE 'no_relevant_alternative_document' END AS reason,
+          row_number() OVER (PARTITION BY question_id, topic > 0 ORDER BY topic DESC, rs DESC, rank) AS ni, topic > 0 AND row_number() OVER (PARTITION BY question_id, document_id, topic > 0 ORDER BY rank) = 1 AS one FROM dm),
+        dz AS (SELECT *, row_number() OVER (PARTITION BY question_id, one ORDER BY rs DESC, rank) AS no FROM dy),
+        dp AS (SELECT *, coalesce(CASE WHEN reason LIKE 'intra%' THEN topic > 0 AND ni <= 4 WHEN reason LIKE 'overview%' THEN document_id = lead WHEN reason LIKE 'topic%' THEN one AND no <= 4 WHEN reason IN ('single_document_available', 'no_relevant_alternative_document') THEN topic > 0 END, false) AS promoted FROM dz)
+        SELECT question_id, parent_key, reason, promoted, row_number() OVER (PARTITION BY question_id ORDER BY promoted DESC, CASE WHEN promoted AND reason NOT LIKE 'overview%' AND reason NOT LIKE 'topic%' THEN topic END DESC NULLS LAST, CASE WHEN promoted AND reason NOT LIKE 'overview%' THEN rs END DESC NULLS LAST, rank) AS rank FROM dp""",
+    "scope_preference": f"""WITH {_RANKED}, sk AS (SELECT *, length(text) % 2 = 0 AS i, bool_or(length(text) % 2 = 0) OVER (PARTITION BY question_id) AS inside FROM rk)
+        SELECT question_id, parent_key, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank FROM sk WHERE NOT (inside AND NOT i AND priority = 'doctrinal')""",
+    "budget_fit": f"""WITH RECURSIVE {_RANKED}, t AS (SELECT question_id, parent_key, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS i, text AS raw,
+          CASE WHEN i = 1 AND length(raw) > 3000 THEN regexp_replace(substr(raw, 1, 3000 - {len(vocab.TRUNCATION_MARK)}), '\\s+\\z', '') || '{vocab.TRUNCATION_MARK}' ELSE raw END AS text FROM rk),
+        f AS (SELECT question_id, i, length(text) AS used, true AS fits FROM t WHERE i = 1 UNION ALL SELECT t.question_id, t.i, CASE WHEN f.used + length(t.text) <= 3000 THEN f.used + length(t.text) ELSE f.used END, f.used + length(t.text) <= 3000 FROM f JOIN t ON t.question_id = f.question_id AND t.i = f.i + 1)
+        SELECT question_id, parent_key, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_hash FROM t JOIN f USING (question_id, i) WHERE fits""",
     "document_segments": f"""WITH {_SEG}, x AS (SELECT *, sum(CASE WHEN kind = 'chapter' THEN 1 ELSE 0 END) OVER o AS n, last_value(CASE WHEN kind = 'chapter' THEN {{'n': number, 't': title}} END IGNORE NULLS) OVER o AS ch FROM seg WINDOW o AS (PARTITION BY document_id ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         y AS (SELECT *, last_value(CASE WHEN kind = 'section' THEN {{'n': number, 't': title}} END IGNORE NULLS) OVER (PARTITION BY document_id, n ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS se FROM x)
         SELECT document_id, segment, kind, CASE WHEN kind = 'article' THEN number END AS number, ch.n AS chapter_number, se.n AS section_number, md5(concat_ws('|', ch.t, se.t)) AS titles_hash, first_line, last_line, md5(array_to_string(kept, chr(10))) AS text_hash
