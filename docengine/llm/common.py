@@ -54,15 +54,22 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+#: Rows of an Arrow batch while a table is written: rows hold whole texts, and a Python worker keeps what its largest batch took.
+BATCH = 1_000
+
+
 def written(df: DataFrame, name: str = "part", slot: str | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends and the planner knows the size.
 
     The shuffle files behind the rows are dropped when the write has ended: what
-    follows reads the table. With slot, a table written under the same name and slot before is replaced.
+    follows reads the table. Arrow batches hold BATCH rows at most for the length of the write.
+    With slot, a table written under the same name and slot before is replaced.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docengine-{name}-{slot or uuid.uuid4().hex}"
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = min(int(spark.conf.get(key)), BATCH)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(spark, key, str(rows if rows > 0 else BATCH)):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
