@@ -79,6 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # a worker waits for its next task with no more than it holds
 
 
 def text_of(column: str) -> F.Column:
