@@ -3,6 +3,13 @@
 STAGES lists (name, function of (spark, docs, sf_dir)); each takes what the one
 before kept, read from Parquet. All but the last return the columns of
 documents. The result of the last has one row for each copy of a document in the mix.
+
+Rows hold whole texts, and Python workers keep what their largest Arrow batch
+took: the stages set spark.sql.execution.arrow.maxRecordsPerBatch of the session to 1,000 at most.
+
+In every stage null text counts as empty, repeated rows are documents of their
+own, and an empty table gives no rows. The columns of documents stay as they
+are, whatever others there are beside id, text and source.
 """
 
 from __future__ import annotations
@@ -15,30 +22,39 @@ from docengine.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from docengine.llm.common import held_out, table, written
 
 
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1_000:
+        spark.conf.set(key, "1000")
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5; empty texts have the model's bias alone."""
+    _small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", held_out("doc_id", 5, 0))
     scored = toxicity.score(docs, model, carry=tuple(docs.columns))
     return scored.where("_score < 0.5").select(*[F.col(f"_carry_{c}").alias(c) for c in docs.columns])
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of identical texts, that of the largest id."""
+    """One document of each group of identical texts, that of the largest id; of rows that repeat id and text one; null ids are the smallest."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that of the least id; null ids come last."""
+    _small_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of the sources takes them."""
+    """Documents as often as the mix of the sources takes them; null is a source of its own, and texts without words are of size 0."""
     return mixing.mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit integers) and the digest of what they decode to."""
+    """doc_id, n_tokens, ids (little-endian 32-bit integers) and the digest of what they decode to; an empty text has no ids."""
+    _small_batches(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     whole, pieces = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     found = bpe.joined(bpe.decode(whole, ranks), bpe.decode(pieces, ranks))
