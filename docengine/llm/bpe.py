@@ -84,6 +84,7 @@ class PieceIds(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.tokens = {r: b for b, r in ranks.items()}
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -98,7 +99,7 @@ class PieceIds(dict):
         return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two frames (_id, _row, _piece, _ids), of texts of one piece and of longer ones: the ids of each document's pieces, in order of _piece, as little-endian 32-bit integers.
 
     Texts of up to chunk + overlap characters are one piece. Longer ones are cut
@@ -110,7 +111,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     common boundary on the same pattern finds the same pre-tokens. Where two
     neighbours agree nowhere (one pre-token covers the overlap), the rest of
     the document joins the earlier one, exactly, at whatever length. Pieces are then
-    encoded apart; a piece never exceeds its document.
+    encoded apart; a piece never exceeds its document. With decoded, the same
+    task decodes the ids again, as decode() does, into _bytes: one Python worker instead of two.
 
     ranks is the whole vocabulary (fixed by its file, not by the data) and
     goes to the executors as a broadcast variable. Null text counts as empty:
@@ -163,15 +165,24 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        known = lasting(name, lambda: PieceIds(shared.value)).__getitem__
+        table = lasting(name, lambda: PieceIds(shared.value))
+        known = table.__getitem__
         for batch in slices(batches):
             out = [b"".join(map(known, find(text))) for text in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())], ["_id", "_row", "_piece", "_ids"])
+            columns = [*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())]
+            if decoded:
+                columns.append(pa.array([_bytes_of(x, table.tokens) for x in out], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"_id {id_type}, _row string, _piece int, _ids binary"
+    names = ["_id", "_row", "_piece", "_ids", *(["_bytes"] if decoded else [])]
+    schema = f"_id {id_type}, _row string, _piece int, _ids binary" + (", _bytes binary" if decoded else "")
     return short.mapInArrow(ids, schema), long.mapInArrow(ids, schema)
 
 
+def _bytes_of(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def decode(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """pieces with _bytes: the tokens' bytes, concatenated. An id outside the vocabulary raises KeyError."""
     shared = pieces.sparkSession.sparkContext.broadcast({r: b for b, r in ranks.items()})
@@ -179,12 +190,8 @@ def decode(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     place = columns.index("_ids")
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
         for batch in slices(batches):
-            out = []
-            for x in batch.column(place):
-                raw = x.as_py() or b""
-                out.append(b"".join(map(token, np.frombuffer(raw, "<u4").tolist())))
+            out = [_bytes_of(x.as_py() or b"", shared.value) for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*columns, "_bytes"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)

@@ -63,8 +63,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    whole, pieces = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(whole, ranks), bpe.decode(pieces, ranks)).withColumnRenamed("_id", "doc_id")
+    whole, pieces = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return bpe.digests(whole, pieces).withColumnRenamed("_id", "doc_id")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
