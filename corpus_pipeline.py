@@ -56,8 +56,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit integers) and the digest of what they decode to; an empty text has no ids."""
     _small_batches(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    whole, pieces = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    found = bpe.joined(bpe.decode(whole, ranks), bpe.decode(pieces, ranks))
+    whole, pieces = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True)
+    found = bpe.joined(whole, pieces)
     return found.select(F.col("_id").alias("doc_id"), (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.col("_ids").alias("ids"), F.sha2("_bytes", 256).alias("decoded_sha256"))
 
 
