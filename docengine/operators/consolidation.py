@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import vocab
 from docengine.functions.text import truncated
-from docengine.operators.lines import greedy_fit
 
 
 def siblings(chunks: DataFrame, anchors: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
@@ -27,10 +29,27 @@ def small_parents(chunks: DataFrame, most: int = 7000) -> DataFrame:
 
 
 def fitted(rows: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:
-    """Rows of each group that fit into limit, in order, what does not fit being skipped. A group is one question's contexts."""
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rows.columns).alias("_r"), F.col(size).cast("long").alias("_s")))).alias("_all"))
-    places = greedy_fit(F.transform("_all", lambda x: x["_s"]), limit)
-    return listed.select(F.explode(F.transform(places, lambda i: F.element_at("_all", i)["_r"])).alias("_r")).select("_r.*")
+    """Rows of each group that fit into limit, in order (ties by the other columns), what does not fit being skipped; the first always fits.
+
+    What fits depends on what was taken before, so a group is read in one task,
+    sorted, with nothing but its running total held. A null size counts as 0.
+    """
+    columns = rows.columns
+    places, at = [columns.index(k) for k in keys], columns.index(size)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total = None, 0
+        for batch in batches:
+            kept = []
+            for key, n in zip(zip(*[batch.column(i).to_pylist() for i in places], strict=True), batch.column(at).to_pylist(), strict=True):
+                first = key != group
+                group, total = key, 0 if first else total
+                kept.append(first or total + (n or 0) <= limit)
+                total += (n or 0) if kept[-1] else 0
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    rest = [c for c in columns if c not in (*keys, order)]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order, *rest).mapInArrow(fit, rows.schema)
 
 
 def content_priority(chunk_type: Column, document_type: Column, source_category: Column, content_role: Column) -> Column:

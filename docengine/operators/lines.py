@@ -17,6 +17,11 @@ def ordered(*more: str) -> Window:
     return Window.partitionBy("document_id", *more).orderBy("line_index")
 
 
+def below() -> Window:
+    """The lines under each one, read from the last line up: one pass over a text, whatever its length."""
+    return Window.partitionBy("document_id").orderBy(F.desc("line_index")).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def carried(lines: DataFrame, heading: Column, name: str = "heading") -> DataFrame:
     """Each line with the last heading at or above it."""
     return lines.withColumn(name, F.last(F.when(heading, F.col("line")), ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
@@ -29,7 +34,7 @@ def segmented(lines: DataFrame, boundary: Column, name: str = "segment") -> Data
 
 def next_match(lines: DataFrame, matches: Column, name: str = "next_index") -> DataFrame:
     """Each line with the index of the first match below it."""
-    return lines.withColumn(name, F.min(F.when(matches, F.col("line_index"))).over(ordered().rowsBetween(1, Window.unboundedFollowing)))
+    return lines.withColumn(name, F.min(F.when(matches, F.col("line_index"))).over(below()))
 
 
 def merged_markers(lines: DataFrame, marker: Column, follower: Column) -> DataFrame:

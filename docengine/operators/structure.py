@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.operators.lines import ordered, segmented
+from docengine.operators.lines import below, ordered, segmented
 
 #: Books of the Bible and their abbreviations (a fixed pattern).
 BOOKS = (
@@ -39,12 +39,11 @@ def joined_paragraphs(lines: DataFrame, starts: Column) -> DataFrame:
 
 def forward_pairs(lines: DataFrame, left: Column, right: Column) -> DataFrame:
     """document_id, left_index, right_index, end_index: each left line with the next right line below it; it ends before the next left line after that. Lines without a partner are left out."""
-    below = ordered().rowsBetween(1, Window.unboundedFollowing)
-    found = lines.withColumn("_l", left).withColumn("right_index", F.min(F.when(right, F.col("line_index"))).over(below)).withColumn("_last", F.max("line_index").over(Window.partitionBy("document_id")))
-    pairs = found.where("_l and right_index is not null").select("document_id", F.col("line_index").alias("left_index"), "right_index", "_last")
-    starts = found.where("_l").select("document_id", F.col("line_index").alias("_start"))
-    after = pairs.join(starts, "document_id").where("_start > right_index").groupBy("document_id", "left_index").agg(F.min("_start").alias("_next"))
-    return pairs.join(after, ["document_id", "left_index"], "left").select("document_id", "left_index", "right_index", (F.coalesce("_next", F.col("_last") + 1) - 1).alias("end_index"))
+    found = lines.withColumn("_l", left).withColumn("_r", right).withColumn("_last", F.max("line_index").over(Window.partitionBy("document_id")))
+    found = found.withColumn("_next", F.min(F.when(F.col("_l"), F.col("line_index"))).over(below()))
+    found = found.withColumn("_pair", F.min(F.when(F.col("_r"), F.struct("line_index", "_next"))).over(below())).where("_l and _pair is not null")
+    end = F.coalesce("_pair._next", F.col("_last") + 1) - 1
+    return found.select("document_id", F.col("line_index").alias("left_index"), F.col("_pair.line_index").alias("right_index"), end.alias("end_index"))
 
 
 def repaired_numbers(numbers: Column) -> Column:

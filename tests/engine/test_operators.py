@@ -12,6 +12,7 @@ from docengine.operators import evaluation as E
 from docengine.operators import lines as L
 from docengine.operators import questions as Q
 from docengine.operators import retrieval as R
+from docengine.operators import structure as S2
 from docengine.plans.answering import decisions
 from docengine.sources import files as S
 from docengine.streaming.events import SCHEMA, new_chunks, read_events, windowed_counts
@@ -73,6 +74,39 @@ def test_budget_skips_what_does_not_fit(spark):
     assert one(spark, L.greedy_fit(F.array(F.lit(50), F.lit(1)), 10)) == [1]
 
 
+def test_fitted_groups_over_many_batches(spark):
+    sizes = [(q, i, (i * 37 + (q or 0)) % 23 if i % 5 else None) for q in (1, 2, None) for i in range(300)]
+    rows = spark.createDataFrame(sizes, "q int, at int, n int")
+    with_small = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(with_small)
+    spark.conf.set(with_small, "7")
+    try:
+        got = sorted((str(r["q"]), r["at"]) for r in C.fitted(rows, ["q"], "at", "n", 500).collect())
+    finally:
+        spark.conf.set(with_small, before)
+    want = []
+    for q in (1, 2, None):
+        total = 0
+        for g, i, n in sizes:
+            if g == q and (i == 0 or total + (n or 0) <= 500):
+                total += n or 0
+                want.append((str(q), i))
+    assert got == sorted(want)
+    assert C.fitted(rows.where("false"), ["q"], "at", "n", 500).count() == 0
+
+
+def test_forward_pairs(spark):
+    marks = {"a": "LxRLRL", "b": "RRL", "c": "LLRRxL", "d": "LR"}
+    lines = spark.createDataFrame([(d, i, x) for d, m in marks.items() for i, x in enumerate(m, 1)], "document_id string, line_index long, line string")
+    want = set()
+    for d, m in marks.items():
+        for i in (i for i, x in enumerate(m, 1) if x == "L"):
+            right = m.find("R", i) + 1
+            if right:
+                want.add((d, i, right, m.find("L", right) if "L" in m[right:] else len(m)))
+    assert {tuple(r) for r in S2.forward_pairs(lines, F.col("line") == "L", F.col("line") == "R").collect()} == want
+
+
 def test_consolidation(spark):
     rows = [(1, "p1", "d1", "a", 2.0, "expanded", "doctrinal", 1), (1, "p1", "d1", "b", 1.0, "anchor_only", "contextual", 3), (1, "p2", "d2", "c", 10.0, "anchor_only", "introductory", 1), (1, "p3", "d1", "d", 1.9, "expanded", "normative", 1)]
     g = C.grouped(spark.createDataFrame(rows, "question_id int, parent_key string, document_id string, chunk_id string, score double, status string, priority string, page int")).withColumn("doctrinal_query", F.lit(True))
