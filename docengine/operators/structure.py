@@ -29,12 +29,16 @@ def article_heading(line: Column) -> Column:
     return F.when(s.rlike(pattern), F.struct(part(1).alias("number"), F.concat(F.lit("Art. "), part(1), part(2)).alias("display"), F.trim(part(3)).alias("remainder")))
 
 
-def joined_paragraphs(lines: DataFrame, starts: Column) -> DataFrame:
-    """document_id, paragraph, text: lines joined by spaces from each start on; a line that ends in a hyphen joins without."""
-    cut = segmented(lines, starts, "paragraph")
+def joined_lines() -> Column:
+    """A group's lines in order, joined by spaces; a line that ends in a hyphen joins without."""
     piece = F.when(F.col("line").endswith("-"), F.regexp_replace("line", "-$", "")).otherwise(F.concat("line", F.lit(" ")))
     listed = F.array_sort(F.collect_list(F.struct("line_index", piece.alias("piece"))))
-    return cut.groupBy("document_id", "paragraph").agg(F.trim(F.concat_ws("", F.transform(listed, lambda x: x["piece"]))).alias("text"))
+    return F.trim(F.concat_ws("", F.transform(listed, lambda x: x["piece"])))
+
+
+def joined_paragraphs(lines: DataFrame, starts: Column) -> DataFrame:
+    """document_id, paragraph, text: lines joined from each start on."""
+    return segmented(lines, starts, "paragraph").groupBy("document_id", "paragraph").agg(joined_lines().alias("text"))
 
 
 def forward_pairs(lines: DataFrame, left: Column, right: Column) -> DataFrame:

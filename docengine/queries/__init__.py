@@ -1,6 +1,7 @@
 """Registered queries: each with the DuckDB SQL that gives the same rows."""
 
-from docengine.queries import chunks, contexts, questions, retrieval, structure, texts
+from docengine.queries import chunks, contexts, questions, records, retrieval, structure, texts
 
-QUERIES = texts.QUERIES | chunks.QUERIES | retrieval.QUERIES | questions.QUERIES | structure.QUERIES | contexts.QUERIES
-ORACLE_SQL = texts.ORACLE_SQL | chunks.ORACLE_SQL | retrieval.ORACLE_SQL | questions.ORACLE_SQL | structure.ORACLE_SQL | contexts.ORACLE_SQL
+_MODULES = (texts, chunks, retrieval, questions, structure, contexts, records)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
