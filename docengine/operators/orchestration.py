@@ -31,15 +31,15 @@ def by_roles(candidates: DataFrame, roles: list[str], most: int) -> DataFrame:
     """
     row = F.struct("rank", "chunk_id", "document_id", "roles")
     listed = candidates.groupBy("question_id").agg(F.array_sort(F.collect_list(row)).alias("_all"))
-    pick_type = "array<struct<role:string,chunk_id:bigint,document_id:string>>"
-    picks = F.array().cast(pick_type)
-    for role in roles:
+    none = F.array().cast("array<struct<role:string,chunk_id:bigint,document_id:string>>")
+
+    def pick(picks: Column, role: Column) -> Column:
         used = F.transform(picks, lambda p: p["document_id"])
-        fit = F.filter("_all", lambda x: F.array_contains(x["roles"], role) & ~F.array_contains(F.col("_used"), x["document_id"]))
-        listed = listed.withColumn("_picks", picks).withColumn("_used", used)
-        best = F.when((F.size(fit) > 0) & (F.size("_picks") < most), F.array(F.struct(F.lit(role).alias("role"), F.try_element_at(fit, F.lit(1))["chunk_id"].alias("chunk_id"), F.try_element_at(fit, F.lit(1))["document_id"].alias("document_id"))))
-        listed = listed.withColumn("_picks", F.concat("_picks", F.coalesce(best, F.array().cast(pick_type)))).drop("_used")
-        picks = F.col("_picks")
+        fit = F.filter("_all", lambda x: F.array_contains(x["roles"], role) & ~F.array_contains(used, x["document_id"].cast("string")))
+        room = F.when(F.size(picks) < most, 1).otherwise(0)
+        return F.concat(picks, F.transform(F.slice(fit, F.lit(1), room), lambda x: F.struct(role.alias("role"), x["chunk_id"].cast("bigint").alias("chunk_id"), x["document_id"].cast("string").alias("document_id"))))
+
+    listed = listed.select("question_id", F.aggregate(F.array(*map(F.lit, roles)), none, pick).alias("_picks"))
     return listed.select("question_id", F.explode("_picks").alias("p")).select("question_id", "p.*")
 
 

@@ -1,7 +1,7 @@
 """Registered queries: each with the DuckDB SQL that gives the same rows."""
 
-from docengine.queries import chunks, contexts, questions, records, retrieval, structure, texts
+from docengine.queries import chunks, contexts, packages, questions, records, retrieval, structure, texts
 
-_MODULES = (texts, chunks, retrieval, questions, structure, contexts, records)
+_MODULES = (texts, chunks, retrieval, questions, structure, contexts, records, packages)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
