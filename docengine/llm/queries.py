@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, exact_dedup, html_extract, licenses, mixing, near_dedup, quality, repetition, suffix_dedup, toxicity
-from docengine.llm.common import table, text_of
+from docengine.llm import bpe, collocations, exact_dedup, filter_audit, html_extract, language_model, licenses, mixing, near_dedup, quality, repetition, suffix_dedup, toxicity
+from docengine.llm.common import held_out, table, text_of
 
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_near_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_repetition, op7_suffix_dedup, op8_license_scan, op9_byte_bpe, op10_quality)}
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the model of those outside one seventh of the ids; nulls, repeats and empty tables as in perplexity()."""
+    found = language_model.perplexity(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2)).withColumnRenamed("_id", "doc_id")
+    return found.withColumn("base_score", F.round("base_score", 6)).withColumn("score", F.round("score", 6))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 most cohesive phrases of each language, of those that no longer phrase covers; nulls and empty tables as in collocations()."""
+    found = collocations.best(collocations.collocations(table(spark, sf_dir, "documents")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language in all 120 orders; nulls, repeats and empty tables as in audit()."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("_part", "part")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_main_text, op2_near_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_repetition, op7_suffix_dedup, op8_license_scan, op9_byte_bpe, op10_quality, op11_language_model, op12_collocations, op13_filter_audit)}
 
 ORACLE_SQL = {
+    "op11_language_model": language_model.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
     "op8_license_scan": licenses.oracle(),
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
