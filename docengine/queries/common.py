@@ -52,6 +52,19 @@ def sql_slug(x: str, empty: str = "sem-chave") -> str:
     return f"coalesce(nullif(trim(regexp_replace({sql_fold(x)}, '[^a-z0-9]+', '-', 'g'), '-'), ''), '{empty}')"
 
 
+def split_sql(x: str, limit: int = 3200) -> str:
+    """Parts of up to `limit` characters of a text as a list, by a fold over paragraphs with a fold over sentences inside."""
+    made = lambda parts, now: f"{{'parts': {parts}, 'now': {now}}}"
+    empty = "CAST([] AS VARCHAR[])"
+    flush = lambda a: f"CASE WHEN {a}.now = '' THEN {a}.parts ELSE list_append({a}.parts, {a}.now) END"
+    sentences = "string_split(regexp_replace(p.now, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    also = "CASE WHEN b.now = '' THEN s.now ELSE trim(b.now || ' ' || s.now) END"
+    inner = f"list_reduce(list_prepend({made(flush('a'), chr(39) * 2)}, list_transform({sentences}, lambda piece: {made(empty, 'piece')})), lambda b, s: CASE WHEN length({also}) <= {limit} THEN {made('b.parts', also)} ELSE {made(flush('b'), 's.now')} END)"
+    more = "CASE WHEN a.now = '' THEN p.now ELSE trim(a.now || chr(10) || chr(10) || p.now) END"
+    outer = f"list_reduce(list_prepend({made(empty, chr(39) * 2)}, list_transform(string_split({x}, chr(10) || chr(10)), lambda piece: {made(empty, 'piece')})), lambda a, p: CASE WHEN length({more}) <= {limit} THEN {made('a.parts', more)} ELSE {inner} END)"
+    return f"CASE WHEN length({x}) <= {limit} THEN [{x}] ELSE list_transform([{outer}], lambda a: {flush('a')})[1] END"
+
+
 DOCS = "SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents"
 CHUNKS = f"""SELECT doc_id AS chunk_id, 'd' || doc_id // {CHUNKS_OF} AS document_id, coalesce(text, '') AS text, lang, doc_id AS position,
     {sql_list(CHUNK_TYPES)}[doc_id % {len(CHUNK_TYPES)} + 1] AS chunk_type,

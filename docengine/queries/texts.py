@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import text as T
 from docengine.operators import lines as L
-from docengine.queries.common import DOCS, documents, sql_fold, sql_list, sql_slug
+from docengine.queries.common import DOCS, documents, split_sql, sql_fold, sql_list, sql_slug
 from docengine.functions import vocab
 
 
@@ -190,6 +190,9 @@ ORACLE_SQL = {
         WITH {_LINES}, n AS (SELECT document_id, list(len ORDER BY line_index) AS c FROM (SELECT *, length(line) % 6 AS len, row_number() OVER (PARTITION BY document_id ORDER BY line_index) AS place FROM lines) WHERE place <= 12 GROUP BY document_id),
         u AS (SELECT document_id, c, list_filter(c, lambda x, i: x BETWEEN 1 AND 4 AND NOT list_contains(c[1:i - 1], x)) AS used FROM n)
         SELECT document_id, array_to_string(list_transform(c, lambda x: '[' || CASE WHEN list_contains(used, x) THEN list_position(used, x) ELSE x END || ']'), '') AS cited, array_to_string(list_transform(used, lambda x: CAST(x AS VARCHAR)), ',') AS numbers FROM u""",
+    "length_parts": f"""
+        WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS x FROM ({DOCS})), p AS (SELECT doc_id, {split_sql('x')} AS parts FROM d)
+        SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_parts, CAST(list_max(list_transform(parts, lambda p: length(p))) AS BIGINT) AS longest, CAST(list_sum(list_transform(parts, lambda p: length(p))) AS BIGINT) AS chars FROM p""",
     "answer_cleanup": rf"""
         WITH d AS (SELECT doc_id, 'αβγ ' || text AS t FROM ({DOCS})),
         c AS (SELECT doc_id, regexp_replace(t, '[\x{{370}}-\x{{3ff}}\x{{1f00}}-\x{{1fff}}\x{{590}}-\x{{5ff}}]+', '', 'g') AS t FROM d)
