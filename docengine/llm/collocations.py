@@ -12,39 +12,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.common import lasting, text_of, written
-from docengine.llm.grams import PACKED, batch_of, dealt, gathered, mixed, ranges, summed, text_slices
-from docengine.llm.repetition import WordHashes
+from docengine.llm.grams import PACKED, Splitter, batch_of, dealt, gathered, mixed, ranges, summed, text_slices
 
 #: Words of the longest phrase, least occurrences, one in SAMPLE documents proposes, phrases with SAMPLE_LEAST occurrences there are proposed.
 LONGEST, LEAST, SAMPLE, SAMPLE_LEAST = 4, 30, 8, 2
 #: Bits of the set of proposed phrases that tasks hold: 8 MB at any size of the corpus. A false member is counted without need, and exactly.
 BITS = 26
-#: What parts two pieces of a text, and marks that no UTF-8 text holds: between pieces, between documents.
+#: What parts two pieces of a text.
 PARTING = b".,;:!?\n\x0b\x0c\r"
-PIECE, DOCUMENT = b"\xff", b"\xfe"
-MARKED = bytes.maketrans(PARTING, PIECE * len(PARTING))
+#: Phrases are named from one in NAMING documents, the rest from all.
+NAMING = 16
 #: Keys of phrases that a task remembers to have named.
 NAMED = 3_000_000
 
 
+def splitter() -> Splitter:
+    return lasting("phrase words", lambda: Splitter(b" \t", PARTING))
+
+
 class Slice:
     """The words of some documents in a row, and hashes of (language, phrase) by length for each first word."""
 
-    def __init__(self, batches: list[pa.RecordBatch], longest: int, hashes: WordHashes):
+    def __init__(self, batches: list[pa.RecordBatch], longest: int):
         texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for b in batches for t in b.column(0)]
         self.langs = [x for b in batches for x in b.column(1).to_pylist()]
-        joined = (b" " + DOCUMENT + b" ").join(t.translate(MARKED).lower().replace(PIECE, b" " + PIECE + b" ") for t in texts)
-        self.tokens = joined.split()  # white space that is left is blanks and tabs
-        x = np.fromiter(map(hashes.__getitem__, self.tokens), np.uint64, len(self.tokens))
-        piece, document = (x == np.uint64(hashes[m]) for m in (PIECE, DOCUMENT))
-        of = np.cumsum(document)
-        seeds = np.array([xxhash.xxh3_64_intdigest(lang.encode(), seed=7) for lang in self.langs], np.uint64)
-        self.marks, part = piece | document, np.cumsum(piece | document)
-        self.document, self.hash, self.valid = of, [], []
+        self.data = b"\n".join(texts)
+        x, self.start, self.end, piece = splitter()(self.data)
+        self.document = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.start, "right")
+        known = {lang: xxhash.xxh3_64_intdigest(lang.encode(), seed=7) for lang in set(self.langs)}
+        seeds = np.array([known[lang] for lang in self.langs], np.uint64)
+        self.hash, self.valid = [], []
         for k in range(1, longest + 1):
             n = max(len(x) - k + 1, 0)
-            self.hash.append(mixed(seeds[of], x) if k == 1 else mixed(self.hash[-1][:n], x[k - 1 :]))
-            self.valid.append(~self.marks[:n] & (part[:n] == part[k - 1 :]))
+            self.hash.append(mixed(seeds[self.document], x) if k == 1 else mixed(self.hash[-1][:n], x[k - 1 :]))
+            self.valid.append(piece[:n] == piece[k - 1 :])
+
+    def phrase(self, i: int, k: int) -> str:
+        return b" ".join(self.data[self.start[i] : self.end[i + k - 1]].lower().split()).decode()
 
     def inside(self, k: int, bits: np.ndarray) -> np.ndarray:
         """Where a phrase of k words begins whose first and whose last k - 1 words are both in the set."""
@@ -71,6 +75,10 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.encode(text_of(text_col), "UTF-8").alias("_bytes"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"))
 
 
+def _drawn(docs: DataFrame, one_in: int, text_col: str, id_col: str) -> DataFrame:
+    return docs.where(F.pmod(F.xxhash64(F.col(id_col), F.length(text_of(text_col))), F.lit(one_in)) == 0)
+
+
 def counted(rows: DataFrame, shards: int, least: int, longest: int = LONGEST, inside: Broadcast | None = None, known: Broadcast | None = None) -> DataFrame:
     """(k, key, f): phrases of k words that occur at least `least` times in the rows.
 
@@ -79,9 +87,8 @@ def counted(rows: DataFrame, shards: int, least: int, longest: int = LONGEST, in
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = lasting("phrase words", WordHashes)
         for held in text_slices(batches):
-            found, out = Slice(held, longest, hashes), []
+            found, out = Slice(held, longest), []
             for k in range(1, longest + 1):
                 if k == 1 or inside is None:
                     take = found.valid[k - 1] if known is None else np.zeros(0, bool)
@@ -108,36 +115,28 @@ def counted(rows: DataFrame, shards: int, least: int, longest: int = LONGEST, in
 
 
 def named(rows: DataFrame, members: Broadcast, longest: int = LONGEST) -> DataFrame:
-    """(k, key, lang, phrase, parts, n): the phrases in the set, once or more for each task, with the keys of their parts, first and rest, for each cut; with k = 0 words by language."""
+    """(key, lang, phrase): the phrases in the set, each about once for each task that meets it."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = lasting("phrase words", WordHashes), set()
+        seen: set[int] = set()
         for held in text_slices(batches):
-            found = Slice(held, longest, hashes)
-            per = np.bincount(found.document[~found.marks], minlength=len(found.langs)) if found.langs else ()
-            totals: dict[str, int] = {}
-            for lang, n in zip(found.langs, per, strict=True):
-                totals[lang] = totals.get(lang, 0) + int(n)
-            out = [(0, 0, lang, None, None, n) for lang, n in totals.items()]
+            found = Slice(held, longest)
             for k in range(1, longest + 1):
                 h = found.hash[k - 1]
                 at = np.flatnonzero(found.valid[k - 1])
                 at = at[has(members.value, h[at])]
                 keys, first = np.unique(h[at], return_index=True)
-                for key, i in zip(keys.view(np.int64).tolist(), at[first].tolist(), strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        parts = [int(found.hash[n - 1][j].view(np.int64)) for c in range(1, k) for n, j in ((c, i), (k - c, i + c))]
-                        out.append((k, key, found.langs[found.document[i]], b" ".join(found.tokens[i : i + k]).decode(), parts, None))
+                new = [(key, i) for key, i in zip(keys.view(np.int64).tolist(), at[first].tolist(), strict=True) if key not in seen]
+                seen.update(key for key, _ in new)
+                for a in range(0, len(new), 50_000):
+                    part = new[a : a + 50_000]
+                    columns = [pa.array([key for key, _ in part], pa.int64()), pa.array([found.langs[found.document[i]] for _, i in part], pa.string()), pa.array([found.phrase(i, k) for _, i in part], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "lang", "phrase"])
             if len(seen) > NAMED:
                 seen.clear()
             del found
-            for a in range(0, len(out), 100_000):
-                columns = zip(*out[a : a + 100_000], strict=True)
-                kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "key", "lang", "phrase", "parts", "n"])
 
-    return rows.mapInArrow(name, "k int, key long, lang string, phrase string, parts array<long>, n long")
+    return rows.mapInArrow(name, "key long, lang string, phrase string")
 
 
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE, sample_least: int = SAMPLE_LEAST) -> DataFrame:
@@ -155,8 +154,7 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows, shards = _rows(docs, text_col, lang_col), ranges(docs, text_col)
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.length(text_of(text_col))), F.lit(sample)) == 0)
-    bits = bit_set(counted(_rows(drawn, text_col, lang_col), shards, sample_least, longest - 1))
+    bits = bit_set(counted(_rows(_drawn(docs, sample, text_col, id_col), text_col, lang_col), shards, sample_least, longest - 1))
     inside = sc.broadcast(bits)
     found = written(counted(rows, shards, least, longest, inside), "phrases")
     fresh = found
@@ -181,7 +179,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     Counts are exact up to collisions of 64-bit hashes of (language, phrase).
     Tasks hold the sets of phrases as 2^BITS bits; counts are added up by
     ranges of the hash, whose number follows the size of the texts, so no
-    frequent phrase or language meets in one task. The last pass names the phrases.
+    frequent phrase or language meets in one task. Frequent phrases get their texts from one in
+    NAMING documents, what is not found there from all.
 
     Null text counts as empty, null lang as und. Repeated rows count each. An
     empty table, or texts without repeated phrases, give no rows. Columns
@@ -189,19 +188,24 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     sc = docs.sparkSession.sparkContext
     counts = frequent(docs, text_col, lang_col, id_col, least, longest, sample, sample_least)
-    names = written(named(_rows(docs, text_col, lang_col), sc.broadcast(bit_set(counts)), longest), "names")
-    words = names.where("k = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    one = names.where("k > 1").groupBy("key").agg(F.first(F.struct("lang", "phrase", "parts")).alias("_of"))
-    phrases = written(one.join(counts.select("key", "k", F.col("f").alias("a")), "key").select("key", "k", "a", "_of.*"), "candidates")
-    count = lambda c: counts.select(F.col("key").alias(f"_{c}"), F.col("f").alias(c))
-    cuts = phrases.select("key", "a", "parts", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
-    cuts = cuts.select("key", "a", "cut", F.element_at("parts", F.expr("2 * cut - 1")).alias("_l"), F.element_at("parts", F.expr("2 * cut")).alias("_r"))
-    scored = cuts.join(count("l"), "_l").join(count("r"), "_r")
+    rows = _rows(docs, text_col, lang_col)
+    of = lambda frame, wanted: frame.groupBy("key").agg(F.first(F.struct("lang", "phrase")).alias("_of")).join(wanted, "key").select("key", "k", "f", "_of.*")
+    some = written(of(named(_rows(_drawn(docs, NAMING, text_col, id_col), text_col, lang_col), sc.broadcast(bit_set(counts)), longest), counts), "names")
+    rest = counts.join(some.select("key"), "key", "left_anti")
+    phrases = some.unionByName(written(of(named(rows, sc.broadcast(bit_set(rest)), longest), rest), "names"))
+    in_lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
+    words = docs.select(in_lang, F.regexp_count(text_of(text_col), F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+")).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    split = F.split("phrase", " ")
+    part = lambda begin, length: F.array_join(F.slice(split, begin, length), " ")
+    count = lambda c: phrases.select("lang", F.col("phrase").alias(f"_{c}"), F.col("f").alias(c))
+    longer_than_one = phrases.where("k > 1").select("key", "lang", "phrase", "k", F.col("f").alias("a"))
+    cuts = longer_than_one.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).withColumn("_l", part(F.lit(1), F.col("cut"))).withColumn("_r", part(F.col("cut") + 1, F.col("k")))
+    scored = cuts.join(count("l"), ["lang", "_l"]).join(count("r"), ["lang", "_r"])
     scored = scored.withColumn("score", F.expr("2000000 * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + r)"))
-    worst = scored.groupBy("key").agg(F.min(F.struct("score", "cut", "l", "r")).alias("_worst"))
-    longer = phrases.where("k > 2").select("a", F.explode(F.array(F.element_at("parts", F.expr("2 * (k - 1) - 1")), F.element_at("parts", F.lit(2)))).alias("key"))
-    longer = longer.groupBy("key").agg(F.max("a").alias("_longer"))
-    out = phrases.join(worst, "key").join(longer, "key", "left").join(words, "lang")
+    worst = scored.groupBy("key", "lang", "phrase", "k", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("_worst"))
+    longer = phrases.where("k > 2").select("lang", "f", F.explode(F.array(part(F.lit(1), F.col("k") - 1), part(F.lit(2), F.col("k")))).alias("phrase"))
+    longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("_longer"))
+    out = worst.join(longer, ["lang", "phrase"], "left").join(words, "lang")
     covered = F.coalesce(F.col("_longer") >= F.col("a") - F.floor(F.col("a") / 5), F.lit(False))  # 5 f >= 4 a, without overflow
     return out.select("lang", "phrase", "key", "k", "a", "_worst.l", "_worst.r", "n", "_worst.score", covered.alias("_covered"))
 

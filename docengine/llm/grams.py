@@ -37,22 +37,42 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Unsigned columns, each in as few bytes as its largest value needs, byte by byte: equal high bytes of neighbours then compress in the shuffle."""
-    out = [bytes([len(columns)])]
-    for c in columns:
-        c = c.astype(np.min_scalar_type(int(c.max())) if len(c) else np.uint8)
-        out += [bytes([c.itemsize]), c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes()]
-    return b"".join(out)
+def _planes(values: np.ndarray) -> bytes:
+    """A column in as few bytes as its largest value needs, byte by byte: equal high bytes of neighbours then compress in the shuffle."""
+    values = values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
+    return bytes([values.itemsize]) + values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    size = data[at]
+    planes = np.frombuffer(data, np.uint8, n * size, at + 1).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(f"u{size}").ravel(), at + 1 + n * size
+
+
+def pack(columns: list[np.ndarray], words: int = 0) -> bytes:
+    """Unsigned columns as bytes. Of the first `words` columns each distinct value is held once, with a number for each row; rows are put in order of the first."""
+    out, coded = [bytes([len(columns), words])], []
+    for c in columns[:words]:
+        values, number = np.unique(c, return_inverse=True)
+        out += [len(values).to_bytes(4, "little"), _planes(values)]
+        coded.append(number)
+    columns = [*coded, *columns[words:]]
+    if words:
+        order = np.argsort(coded[0], kind="stable")
+        columns = [c[order] for c in columns]
+    return b"".join(out + [_planes(c) for c in columns])
 
 
 def unpack(data: bytes, n: int) -> list[np.ndarray]:
-    out, at = [], 1
-    for _ in range(data[0]):
-        size = data[at]
-        planes = np.frombuffer(data, np.uint8, n * size, at + 1).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"u{size}").ravel().astype(np.uint64))
-        at += 1 + n * size
+    """The columns of pack(), as 64-bit numbers; rows may have changed their order, in all columns alike."""
+    words, values, out, at = data[1], [], [], 2
+    for _ in range(words):
+        m = int.from_bytes(data[at : at + 4], "little")
+        held, at = _from_planes(data, at + 4, m)
+        values.append(held)
+    for i in range(data[0]):
+        column, at = _from_planes(data, at, n)
+        out.append((values[i][column] if i < words else column).astype(np.uint64))
     return out
 
 
@@ -66,12 +86,12 @@ def summed(keys: np.ndarray, values: list[np.ndarray], firsts: list[np.ndarray]
     return held[start], [np.add.reduceat(v[order], start) for v in values], [f[order[start]] for f in firsts]
 
 
-def dealt(kind: int, keys: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[tuple[int, int, int, bytes]]:
+def dealt(kind: int, keys: np.ndarray, columns: list[np.ndarray], shards: int, words: int = 0) -> Iterator[tuple[int, int, int, bytes]]:
     """Rows of PACKED for sorted keys and the columns that belong to them; keys are a column only where named."""
     bounds = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
     for s in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
         a, b = bounds[s], bounds[s + 1]
-        yield s, kind, int(b - a), pack([c[a:b] for c in columns])
+        yield s, kind, int(b - a), pack([c[a:b] for c in columns], words)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -85,6 +105,67 @@ def gathered(table: pa.Table, kind: int) -> list[np.ndarray] | None:
     return [np.concatenate(c) for c in zip(*found, strict=True)] if found else None
 
 
+class Splitter:
+    """Finds and hashes the words of a text in numpy: a word's hash is a polynomial of its bytes, mixed; letters A to Z count as a to z.
+
+    blank and parting: bytes that words end at; the number of parting ones before a word is the number of its piece.
+    """
+
+    #: Bytes looked at together, so that what is made of them stays in a cache; longer words are hashed block by block.
+    BLOCK = 1 << 17
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, blank: bytes, parting: bytes = b""):
+        self.kind = np.zeros(256, np.uint8)
+        self.kind[list(blank)], self.kind[list(parting)] = 1, 2
+        values = np.random.default_rng(20_240).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        values[65:91] = values[97:123]
+        self.values = values
+        power = lambda b: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(2 * self.BLOCK, b % 2**64, np.uint64))))
+        self.powers, self.inverses = power(self.BASE), power(pow(self.BASE, -1, 2**64))
+
+    def _sum(self, block: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(self.values[block] * self.powers[: len(block)], out=out[1:])
+        return out
+
+    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first byte, end and piece of each word."""
+        found, at, piece, every = [], 0, 0, np.frombuffer(data, np.uint8)
+        while at < len(data):
+            block = every[at : at + self.BLOCK]
+            kind = self.kind[block]
+            if at + len(block) < len(data):  # stop behind the last byte that is in no word
+                last = len(kind) - int(np.argmax(kind[::-1] > 0)) if kind.any() else 0
+                if not last:
+                    at, one = self._long(every, at, piece)
+                    found.append(one)
+                    continue
+                block, kind = block[:last], kind[:last]
+            edge = np.flatnonzero(np.diff(np.concatenate(([True], kind > 0, [True])).view(np.int8)))
+            start, end = edge[::2], edge[1::2]
+            sums = self._sum(block)
+            parted = np.cumsum(kind == 2) + piece
+            found.append(((sums[end] - sums[start]) * self.inverses[start], start + at, end + at, parted[start] if len(start) else start))
+            piece = int(parted[-1])
+            at += len(block)
+        x, start, end, pieces = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        return mixed(x, np.uint64(0)), start, end, pieces
+
+    def _long(self, every: np.ndarray, at: int, piece: int) -> tuple[int, tuple]:
+        """A word that begins here and fills a block, and where it ends."""
+        total, end = 0, at
+        while end < len(every):
+            block = every[end : end + self.BLOCK]
+            stop = np.flatnonzero(self.kind[block])
+            block = block[: stop[0]] if len(stop) else block
+            total += int(self._sum(block)[-1]) * pow(self.BASE, end - at, 2**64)
+            end += len(block)
+            if len(stop):
+                break
+        return end, (np.array([total % 2**64], np.uint64), np.array([at]), np.array([end]), np.array([piece]))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], tokens: int | None = None, text: int = 0) -> Iterator[list[pa.RecordBatch]]:
     """Rows in runs of about SLICE tokens, judged by bytes of text; a longer single text is a run of its own."""
     most, held, size = 6 * (tokens or SLICE), [], 0

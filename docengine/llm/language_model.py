@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.common import lasting, shared_dir, text_of, written
-from docengine.llm.grams import PACKED, batch_of, dealt, gathered, mixed, ranges, shard_of, summed, text_slices
-from docengine.llm.repetition import WordHashes
+from docengine.llm.grams import PACKED, SLICE, Splitter, batch_of, dealt, gathered, mixed, ranges, shard_of, summed, text_slices
 
 #: Words of the longest n-gram.
 ORDER = 2
-#: Marks that no UTF-8 text holds: the end of a text, a token of its own; and what stands before its first word.
-END, START = b"\xff", b"\xfe"
+#: Hashes of the end of a text, a token of its own, and of what stands before its first word.
+END, START = np.uint64(1), np.uint64(2)
+SPACE = b" \t\n\x0b\x0c\r"
 #: What is kept of each n-gram below the longest: different words before it, occurrences; and of it as a context: what follows it, by how often.
 LOWER = ("kinds", "count", "total", "once", "twice", "more")
 
@@ -39,11 +39,14 @@ class Model:
     by_kinds: tuple[int, int, int]
 
 
-def sequence(texts: list[bytes], order: int, hashes: WordHashes) -> np.ndarray:
+def sequence(texts: list[bytes], order: int, split: Splitter) -> np.ndarray:
     """The tokens of texts in a row, as hashes: before each text order - 1 starts, after it an end."""
-    begin, end = (START + b" ") * (order - 1), b" " + END + b" "
-    tokens = b"".join(x for t in texts for x in (begin, t, end)).lower().split()
-    return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+    x, start, _, _ = split(b"\n".join(texts))
+    of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    out = np.full(len(x) + order * len(texts), START)
+    out[np.arange(len(x)) + of * order + order - 1] = x
+    out[np.cumsum(np.bincount(of, minlength=len(texts)) + order) - 1] = END
+    return out
 
 
 def suffixes(words: list[np.ndarray]) -> np.ndarray:
@@ -94,14 +97,14 @@ def fit(docs: DataFrame, held: Column, text_col: str = "text", order: int = ORDE
     rows = docs.where(~held).select(F.encode(text_of(text_col), "UTF-8").alias("_bytes"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = lasting("model words", WordHashes)
+        split = lasting("model words", lambda: Splitter(SPACE))
         for run in text_slices(batches):
-            x = sequence(_texts(run, 0), order, hashes)
+            x = sequence(_texts(run, 0), order, split)
             words = [x[i : len(x) - order + 1 + i] for i in range(order)]
-            full = words[-1] != np.uint64(hashes[START])
+            full = words[-1] != START
             words = [w[full] for w in words]
             keys, (n,), words = summed(suffixes(words), [np.ones(len(words[0]), np.uint64)], words)
-            yield batch_of(list(dealt(order, keys, [*words, n], shards)))
+            yield batch_of(list(dealt(order, keys, [*words, n], shards, order)))
 
     def add(level: int):
         def run(table: pa.Table) -> pa.Table:
@@ -132,7 +135,7 @@ def fit(docs: DataFrame, held: Column, text_col: str = "text", order: int = ORDE
                 keys = np.concatenate([k1, k2])
                 columns = [np.concatenate(c) for c in zip([*w1, *v1, *none(k1) * 4], [*w2, *none(k2) * 2, *v2], strict=True)]
                 keys, values, firsts = summed(keys, columns[level - 1 :], columns[: level - 1])
-                out += dealt(level - 1, keys, [*firsts, *values], shards)
+                out += dealt(level - 1, keys, [*firsts, *values], shards, level - 1)
             batch = batch_of([*out, (shard, 0, 0, None)])
             sums = pa.array([None] * len(out) + [[int(x) for x in totals]], pa.list_(pa.int64()))
             return pa.Table.from_batches([batch]).append_column("totals", sums)
@@ -191,9 +194,9 @@ def taken(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return counts - np.choose(np.minimum(counts, 3).astype(np.int64), (0.0, *d))
 
 
-def probabilities(x: np.ndarray, start: np.uint64, model: Model, arrays: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def probabilities(x: np.ndarray, model: Model, arrays: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token that is no start: whether it is one, its count in the corpus, and its probability after the words before it."""
-    real = x != start
+    real = x != START
     kinds, count, *follow = arrays.look_up(1, x, LOWER)
     d = model.discounts[0]
     rest = sum(a * b for a, b in zip(d, model.by_kinds, strict=True)) if model.kinds else 1.0
@@ -218,13 +221,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = lasting("model words", WordHashes)
+        split = lasting("model words", lambda: Splitter(SPACE))
         arrays = Arrays(model)
-        for held in text_slices(batches):
-            x = sequence(_texts(held, 0), model.order, hashes)
-            real, count, p = probabilities(x, np.uint64(hashes[START]), model, arrays)
+        for held in text_slices(batches, SLICE // 4):
+            x = sequence(_texts(held, 0), model.order, split)
+            real, count, p = probabilities(x, model, arrays)
             x, count, p = x[real], count[real], p[real]
-            begin = np.concatenate(([0], np.flatnonzero(x == np.uint64(hashes[END]))[:-1] + 1))
+            begin = np.concatenate(([0], np.flatnonzero(x == END)[:-1] + 1))
             base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
             add = lambda v: np.add.reduceat(v, begin)
             columns = [pa.array(c) for c in (add(np.ones(len(x), np.int64)), add((count > 0).astype(np.int64)), add(base), add(np.log10(p)))]

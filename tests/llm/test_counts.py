@@ -32,9 +32,25 @@ def made(n, seed, words="red blue green one two three four of the a b c d".split
 def test_pack_round_trip():
     columns = [np.array(c, np.uint64) for c in ([1, 2, 2**63], [0, 255, 3], [7, 300, 9])]
     assert [c.tolist() for c in grams.unpack(grams.pack(columns), 3)] == [c.tolist() for c in columns]
+    columns = [np.array(c, np.uint64) for c in ([9, 2**63, 9], [5, 5, 3], [7, 300, 9])]
+    assert sorted(zip(*[c.tolist() for c in grams.unpack(grams.pack(columns, 2), 3)])) == [(9, 3, 9), (9, 5, 7), (2**63, 5, 300)]
     assert grams.shard_of(np.array([0, 2**64 - 1], np.uint64), 7).tolist() == [0, 6]
 
 
+@pytest.mark.parametrize("block", [1 << 17, 16, 3])
+def test_splitter(block, monkeypatch):
+    """Words, pieces and places as a plain search finds them; equal hashes are equal words but for case."""
+    monkeypatch.setattr(grams.Splitter, "BLOCK", block)
+    draw, split = random.Random(block), grams.Splitter(b" \t", b".\n")
+    for n in (0, 1, 5, 400, 3_000):
+        data = "".join(draw.choice(["a", "B", "é", "\x0b", "\0", "\xa0", " ", " ", "\t", ".", "\n", "zz" * draw.randrange(40)]) for _ in range(n)).encode()
+        x, start, end, piece = split(data)
+        want = [(m.start(), m.end(), len(re.findall(rb"[.\n]", data[: m.start()]))) for m in re.finditer(rb"[^ \t.\n]+", data)]
+        assert list(zip(start.tolist(), end.tolist(), piece.tolist(), strict=True)) == want
+        words = [data[a:b].lower() for a, b, _ in want]
+        assert len(set(zip(words, x.tolist(), strict=True))) == len(set(words)) == len(set(x.tolist()))
+
+
 # language model
 
 
@@ -95,12 +111,13 @@ def test_language_model_sums_to_one(spark):
     """The probabilities of all words and one unknown after a context add up to 1."""
     rows = [(0, "a b a c a b", "en"), (1, "b b a", "en"), (3, "c a d", "en")]
     model = language_model.fit(rows_of(spark, rows), F.lit(False))
-    hashes, arrays = language_model.WordHashes(), language_model.Arrays(model)
+    split, arrays = grams.Splitter(language_model.SPACE), language_model.Arrays(model)
+    hash_of = lambda w: split(w)[0][0] if isinstance(w, bytes) else w
     for context in "abcdx":
         total = 0.0
         for word in [b"a", b"b", b"c", b"d", b"unknown", language_model.END]:
-            x = np.array([hashes[context.encode()], hashes[word]], np.uint64)
-            total += language_model.probabilities(x, np.uint64(0), model, arrays)[2][1]
+            x = np.array([hash_of(context.encode()), hash_of(word)], np.uint64)
+            total += language_model.probabilities(x, model, arrays)[2][1]
         assert abs(total - 1) < 1e-9
 
 
