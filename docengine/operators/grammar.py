@@ -28,7 +28,8 @@ CANON_TABLE = (
     ("rejection", "error", "error"), ("error", "refutation", "refutation"), ("refutation", "error", "error"),
 )
 #: A marker before a reference: a number and a full stop before any book, a number alone before a book that has none of its own, a number before chapter and verse without a book (fixed patterns).
-UNNUMBERED = BOOKS.removeprefix(r"(?:[1-3]\s*)?")
+NUMBERED = r"(?:sm|rs|reis|cr|j[oó]|jo[aã]o|co|cor[ií]ntios|ts|tessalonicenses|tm|tim[oó]teo|pe|pd|pedro)(?![A-Za-zÀ-ÿ])"
+UNNUMBERED = rf"(?!{NUMBERED})" + BOOKS.removeprefix(r"(?:[1-3]\s*)?")
 VALID_MARKER = rf"(?iu)(?<!\S)([0-9]+)(?:\.\s*(?={BOOKS}\.?\s*[0-9])|\s+(?={UNNUMBERED}\.?\s*[0-9]))"
 INCOMPLETE_MARKER = r"(?<!\S)([0-9]{1,2})\.\s+(?=[0-9]+[.:][0-9])"
 BEGINS_WITH_BOOK = rf"(?iu)^\s*{BOOKS}\.?\s*[0-9]"
