@@ -168,12 +168,12 @@ def reference_issues(markers: Column, entries: Column, mapped: Column) -> Column
 
 
 def trusted(numbers: list[int]) -> list[bool]:
-    """Which numbers are of a longest strictly rising choice, found by patience: of those that could stand at a place the earliest laid stays."""
+    """Which numbers are of a longest strictly rising choice, found by patience: of equal numbers that could stand at a place the first stays."""
     tops, at, back = [], [], []
     for i, n in enumerate(numbers):
         pile = bisect_left(tops, n)
-        tops[pile : pile + 1] = [n]
-        at[pile : pile + 1] = [i]
+        if pile == len(tops) or tops[pile] > n:
+            tops[pile : pile + 1], at[pile : pile + 1] = [n], [i]
         back.append(at[pile - 1] if pile else -1)
     out, i = [False] * len(numbers), at[-1] if at else -1
     while i >= 0:
