@@ -13,33 +13,38 @@ INTRODUCTORY_CHUNK_TYPES = ("introductory_context", "preface", "summary", "index
 NON_RETRIEVABLE_CHUNK_TYPES = ("special_layout", "signature")
 
 # Term sets, folded to ASCII (folded texts are matched against them).
-DOCTRINAL_TERMS = (
-    "doutrina ensina ensino salvacao batismo eleicao justificacao pecado pecados queda humano humana humanos humanas regeneracao regenerado regenerada regenerados regeneradas regenerar"
-    " chamado vocacao eficaz expiacao escrituras sacramentos perseveranca fe graca doutrinario doutrinarios"
-).split()
-NORMATIVE_TERMS = (
-    "alianca constituicao regimento codigo etica resolucao filiacao filiada filiado igreja local deveres ordenacao ministro ministerio pastor disciplina emancipacao congregacao campo missao"
-    " missoes missionario missionarios contribuicao candidato requisito requisitos processo artigo inciso paragrafo diretoria conselho"
-).split()
+DOCTRINAL_TERMS = [
+    "doutrina", "ensina", "ensino", "salvacao", "batismo", "eleicao", "justificacao", "pecado", "pecados", "queda", "humano", "humana", "humanos", "humanas", "regeneracao", "regenerado", "regenerada",
+    "regenerados", "regeneradas", "regenerar", "chamado", "vocacao", "eficaz", "expiacao", "escrituras", "sacramentos", "perseveranca", "fe", "graca", "doutrinario", "doutrinarios",
+]
+NORMATIVE_TERMS = [
+    "alianca", "constituicao", "regimento", "codigo", "etica", "resolucao", "filiacao", "filiada", "filiado", "igreja", "local", "deveres", "ordenacao", "ministro", "ministerio", "pastor", "disciplina",
+    "emancipacao", "congregacao", "campo", "missao", "missoes", "missionario", "missionarios", "contribuicao", "candidato", "requisito", "requisitos", "processo", "artigo", "inciso", "paragrafo",
+    "diretoria", "conselho",
+]
 DENOMINATIONAL_SCOPE_TERMS = ["alianca"]
-CONGREGATIONAL_SCOPE_TERMS = "alianca congregacional congregacionais".split()
-DOCTRINAL_BRIDGE_TERMS = "doutrina doutrinaria doutrinario professada professado confissao escrituras escritura fe".split()
-INSTITUTIONAL_TERMS = (
-    "governo norma normas normativo normativa normativos normativas institucional institucionais constituicao regimento codigo etica decisoes conciliares resolucoes resolucao igreja igrejas"
-    " filiada filiadas ministro ministros pastor pastores"
-).split()
-SPECIFIC_DOCUMENT_TERMS = "westminster londres batista dort heidelberg catecismo canones constituicao regimento codigo etica resolucao".split()
+CONGREGATIONAL_SCOPE_TERMS = ["alianca", "congregacional", "congregacionais"]
+DOCTRINAL_BRIDGE_TERMS = ["doutrina", "doutrinaria", "doutrinario", "professada", "professado", "confissao", "escrituras", "escritura", "fe"]
+INSTITUTIONAL_TERMS = [
+    "governo", "norma", "normas", "normativo", "normativa", "normativos", "normativas", "institucional", "institucionais", "constituicao", "regimento", "codigo", "etica", "decisoes", "conciliares",
+    "resolucoes", "resolucao", "igreja", "igrejas", "filiada", "filiadas", "ministro", "ministros", "pastor", "pastores",
+]
+SPECIFIC_DOCUMENT_TERMS = ["westminster", "londres", "batista", "dort", "heidelberg", "catecismo", "canones", "constituicao", "regimento", "codigo", "etica", "resolucao"]
 
-TOPIC_STOPWORDS = (
-    "para pela pelo como qual quais trata tratar significa significado responda explique sobre tradicao reformada reformado ensina ensino alianca evangelicas evangelica brasil constituicao"
-    " regimento codigo acordo conforme segundo documentos documento corpus pergunta capitulo chapter section secao confissao catecismo canones"
-).split()
-EVIDENCE_STOPWORDS = (
-    "a as o os um uma de da do das dos em no na nos nas para por com sobre segundo documentos documento reformados reformado disponiveis disponivel doutrina esta qual quais que e trata tratar"
-    " significa significado explique explica defina definicao papel funcao funciona funcionamento estabelece estabelecem ensina tradicao reformada corpus ativo posicao"
-).split()
-REGENERATION_TERMS = "regeneracao regenerado regenerada regenerados regeneradas regenerar regenera regenerador regeneradora vivificacao vivificar vivifica nascimento renovacao".split()
-QUERY_TERM_EXPANSIONS = {"expiacao": "satisfacao sacrificio sangue morte cristo redencao".split()} | {t: [u for u in REGENERATION_TERMS if u != t] for t in REGENERATION_TERMS}
+TOPIC_STOPWORDS = [
+    "para", "pela", "pelo", "como", "qual", "quais", "trata", "tratar", "significa", "significado", "responda", "explique", "sobre", "tradicao", "reformada", "reformado", "ensina", "ensino", "alianca",
+    "evangelicas", "evangelica", "brasil", "constituicao", "regimento", "codigo", "acordo", "conforme", "segundo", "documentos", "documento", "corpus", "pergunta", "capitulo", "chapter", "section",
+    "secao", "confissao", "catecismo", "canones",
+]
+EVIDENCE_STOPWORDS = [
+    "a", "as", "o", "os", "um", "uma", "de", "da", "do", "das", "dos", "em", "no", "na", "nos", "nas", "para", "por", "com", "sobre", "segundo", "documentos", "documento", "reformados", "reformado",
+    "disponiveis", "disponivel", "doutrina", "esta", "qual", "quais", "que", "e", "trata", "tratar", "significa", "significado", "explique", "explica", "defina", "definicao", "papel", "funcao",
+    "funciona", "funcionamento", "estabelece", "estabelecem", "ensina", "tradicao", "reformada", "corpus", "ativo", "posicao",
+]
+REGENERATION_TERMS = [
+    "regeneracao", "regenerado", "regenerada", "regenerados", "regeneradas", "regenerar", "regenera", "regenerador", "regeneradora", "vivificacao", "vivificar", "vivifica", "nascimento", "renovacao",
+]
+QUERY_TERM_EXPANSIONS = {"expiacao": ["satisfacao", "sacrificio", "sangue", "morte", "cristo", "redencao"]} | {t: [u for u in REGENERATION_TERMS if u != t] for t in REGENERATION_TERMS}
 OUTSIDE_MARKERS = (
     "nao esta no corpus", "fora do corpus", "documento nao disponivel", "documento nao esta disponivel", "nao incluido no corpus", "nao incluida no corpus", "nao incluidos no corpus", "nao incluidas no corpus",
 )
@@ -48,7 +53,7 @@ FOLLOWUP_MARKERS = (
     "o que voce quis dizer", "o que quis dizer",
 )
 CLARIFICATION_MARKERS = tuple(m for m in FOLLOWUP_MARKERS if m not in ("pergunta anterior", "isso", "isto", "esse ponto", "essa parte"))
-FOLLOWUP_PRONOUNS = "ele ela eles elas isso isto essa esse aquilo".split()
+FOLLOWUP_PRONOUNS = ["ele", "ela", "eles", "elas", "isso", "isto", "essa", "esse", "aquilo"]
 
 #: document id -> label and folded aliases.
 DOCUMENT_ALIASES = (
@@ -72,4 +77,4 @@ OVERVIEW_PATTERNS = (
 )
 INVENTORY_PATTERNS = (r"\bquais\s+(?:sao\s+)?(?:documentos|fontes|normas)\b", r"\b(?:documentos|fontes|normas)\s+.+\b(?:orientam|regem|disciplinam|tratam)\b")
 TRUNCATION_MARK = "\n\n[TRUNCADO POR LIMITE DE CONTEXTO]"
-ROMANS = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV".split()
+ROMANS = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV"]

@@ -1 +1,7 @@
-"""Operators: DataFrame in, DataFrame out."""
+"""Operators: DataFrame in, DataFrame out. What runs in Python workers is pickled by value, so executors need no copy of this package on their own path."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

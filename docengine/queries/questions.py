@@ -12,16 +12,17 @@ from docengine.operators import questions as Q
 from docengine.queries.common import DOCS, documents, sql_fold, sql_list, table
 from docengine.streaming.events import windowed_counts
 
-#: Questions of the domain. The messages of conversations are asked with one of them behind or, where a text is short or even in length, in place of it: the texts of the tables are of no domain.
-ASKED = (
-    "O que a constituição ensina sobre batismo?", "Quais documentos orientam a ordenação de ministros?", "Compare Westminster e Dort.", "Explique melhor isso", "Qual o papel da igreja local na Aliança?",
-    "E ela?", "Resuma o catecismo de Heidelberg.", "Não entendi", "Qual a relação entre doutrina congregacional e normas da Aliança e da igreja?", "O que diz a confissão de fé de Westminster sobre a graça?",
+#: What words of a text stand for in a question of the domain, by their length and place: the texts of the tables are of no domain.
+DOMAIN = (
+    *[names[0] for _, _, names in vocab.DOCUMENT_ALIASES], "doutrina", "ensina", "batismo", "salvação", "fé", "graça", "igreja local", "ordenação", "ministros", "disciplina", "artigo", "aliança", "congregacional", "governo", "confissão", "professada",
+    "expiação", "regeneração", "compare", "quais documentos orientam", "liste", "resuma", "o que diz e ensina", "isso", "explique melhor", "não entendi", "ela", "fora do corpus", "entre os", "à luz de",
 )
 
 
 def _question(text: Column) -> Column:
-    one = F.element_at(F.array(*map(F.lit, ASKED)), (F.length(text) % len(ASKED) + 1).cast("int"))
-    return F.when(F.length(text) % 2 == 0, one).otherwise(F.concat_ws(" ", text, one))
+    """The text, in which about one word in 31 is replaced by what it stands for."""
+    terms, n = F.array(*map(F.lit, DOMAIN)), F.length(text)
+    return F.array_join(F.transform(F.split(text, " "), lambda w, i: F.when((F.length(w) * 5 + i + 1) % 31 == 0, F.element_at(terms, ((F.length(w) * 3 + (i + 1) * 7 + n) % len(DOMAIN) + 1).cast("int"))).otherwise(w)), " ")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +69,9 @@ def evidence_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*values), (i % len(values) + 1).cast("int"))
     arrays = lambda *xs: [F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in xs]
     p = d.select(
-        "doc_id", F.element_at(F.array(*map(F.lit, ASKED)), (F.length("text") % len(ASKED) + 1).cast("int")).alias("query"), F.when(i % 11 == 0, 0).otherwise(2).alias("context_count"), F.length("text").alias("total_chars"), (i % 13 != 0).alias("has_source_map"),
+        "doc_id", _question(F.substring_index("text", "\n", 1)).alias("query"), F.when(i % 11 == 0, 0).otherwise(2).alias("context_count"), F.length("text").alias("total_chars"), (i % 13 != 0).alias("has_source_map"),
         pick(arrays(["doctrinal"], ["normative"], ["introductory"], ["contextual", "introductory"])).alias("priorities"), pick(arrays(["expanded"], ["anchor_only", "anchor_only_consolidated"], ["anchor_only"])).alias("statuses"),
-        F.concat_ws(" ", "text", F.when(i % 3 == 0, F.element_at(F.array(*map(F.lit, ASKED)), (F.length("text") % len(ASKED) + 1).cast("int")))).alias("context_text"),
+        F.concat_ws(" ", "text", F.when(i % 3 == 0, _question(F.substring_index("text", "\n", 1)))).alias("context_text"),
     )
     return Q.evidence(p).select("doc_id", "reason", "can_answer")
 
@@ -115,7 +116,8 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FNS = (query_intent, query_scope_exact, query_scope_fuzzy, history_window, followup_contextualize, query_expansion, evidence_decision, skip_reasons, eval_means, eval_by_category, behavioural_histograms, join_unique_sources, event_windows)
 QUERIES = {f.__name__: f for f in _FNS}
 
-_QUESTION = lambda x: f"CASE WHEN length({x}) % 2 = 0 THEN {sql_list(ASKED)}[length({x}) % {len(ASKED)} + 1] ELSE {x} || ' ' || {sql_list(ASKED)}[length({x}) % {len(ASKED)} + 1] END"
+_QUESTION = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w, i: CASE WHEN (length(w) * 5 + i) % 31 = 0 THEN {sql_list(DOMAIN)}[(length(w) * 3 + i * 7 + length({x})) % {len(DOMAIN)} + 1] ELSE w END), ' ')"
+_FIRST = "split_part(text, chr(10), 1)"
 _Q = f"q AS (SELECT *, {_QUESTION("coalesce(text, '')")} AS question FROM conversations), f AS (SELECT *, {sql_fold('question')} AS folded FROM q), w AS (SELECT *, list_distinct(regexp_extract_all(folded, '\\w+')) AS w FROM f)"
 _has = lambda terms: f"list_has_any(w, {sql_list(terms)})"
 _match = lambda patterns, x="folded": "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in patterns) + ")"
@@ -153,7 +155,7 @@ ORACLE_SQL = {
     "query_expansion": f"""WITH {_Q}, t AS (SELECT conv_id, turn, {_sig("concat_ws(' ', question, CASE WHEN turn % 2 = 0 THEN 'expiação regeneração' END)")} AS t FROM q)
         SELECT conv_id, turn, array_to_string(list_sort(t), ',') AS terms, array_to_string(list_sort({_expand('t')}), ',') AS expanded FROM t""",
     "evidence_decision": f"""
-        WITH p0 AS (SELECT doc_id, {sql_list(ASKED)}[length(text) % {len(ASKED)} + 1] AS query, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 2 END AS n, length(text) AS chars, doc_id % 13 <> 0 AS has_map,
+        WITH p0 AS (SELECT doc_id, {_QUESTION(_FIRST)} AS query, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 2 END AS n, length(text) AS chars, doc_id % 13 <> 0 AS has_map,
             [['doctrinal'], ['normative'], ['introductory'], ['contextual', 'introductory']][doc_id % 4 + 1] AS pri, doc_id % 3 <> 0 AS anchors, text FROM ({DOCS})),
         p AS (SELECT *, concat_ws(' ', text, CASE WHEN doc_id % 3 = 0 THEN query END) AS ctx, {sql_fold('query')} AS folded FROM p0),
         t AS (SELECT *, {_sig('query')} AS asked, {_sig('ctx')} AS there, list_distinct(regexp_extract_all(folded, '\\w+')) AS w FROM p),

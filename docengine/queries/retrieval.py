@@ -41,7 +41,24 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return R.dense(v, _asked(v), filters=F.col("label") % 2 == 0).withColumn("rank", F.col("rank").cast("long"))
+    return R.dense(v, _asked(v), where=F.col("label") % 2 == 0).withColumn("rank", F.col("rank").cast("long"))
+
+
+def bm25_per_question_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of each benchmark text among those of the language and the source that it asks for; some ask for one of them or for nothing."""
+    i = F.col("question_id")
+    lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es", None))), (i % 5 + 1).cast("int"))
+    q = _benchmark(spark, sf_dir).withColumn("given", F.map_from_arrays(F.array(F.lit("lang"), F.lit("source")), F.array(lang, F.when(i % 3 == 0, F.concat(F.lit("src"), (i % 4).cast("string"))))))
+    q = R.filter_columns(q.withColumn("given", R.merged_filters(F.col("given"), {})), "given", ("lang", "source"))
+    found = R.bm25(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source"), q, filters=("lang", "source"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+def dense_per_question_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each hundredth one among those of its own label, for every fourth of them among all."""
+    v = _vectors(spark, sf_dir)
+    q = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("question_id"), "vector", F.when(F.col("chunk_id") % 400 != 0, F.col("label")).alias("label"))
+    return R.dense(v, q, filters=("label",)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -105,7 +122,7 @@ def cross_context_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(C.chunks_once(r)).select("question_id", "parent_key", "chunk_ids")
 
 
-_FNS = (bm25_topk, bm25_topk_filtered, dense_topk, dense_topk_filtered, rrf_hybrid, rerank_topk, rank_changes, group_by_parent, drop_intro, one_per_document, cross_context_dedupe)
+_FNS = (bm25_topk, bm25_topk_filtered, bm25_per_question_filter, dense_topk, dense_topk_filtered, dense_per_question_filter, rrf_hybrid, rerank_topk, rank_changes, group_by_parent, drop_intro, one_per_document, cross_context_dedupe)
 QUERIES = {f.__name__: f for f in _FNS}
 
 
@@ -157,6 +174,18 @@ ORACLE_SQL = {
     "bm25_topk_filtered": f"WITH {_bm25_sql(_GERMAN, _BENCH, 10)} SELECT question_id, chunk_id, score, rank FROM bm25",
     "dense_topk": f"WITH {_dense_sql(10)} SELECT question_id, chunk_id, distance, rank FROM dense",
     "dense_topk_filtered": f"WITH {_dense_sql(10, 'v.label % 2 = 0')} SELECT question_id, chunk_id, distance, rank FROM dense",
+    "bm25_per_question_filter": rf"""WITH d AS (SELECT doc_id, lang, source, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+        q AS (SELECT item_id AS question_id, text, ['en', 'de', 'fr', 'es', NULL][item_id % 5 + 1] AS fl, CASE WHEN item_id % 3 = 0 THEN 'src' || item_id % 4 END AS fs FROM benchmark),
+        g AS (SELECT *, row_number() OVER () AS g FROM (SELECT DISTINCT fl, fs FROM q)),
+        dg AS (SELECT g, doc_id, w FROM d JOIN g ON (fl IS NULL OR fl = lang) AND (fs IS NULL OR fs = source)),
+        tot AS (SELECT g, count(*) AS n, avg(len(w)) AS mean FROM dg GROUP BY g),
+        tf AS (SELECT g, doc_id, len, term, count(*) AS tf FROM (SELECT g, doc_id, len(w) AS len, unnest(w) AS term FROM dg) GROUP BY ALL),
+        df AS (SELECT g, term, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf, any_value(mean) AS mean FROM tf JOIN tot USING (g) GROUP BY g, term),
+        idf AS (SELECT g, term, CASE WHEN idf < 0 THEN avg(idf) OVER (PARTITION BY g) * 0.25 ELSE idf END AS idf, mean FROM df),
+        qt AS (SELECT question_id, g, term, count(*) AS times FROM (SELECT question_id, g, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM q JOIN g ON q.fl IS NOT DISTINCT FROM g.fl AND q.fs IS NOT DISTINCT FROM g.fs) GROUP BY ALL),
+        s AS (SELECT question_id, doc_id AS chunk_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score FROM qt JOIN idf USING (g, term) JOIN tf USING (g, term) GROUP BY ALL)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
+    "dense_per_question_filter": f"WITH {_dense_sql(10, '(q.vec_id % 400 = 0 OR q.label = v.label)')} SELECT question_id, chunk_id, distance, rank FROM dense",
     "rrf_hybrid": f"WITH {_HYBRID} SELECT question_id, chunk_id, score, sources, rank FROM hybrid",
     "rerank_topk": f"WITH {_RERANK} SELECT question_id, chunk_id, rerank_score, pre_rerank_rank, rank FROM rr",
     "rank_changes": f"""WITH {_RERANK} SELECT question_id, count(*) FILTER (pre_rerank_rank > rank) AS moved_up, count(*) FILTER (pre_rerank_rank < rank) AS moved_down, count(*) FILTER (pre_rerank_rank = rank) AS unchanged,

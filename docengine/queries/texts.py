@@ -100,9 +100,9 @@ MARKED = ("§ 2º", "§ 3.", "Parágrafo único.", "a)", "IV -", "XVI -", "xii."
 
 
 def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numeral that stands before each line of a text, by its place, up to the largest known."""
-    numeral = F.element_at(F.array(*map(F.lit, vocab.ROMANS)), F.col("place").cast("int"))
-    lines = L.flatten(documents(spark, sf_dir)).withColumn("place", F.row_number().over(L.ordered())).where(F.col("place") <= len(vocab.ROMANS))
+    """The numeral that stands before each line of a text, by its place; after the largest known they begin anew."""
+    numeral = F.element_at(F.array(*map(F.lit, vocab.ROMANS)), ((F.col("place") - 1) % len(vocab.ROMANS) + 1).cast("int"))
+    lines = L.flatten(documents(spark, sf_dir)).withColumn("place", F.row_number().over(L.ordered()))
     lines = lines.withColumn("roman", F.regexp_extract(F.concat(numeral, F.lit(". "), "line"), "^([IVXLCDM]+)\\.", 1))
     return lines.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(T.roman_value("roman")).cast("long").alias("total"), F.max_by("roman", "line_index").alias("last"))
 
@@ -121,8 +121,8 @@ def answer_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 12 lines of each text with a citation [n] by their length behind each; four sources are renumbered in order of use."""
-    lines = L.flatten(documents(spark, sf_dir)).withColumn("place", F.row_number().over(L.ordered())).where("place <= 12")
+    """The lines of each text with a citation [n] by their length behind each; four sources are renumbered in order of use."""
+    lines = L.flatten(documents(spark, sf_dir))
     cited = F.concat(F.regexp_replace("line", r"[\[\]]", ""), F.lit(" ["), (F.length("line") % 6).cast("string"), F.lit("]"))
     d = lines.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", cited.alias("c")))), lambda x: x["c"]), " ").alias("t"))
     d = d.select("document_id", T.compacted_citations(F.col("t"), F.lit(4)).alias("c"))
@@ -185,9 +185,9 @@ ORACLE_SQL = {
         SELECT document_id, line_index, CASE WHEN i < 3 THEN 'paragraph' WHEN i = 3 THEN 'alinea' ELSE 'inciso' END AS kind, CASE i WHEN 0 THEN '2º' WHEN 1 THEN '3º' WHEN 2 THEN 'único' WHEN 3 THEN 'a' WHEN 4 THEN 'IV' WHEN 6 THEN 'XII' END AS value
         FROM m WHERE i IN (0, 1, 2, 3, 4, 6)""",
     "roman_numerals": f"""WITH {_LINES}, p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_index) AS place FROM lines)
-        SELECT document_id, count(*) AS n, CAST(sum(place) AS BIGINT) AS total, {sql_list(vocab.ROMANS)}[max(place)] AS last FROM p WHERE place <= {len(vocab.ROMANS)} GROUP BY document_id""",
+        SELECT document_id, count(*) AS n, CAST(sum((place - 1) % {len(vocab.ROMANS)} + 1) AS BIGINT) AS total, {sql_list(vocab.ROMANS)}[(max(place) - 1) % {len(vocab.ROMANS)} + 1] AS last FROM p GROUP BY document_id""",
     "citation_compaction": f"""
-        WITH {_LINES}, n AS (SELECT document_id, list(len ORDER BY line_index) AS c FROM (SELECT *, length(line) % 6 AS len, row_number() OVER (PARTITION BY document_id ORDER BY line_index) AS place FROM lines) WHERE place <= 12 GROUP BY document_id),
+        WITH {_LINES}, n AS (SELECT document_id, list(len ORDER BY line_index) AS c FROM (SELECT *, length(line) % 6 AS len FROM lines) GROUP BY document_id),
         u AS (SELECT document_id, c, list_filter(c, lambda x, i: x BETWEEN 1 AND 4 AND NOT list_contains(c[1:i - 1], x)) AS used FROM n)
         SELECT document_id, array_to_string(list_transform(c, lambda x: '[' || CASE WHEN list_contains(used, x) THEN list_position(used, x) ELSE x END || ']'), '') AS cited, array_to_string(list_transform(used, lambda x: CAST(x AS VARCHAR)), ',') AS numbers FROM u""",
     "length_parts": f"""

@@ -59,7 +59,7 @@ def fold(text):
 
 
 def test_fuzzy_scope(spark, duck):
-    from docengine.queries.questions import ASKED
+    from docengine.queries.questions import DOMAIN
 
     def scope(text):
         q = " ".join(re.sub(r"[^a-z0-9]+", " ", fold(text)).split())
@@ -76,7 +76,8 @@ def test_fuzzy_scope(spark, duck):
         return found.pop() if len(found) == 1 else None
 
     typo = lambda t: re.sub(r"([^\W\d_]{4})[^\W\d_]([^\W\d_]{3})", r"\1\2", t)
-    one = lambda x: ASKED[len(x) % len(ASKED)]
-    asked = {(c, t): one(x) if len(x) % 2 == 0 else f"{x} {one(x)}" for c, t, x in duck.execute("SELECT conv_id, turn, coalesce(text, '') FROM conversations").fetchall()}
+    stands = lambda x: " ".join(DOMAIN[(len(w) * 3 + i * 7 + len(x)) % len(DOMAIN)] if (len(w) * 5 + i) % 31 == 0 else w for i, w in enumerate(x.split(" "), 1))
+    asked = {(c, t): stands(x) for c, t, x in duck.execute("SELECT conv_id, turn, coalesce(text, '') FROM conversations").fetchall()}
     got = {(r["conv_id"], r["turn"]): r["scope_document"] for r in Q.QUERIES["query_scope_fuzzy"](spark, SF).collect()}
-    assert got == {k: scope(typo(q)) for k, q in asked.items()}
+    want = {k: scope(typo(q)) for k, q in asked.items()}
+    assert got == want and len({v for v in want.values() if v}) > 3
