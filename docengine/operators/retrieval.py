@@ -154,7 +154,7 @@ def _scored_words(words: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
             matrix[place, np.searchsorted(mine, question[rows])] = weight[rows]
             number = np.full(len(known), -1)
             number[own] = np.arange(len(own))
-            blocks.append((int(g), float(mean[rows][0]), mine, matrix, number, bool((matrix >= 0).all())))
+            blocks.append((int(g), float(mean[rows][0]), mine, matrix, number, bool((weight[rows] > 0).all())))
     shared = words.sparkSession.sparkContext.broadcast((known, blocks))
 
     def score(batch: pa.RecordBatch) -> Iterator[tuple]:

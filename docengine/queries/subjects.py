@@ -23,7 +23,7 @@ RULES = (
 def subject_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule that each message falls under, with its widened question."""
     s = S.subject_scope(_asked(spark, sf_dir).select("conv_id", "turn", F.col("question").alias("text")), RULES)
-    return s.select("conv_id", "turn", "rule_id", F.md5("coverage_query").alias("query_hash"), F.col("least_contexts").cast("long").alias("least_contexts"))
+    return s.select("conv_id", "turn", "rule_id", F.md5("coverage_query").alias("query_hash"), F.coalesce(F.col("least_contexts").cast("long"), F.lit(0)).alias("least_contexts"))
 
 
 def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def audit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = U.package_sources(_packages(spark, sf_dir))
-    return s.select("question_id", "context_index", "chunk_id", "document_id", F.col("page_start").cast("long").alias("page_start"), "is_anchor", F.length("text").cast("long").alias("n_chars"))
+    return s.select("question_id", "context_index", "chunk_id", "document_id", F.coalesce(F.col("page_start").cast("long"), F.lit(0)).alias("page_start"), "is_anchor", F.length("text").cast("long").alias("n_chars"))
 
 
 def score_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +106,12 @@ _PACK = f"""p AS (SELECT doc_id, source, length(text) AS n, trim(split_part(text
 
 ORACLE_SQL = {
     "subject_scope": f"""WITH {_Q}, u AS (SELECT conv_id, turn, question, {_ONE} AS u FROM w), r AS (SELECT *, CASE WHEN len(u) = 1 THEN u[1] END AS rule_id FROM u)
-        SELECT conv_id, turn, rule_id, md5(CASE WHEN rule_id IS NULL THEN question ELSE trim(concat_ws(' ', question, nullif({_TERMS}, ''))) END) AS query_hash, CAST({_LEAST} AS BIGINT) AS least_contexts FROM r""",
+        SELECT conv_id, turn, rule_id, md5(CASE WHEN rule_id IS NULL THEN question ELSE trim(concat_ws(' ', question, nullif({_TERMS}, ''))) END) AS query_hash, CAST(coalesce({_LEAST}, 0) AS BIGINT) AS least_contexts FROM r""",
     "subject_match": f"WITH {_SCOPED} SELECT question_id, chunk_id, rule_id, CAST({_SCORE} AS BIGINT) AS subject_score FROM sc",
     "unit_match": f"""WITH {_SCOPED}, u(rule_id, document_id, a, p, priority) AS (VALUES {_UNITS}), c AS (SELECT *, CAST(n % 9 AS VARCHAR) AS ca, CASE WHEN n % 4 = 0 THEN CAST(n % 3 AS VARCHAR) ELSE '' END AS cp FROM sc),
         m AS (SELECT question_id, chunk_id, max(priority) AS priority FROM c JOIN u USING (rule_id, document_id) WHERE n % 5 < 4 AND ca = a AND CASE WHEN n % 5 < 3 THEN cp = p ELSE (p = '' AND cp = '') OR (p <> '' AND (cp || 'o' = p OR a = p)) END GROUP BY ALL)
         SELECT question_id, chunk_id, priority IS NOT NULL AS unit_matches, CAST(coalesce(priority, 0) AS BIGINT) AS unit_priority FROM sc LEFT JOIN m USING (question_id, chunk_id)""",
-    "audit_sources": f"WITH {_PACK} SELECT question_id, CAST(context_index AS BIGINT) AS context_index, chunk_id, document_id, page_start, is_anchor, length(text) AS n_chars FROM s",
+    "audit_sources": f"WITH {_PACK} SELECT question_id, CAST(context_index AS BIGINT) AS context_index, chunk_id, document_id, CAST(coalesce(page_start, 0) AS BIGINT) AS page_start, is_anchor, length(text) AS n_chars FROM s",
     "audit_fields": f"""WITH {_PACK}, x AS (SELECT doc_id, list_concat(CASE WHEN kind = 'none' AND (n % 11 = 0 OR n % 7 = 0 OR n % 7 = 1) THEN CASE WHEN n % 4 = 0 OR t = '' THEN []::VARCHAR[] ELSE [t] END WHEN t = '' THEN []::VARCHAR[] ELSE [t] END, [CAST(doc_id AS VARCHAR)]) AS c,
           list_concat(CASE WHEN n % 4 = 0 OR t = '' THEN []::VARCHAR[] ELSE [t] END, [CAST(doc_id AS VARCHAR)]) AS pc FROM k WHERE whole), g AS (SELECT question_id, count(*) AS n_sources, count(*) FILTER (is_anchor) AS n_anchors FROM s GROUP BY ALL)
         SELECT p.doc_id AS question_id, sha256(coalesce(array_to_string(c, '|'), '')) AS contexts_hash, sha256(coalesce(array_to_string(pc, '|'), '')) AS prompt_hash, CAST(CASE WHEN c IS NULL THEN 0 ELSE 2 END AS BIGINT) AS n_contexts, coalesce(n_sources, 0) AS n_sources, coalesce(n_anchors, 0) AS n_anchors
