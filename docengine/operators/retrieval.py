@@ -150,11 +150,12 @@ def _scored_words(words: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
             mine = of_g[at : at + wide]
             rows = (group == g) & np.isin(question, mine)
             own, place = np.unique(term[rows], return_inverse=True)
-            matrix = np.zeros((len(own), len(mine)))
+            matrix, asks = np.zeros((len(own), len(mine))), np.zeros((len(own), len(mine)), bool)
             matrix[place, np.searchsorted(mine, question[rows])] = weight[rows]
+            asks[place, np.searchsorted(mine, question[rows])] = True
             number = np.full(len(known), -1)
             number[own] = np.arange(len(own))
-            blocks.append((int(g), float(mean[rows][0]), mine, matrix, number, bool((weight[rows] > 0).all())))
+            blocks.append((int(g), float(mean[rows][0]), mine, matrix, number, None if (weight[rows] > 0).all() else asks))
     shared = words.sparkSession.sparkContext.broadcast((known, blocks))
 
     def score(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -167,7 +168,7 @@ def _scored_words(words: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
         pair, tf = np.unique((of * len(known) + number)[number >= 0], return_counts=True)
         row, word = pair // len(known), pair % len(known)
         in_row, in_group = np.repeat(np.arange(len(groups)), groups.value_lengths().to_numpy()), groups.flatten().to_numpy()
-        for g, mean, questions, matrix, place, positive in blocks:
+        for g, mean, questions, matrix, place, asks in blocks:
             mine = np.zeros(len(lengths), bool)
             mine[in_row[in_group == g]] = True
             use = mine[row] & (place[word] >= 0)
@@ -182,7 +183,7 @@ def _scored_words(words: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
                 a, b = begin[at], end[upto - 1]
                 cut = begin[at:upto] - a
                 values = np.add.reduceat(part[a:b, None] * matrix[w[a:b]], cut)
-                there = values > 0 if positive else np.logical_or.reduceat(matrix[w[a:b]] != 0, cut)
+                there = values > 0 if asks is None else np.logical_or.reduceat(asks[w[a:b]], cut)
                 yield r[begin[at:upto]], questions, values, there
                 at = upto
 
