@@ -14,9 +14,10 @@ from docengine.operators import questions as Q
 from docengine.operators import retrieval as R
 from docengine.operators import segments as G
 from docengine.queries.chunks import _P, _parents
-from docengine.queries.common import documents, sql_fold, sql_list
+from docengine.queries.common import documents, sql_fold, sql_list, table
 from docengine.queries.questions import _QUESTION, _has, _match, _question
-from docengine.queries.retrieval import _ALL_DOCS, _BENCH, _PRUNED, _benchmark, _bm25_sql, _groups
+from docengine.plans import flow as P
+from docengine.queries.retrieval import _ALL_DOCS, _BENCH, _PRUNED, _RERANK, _benchmark, _bm25_sql, _groups, rerank_topk
 from docengine.queries.texts import _LINES, _UPPER
 
 
@@ -103,7 +104,24 @@ def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("question_id", "parent_key", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_hash"))
 
 
-_FNS = (diversity_order, scope_preference, budget_fit, document_segments, heading_titles, boundaries, loose_headings, context_build)
+def hierarchical_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts of the five best chunks of each benchmark text by words and vectors, fused and reranked."""
+    asked = _benchmark(spark, sf_dir)
+    hits = rerank_topk(spark, sf_dir)
+    b = P.hierarchical(_chunks(spark, sf_dir), asked.withColumn("text", _question(F.col("text"))), hits, 6000, small_chars=2000)
+    return b.select("question_id", "anchor_id", "rank", "strategy", "status", F.array_join(F.transform("included", lambda x: x.cast("string")), ",").alias("included"), F.md5("context_text").alias("text_hash"))
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of the benchmark texts as questions, with vectors, to packages and decisions."""
+    q, v = _benchmark(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    asked = v.join(F.broadcast(q.select("question_id")), F.col("chunk_id") == F.col("question_id")).select("question_id", "vector")
+    types = _parents(spark, sf_dir).select("chunk_id", "chunk_type", "document_type")
+    p = P.answer_packages(_chunks(spark, sf_dir).join(types, "chunk_id"), q.withColumn("text", _question(F.col("text"))), v, asked, small_chars=2000)
+    return p.select("question_id", "scope_document", F.col("attempt").cast("long").alias("attempt"), F.col("context_count").cast("long").alias("context_count"), F.col("total_chars").cast("long").alias("total_chars"), F.array_join("parents", ",").alias("parents"), F.md5("context_text").alias("text_hash"), "reason", "can_answer")
+
+
+_FNS = (diversity_order, scope_preference, budget_fit, document_segments, heading_titles, boundaries, loose_headings, context_build, hierarchical_contexts, decisions)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _ROMAN = f"{sql_list(vocab.ROMANS)}[line_index % {len(vocab.ROMANS)} + 1]"
@@ -130,6 +148,29 @@ _RANKED = f"""{_PRUNED}, qq AS (SELECT item_id AS question_id, text AS asked, {_
     rk0 AS (SELECT pr.question_id, parent_key, document_id, priority, rs, rank, t.text, qx.* EXCLUDE (question_id), len(list_intersect(qx.terms, {_TERMS('t.text')})) AS s0, length(t.text) % 3 = 0 AS is_overview FROM pr JOIN ({_ALL_DOCS}) t ON t.doc_id = ids[1] JOIN qx USING (question_id)),
     rk AS (SELECT *, CASE WHEN s0 >= 3 THEN s0 ELSE 0 END AS topic FROM rk0)"""
 
+
+def _built_sql(hits: str) -> str:
+    """Contexts of the hits that a common table expression zbm25 (question_id, chunk_id) gives."""
+    return f"""WITH RECURSIVE {hits}, {_P},
+      ck AS (SELECT chunk_id, document_id, parent_key, position, CASE WHEN length(text) % 3 = 0 THEN 's' || length(text) % 2 END AS section_title, CASE WHEN length(text) % 5 < 3 THEN 'c' || length(text) % 4 END AS chapter_reference, length(text) % 4 = 0 AS is_item,
+        CASE WHEN length(text) % 2 = 0 THEN 'Art. ' || article_number END AS reference, length(text) % 50 AS page_start, CASE WHEN length(text) % 3 > 0 THEN length(text) % 50 + length(text) % 3 END AS page_end, text, row_number() OVER (PARTITION BY parent_key ORDER BY position, chunk_id) AS place FROM p),
+      pa AS (SELECT parent_key, count(*) AS n, sum(length({_BLOCK('false')})) AS chars, bool_or(is_item) AS items FROM ck c GROUP BY parent_key),
+      q AS (SELECT item_id AS question_id, {_QUESTION('text')} AS query FROM benchmark), qf AS (SELECT *, {sql_fold('query')} AS folded FROM q),
+      a0 AS (SELECT h.question_id, h.chunk_id AS anchor_id, folded, c.* EXCLUDE (chunk_id), pa.n, pa.chars, pa.items, (SELECT count(*) FROM ck s WHERE s.document_id = c.document_id AND s.section_title = c.section_title) AS ins, (SELECT count(*) FROM ck s WHERE s.document_id = c.document_id AND s.chapter_reference = c.chapter_reference) AS inc
+             FROM zbm25 h JOIN qf USING (question_id) JOIN ck c USING (chunk_id) JOIN pa USING (parent_key)),
+      a AS (SELECT *, CASE WHEN contains(parent_key, '::chunk-type::') OR contains(parent_key, '::chunk::') THEN 'alone' WHEN {_match(X.LIST_QUESTIONS)} AND n > 1 AND items THEN 'unit' WHEN {_match(vocab.OVERVIEW_PATTERNS)} AND ins > 1 THEN 'section'
+             WHEN {_match(vocab.OVERVIEW_PATTERNS)} AND inc > 1 THEN 'chapter' WHEN chars <= 2000 THEN 'parent' ELSE 'neighbours' END AS how FROM a0),
+      r0 AS (SELECT a.question_id, a.anchor_id, a.how, c.chunk_id, c.position, c.page_start, c.page_end, {_BLOCK('a.anchor_id = c.chunk_id')} AS block FROM a JOIN ck c ON CASE how WHEN 'alone' THEN c.chunk_id = a.anchor_id WHEN 'section' THEN c.document_id = a.document_id AND c.section_title = a.section_title
+             WHEN 'chapter' THEN c.document_id = a.document_id AND c.chapter_reference = a.chapter_reference WHEN 'neighbours' THEN c.parent_key = a.parent_key AND c.place BETWEEN a.place - 1 AND a.place + 1 ELSE c.parent_key = a.parent_key END),
+      r AS (SELECT *, length(block) + 2 AS size, row_number() OVER (PARTITION BY question_id, anchor_id ORDER BY chunk_id <> anchor_id, position, chunk_id) AS i, count(*) OVER (PARTITION BY question_id, anchor_id) AS total FROM r0),
+      f AS (SELECT question_id, anchor_id, i, size AS used, true AS fits FROM r WHERE i = 1 UNION ALL SELECT r.question_id, r.anchor_id, r.i, CASE WHEN f.used + r.size <= 6000 THEN f.used + r.size ELSE f.used END, f.used + r.size <= 6000 FROM f JOIN r ON r.question_id = f.question_id AND r.anchor_id = f.anchor_id AND r.i = f.i + 1)
+      SELECT question_id, anchor_id, CASE WHEN how = 'unit' THEN 'normative_unit_list' WHEN how IN ('section', 'chapter') THEN 'overview_parent' ELSE 'default_parent' END AS strategy,
+        CASE WHEN how IN ('section', 'chapter') THEN 'overview_expanded' WHEN how = 'alone' OR (how = 'neighbours' AND any_value(total) = 1) THEN 'anchor_only' ELSE 'expanded' END AS status,
+        CASE how WHEN 'alone' THEN 'insufficient_parent_metadata' WHEN 'unit' THEN 'normative_unit_list_query' WHEN 'section' THEN 'overview_query_structural_group' WHEN 'chapter' THEN 'overview_query_structural_group' ELSE '' END AS reason,
+        string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY i) AS included, min(page_start) AS page_start, max(coalesce(page_end, page_start)) AS page_end, md5(string_agg(block, chr(10) || chr(10) ORDER BY i)) AS text_hash
+      FROM r JOIN f USING (question_id, anchor_id, i) WHERE fits GROUP BY question_id, anchor_id, how"""
+
+
 ORACLE_SQL = {
     "diversity_order": f"""WITH {_RANKED}, dm AS (SELECT *, count(*) OVER o AS n, count(DISTINCT CASE WHEN topic > 0 THEN document_id END) OVER o AS matched, count(DISTINCT document_id) OVER o AS documents, arg_min(document_id, rank) FILTER (is_overview) OVER o AS lead FROM rk WINDOW o AS (PARTITION BY question_id)),
         dy AS (SELECT *, CASE WHEN n <= 1 THEN 'disabled_or_single_candidate' WHEN document_filter AND matched > 0 THEN 'intradocument_topic_contexts_promoted' WHEN document_filter THEN 'document_filter_present' WHEN specific THEN 'specific_document_mentioned'
@@ -151,22 +192,7 @@ ORACLE_SQL = {
     "heading_titles": f"WITH {_SEG} SELECT document_id, segment, kind, number, md5(coalesce(title, '')) AS title_hash FROM seg WHERE kind IN ('chapter', 'section')",
     "boundaries": f"WITH {_SEG} SELECT document_id, coalesce(kind, 'none') AS kind, count(*) AS n FROM k GROUP BY ALL",
     "loose_headings": f"""WITH {_SEG}, r AS (SELECT document_id, unnest(kept) AS line FROM seg WHERE kind IS NULL OR kind IN ('chapter', 'section')) SELECT document_id, count(*) AS n, md5(string_agg(line, '|' ORDER BY line)) AS lines_hash FROM r WHERE {_UP} GROUP BY document_id""",
-    "context_build": f"""WITH RECURSIVE {_bm25_sql(_ALL_DOCS, _BENCH, 5, "z")}, {_P},
-      ck AS (SELECT chunk_id, document_id, parent_key, position, CASE WHEN length(text) % 3 = 0 THEN 's' || length(text) % 2 END AS section_title, CASE WHEN length(text) % 5 < 3 THEN 'c' || length(text) % 4 END AS chapter_reference, length(text) % 4 = 0 AS is_item,
-        CASE WHEN length(text) % 2 = 0 THEN 'Art. ' || article_number END AS reference, length(text) % 50 AS page_start, CASE WHEN length(text) % 3 > 0 THEN length(text) % 50 + length(text) % 3 END AS page_end, text, row_number() OVER (PARTITION BY parent_key ORDER BY position, chunk_id) AS place FROM p),
-      pa AS (SELECT parent_key, count(*) AS n, sum(length({_BLOCK('false')})) AS chars, bool_or(is_item) AS items FROM ck c GROUP BY parent_key),
-      q AS (SELECT item_id AS question_id, {_QUESTION('text')} AS query FROM benchmark), qf AS (SELECT *, {sql_fold('query')} AS folded FROM q),
-      a0 AS (SELECT h.question_id, h.chunk_id AS anchor_id, folded, c.* EXCLUDE (chunk_id), pa.n, pa.chars, pa.items, (SELECT count(*) FROM ck s WHERE s.document_id = c.document_id AND s.section_title = c.section_title) AS ins, (SELECT count(*) FROM ck s WHERE s.document_id = c.document_id AND s.chapter_reference = c.chapter_reference) AS inc
-             FROM zbm25 h JOIN qf USING (question_id) JOIN ck c USING (chunk_id) JOIN pa USING (parent_key)),
-      a AS (SELECT *, CASE WHEN contains(parent_key, '::chunk-type::') OR contains(parent_key, '::chunk::') THEN 'alone' WHEN {_match(X.LIST_QUESTIONS)} AND n > 1 AND items THEN 'unit' WHEN {_match(vocab.OVERVIEW_PATTERNS)} AND ins > 1 THEN 'section'
-             WHEN {_match(vocab.OVERVIEW_PATTERNS)} AND inc > 1 THEN 'chapter' WHEN chars <= 2000 THEN 'parent' ELSE 'neighbours' END AS how FROM a0),
-      r0 AS (SELECT a.question_id, a.anchor_id, a.how, c.chunk_id, c.position, c.page_start, c.page_end, {_BLOCK('a.anchor_id = c.chunk_id')} AS block FROM a JOIN ck c ON CASE how WHEN 'alone' THEN c.chunk_id = a.anchor_id WHEN 'section' THEN c.document_id = a.document_id AND c.section_title = a.section_title
-             WHEN 'chapter' THEN c.document_id = a.document_id AND c.chapter_reference = a.chapter_reference WHEN 'neighbours' THEN c.parent_key = a.parent_key AND c.place BETWEEN a.place - 1 AND a.place + 1 ELSE c.parent_key = a.parent_key END),
-      r AS (SELECT *, length(block) + 2 AS size, row_number() OVER (PARTITION BY question_id, anchor_id ORDER BY chunk_id <> anchor_id, position, chunk_id) AS i, count(*) OVER (PARTITION BY question_id, anchor_id) AS total FROM r0),
-      f AS (SELECT question_id, anchor_id, i, size AS used, true AS fits FROM r WHERE i = 1 UNION ALL SELECT r.question_id, r.anchor_id, r.i, CASE WHEN f.used + r.size <= 6000 THEN f.used + r.size ELSE f.used END, f.used + r.size <= 6000 FROM f JOIN r ON r.question_id = f.question_id AND r.anchor_id = f.anchor_id AND r.i = f.i + 1)
-      SELECT question_id, anchor_id, CASE WHEN how = 'unit' THEN 'normative_unit_list' WHEN how IN ('section', 'chapter') THEN 'overview_parent' ELSE 'default_parent' END AS strategy,
-        CASE WHEN how IN ('section', 'chapter') THEN 'overview_expanded' WHEN how = 'alone' OR (how = 'neighbours' AND any_value(total) = 1) THEN 'anchor_only' ELSE 'expanded' END AS status,
-        CASE how WHEN 'alone' THEN 'insufficient_parent_metadata' WHEN 'unit' THEN 'normative_unit_list_query' WHEN 'section' THEN 'overview_query_structural_group' WHEN 'chapter' THEN 'overview_query_structural_group' ELSE '' END AS reason,
-        string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY i) AS included, min(page_start) AS page_start, max(coalesce(page_end, page_start)) AS page_end, md5(string_agg(block, chr(10) || chr(10) ORDER BY i)) AS text_hash
-      FROM r JOIN f USING (question_id, anchor_id, i) WHERE fits GROUP BY question_id, anchor_id, how""",
+    "context_build": _built_sql(_bm25_sql(_ALL_DOCS, _BENCH, 5, "z")),
+    "hierarchical_contexts": f"""SELECT x.question_id, x.anchor_id, rank, strategy, status, included, text_hash FROM ({_built_sql(f"zbm25 AS (WITH {_RERANK} SELECT question_id, chunk_id, rank FROM rr)")}) x
+      JOIN (WITH {_RERANK} SELECT question_id, chunk_id AS anchor_id, rank FROM rr) y USING (question_id, anchor_id)""",
 }
