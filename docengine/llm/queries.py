@@ -11,11 +11,13 @@ from docengine.llm.common import held_out, table, text_of
 
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null html is empty, repeated rows are pages each, an empty table gives no rows. Nulls, ties and columns of clashing names as in extract_main_text()."""
     found = html_extract.extract_main_text(table(spark, sf_dir, "pages"), carry=("page_id", "url"))
     return found.select(F.col("_carry_page_id").alias("page_id"), F.col("_carry_url").alias("url"), F.col("_text").alias("text"), F.char_length("_text").cast("long").alias("n_chars"), F.col("_by_tree").alias("n_by_tree"), F.col("_by_names").alias("n_by_names"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, its size, and whether the document is the one that stays; null and empty texts are one class, null ids come last. Others as in near_classes()."""
     found = near_dedup.near_classes(table(spark, sf_dir, "documents"))
     sizes = found.groupBy("_class").agg(F.count("*").alias("class_size"))
     out = found.join(sizes, "_class").select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"), "class_size")
@@ -23,17 +25,20 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the row of the same text that stays; null counts as empty, of rows that repeat id and text one is kept, null ids are the smallest. Others as in exact_groups()."""
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(text_of("text"), 256))
     found = exact_dedup.exact_groups(docs, carry=("text_sha256",))
     return found.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), "text_sha256")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; null and empty texts have the model's bias alone, null ids are held out, without labels all scores are 0.5. Repeated rows are scored each; columns of other names are ignored; an empty table gives no rows."""
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of the sources takes of every document; null is a source of its own, texts without words are of size 0 and taken 0 words of. Ties and repeats as in systematic_mix()."""
     taken = mixing.systematic_mix(table(spark, sf_dir, "documents"))
     return taken.select(
         F.col("_id").alias("doc_id"),
@@ -45,6 +50,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null and empty texts have no words and fail the base. Others as in repetition_coverage()."""
     found = repetition.repetition_coverage(table(spark, sf_dir, "documents"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     found = found.withColumnRenamed("_id", "doc_id").withColumn("base_failed", base)
@@ -52,22 +58,26 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document keeps; null counts as empty, null ids come first. Others as in repeated_bytes()."""
     found = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in every document; null, empty and wordless texts match none. Others as in scan()."""
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), F.col("_matches").alias("n_matches"), F.col("_license").alias("license"), F.round("_score", 6).alias("score"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, as digests; null counts as empty and has no ids, repeated rows are encoded each, an empty table gives no rows."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     whole, pieces = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
     return bpe.digests(whole, pieces).withColumnRenamed("_id", "doc_id")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; null and empty texts have the model's bias alone, null ids are held out. Repeated rows are scored each; columns of other names are ignored; an empty table gives no rows."""
     found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

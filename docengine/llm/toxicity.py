@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """Scores of all docs by a model fitted to labels.toxic: doc_id, held_out, score."""
+    """Scores of all docs by a model fitted to labels.toxic: doc_id, held_out, score. Nulls, repeats, empty tables and clashing columns as in fit() and score(); null ids are held out."""
     held = held_out("doc_id", 5, 0)
     found = score(docs, fit(docs, labels, "toxic", held, rows))
     return found.select(F.col("_id").alias("doc_id"), held_out("_id", 5, 0).alias("held_out"), F.col("_score").alias("score"))
