@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Words of a title that stay small (fixed values).
 SMALL_WORDS = ("a", "as", "o", "os", "e", "da", "das", "de", "do", "dos", "em", "na", "no")
+#: Small letters that upper() makes several letters of, and the one capital that Unicode has for each.
+ONE_CAPITAL = tuple(map("".join, zip(*[(c.lower(), c) for c in map(chr, range(0x1E00, 0x2000)) if c != c.lower() and len(c.lower()) == 1 and len(c.lower().upper()) > 1], strict=True)))
 #: Types of documents that state doctrine (fixed values).
 DOCTRINAL_TYPES = ("confession_of_faith", "catechism", "doctrinal_canons")
 #: What parts of a resolution are called in references (fixed values).
@@ -17,9 +19,11 @@ DENOMINATION, TRADITION = "Aliança das Igrejas Evangélicas Congregacionais do
 
 
 def title_case(title: Column | str) -> Column:
-    """Words with a capital each, small words but for the first without; null for an empty title."""
+    """Words with a capital each, small words but for the first without; a letter that two capitals would stand for takes its one capital, if there is one, or stays; null for an empty title."""
     words = F.split(F.trim(F.lower(title)), r"\s+")
-    cased = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))))
+    letter = lambda w: F.substring(w, 1, 1)
+    first = lambda w: F.when(F.length(F.upper(letter(w))) > 1, F.translate(letter(w), *ONE_CAPITAL)).otherwise(F.upper(letter(w)))
+    cased = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.concat(first(w), w.substr(F.lit(2), F.length(w)))))
     return F.when(F.length(title) > 0, F.array_join(cased, " "))
 
 

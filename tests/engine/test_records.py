@@ -22,6 +22,11 @@ def test_notes(spark):
     assert N.with_notes(parts.limit(0)).count() == 0
 
 
+def test_titles_begin_with_one_capital(spark):
+    d = spark.createDataFrame([("ßpf da ßie über ᾀ ŉa",), ("",)], "t string")
+    assert [r[0] for r in d.select(R.title_case("t")).collect()] == ["ẞpf da ẞie Über ᾈ ŉa", None]
+
+
 def test_full_reference(spark):
     columns = "structure_type chapter_number chapter_title section_number section_title subsection_title article_display paragraph_number inciso alinea style".split()
     rows = [
