@@ -31,7 +31,7 @@ CANON_TABLE = (
 NUMBERED = r"(?:sm|rs|reis|cr|j[oó]|jo[aã]o|co|cor[ií]ntios|ts|tessalonicenses|tm|tim[oó]teo|pe|pd|pedro)(?![A-Za-zÀ-ÿ])"
 UNNUMBERED = rf"(?!{NUMBERED})" + BOOKS.removeprefix(r"(?:[1-3]\s*)?")
 VALID_MARKER = rf"(?iu)(?<!\S)([0-9]+)(?:\.\s*(?={BOOKS}\.?\s*[0-9])|\s+(?={UNNUMBERED}\.?\s*[0-9]))"
-INCOMPLETE_MARKER = r"(?<!\S)([0-9]{1,2})\.\s+(?=[0-9]+[.:][0-9])"
+INCOMPLETE_MARKER = r"(?<!\S)([0-9]+)\.\s+(?=[0-9]+[.:][0-9])"
 BEGINS_WITH_BOOK = rf"(?iu)^\s*{BOOKS}\.?\s*[0-9]"
 HOLDS_BOOK = rf"(?iu)\b{BOOKS}\.?\s*[0-9]+[:.][0-9]+"
 
@@ -143,11 +143,16 @@ def answer_markers(text: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct(x.try_cast("decimal(38,0)").alias("n"), x.alias("x"))))), lambda s: s["x"])
 
 
+def _once(x: Column, use) -> Column:
+    """What use makes of x, where x is made once and not anew for each element of a lambda in use."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def reference_map(entries: Column, allowed: Column | None = None) -> Column:
     """Map from marker to reference: valid entries whose text begins with a book, of a marker's the last; only allowed markers if given."""
     good = F.filter(entries, lambda e: e["valid"] & e["text"].rlike(BEGINS_WITH_BOOK) & (F.lit(True) if allowed is None else F.array_contains(allowed, e["marker"])))
-    last = F.filter(good, lambda e, i: ~F.exists(F.slice(good, i + 2, F.greatest(F.size(good) - i, F.lit(1))), lambda later: later["marker"] == e["marker"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["marker"], e["text"])))
+    last = lambda g: F.filter(g, lambda e, i: ~F.exists(F.slice(g, i + 2, F.greatest(F.size(g) - i, F.lit(1))), lambda later: later["marker"] == e["marker"]))
+    return F.map_from_entries(F.transform(_once(good, last), lambda e: F.struct(e["marker"], e["text"])))
 
 
 def reference_issues(markers: Column, entries: Column, mapped: Column) -> Column:
@@ -161,8 +166,7 @@ def reference_issues(markers: Column, entries: Column, mapped: Column) -> Column
         listed = F.transform(mine, lambda e: made(m, e["raw"], F.when(e["text"].rlike(HOLDS_BOOK), "unmapped_reference_entry").otherwise("missing_bible_book")))
         return F.when(F.size(mine) == 0, F.array(made(m, none, F.lit("missing_reference_entry")))).otherwise(listed)
 
-    valid = F.filter(entries, lambda e: e["valid"])
-    again = F.filter(valid, lambda e: F.size(F.filter(valid, lambda o: o["marker"] == e["marker"])) > 1)
+    again = _once(F.filter(entries, lambda e: e["valid"]), lambda valid: F.filter(valid, lambda e: F.size(F.filter(valid, lambda o: o["marker"] == e["marker"])) > 1))
     by_marker = F.transform(F.array_sort(F.transform(again, lambda e, i: F.struct(e["marker"].try_cast("decimal(38,0)").alias("n"), i.alias("i"), e["marker"].alias("marker"), e["raw"].alias("raw")))), lambda s: made(s["marker"], s["raw"], F.lit("duplicated_reference_marker_suspected")))
     return F.concat(F.flatten(F.transform(open_, of)), by_marker)
 

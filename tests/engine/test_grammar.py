@@ -55,6 +55,13 @@ def test_references(spark):
         assert r["m"] == markers and r["r"] == mapped and [tuple(x) for x in r["x"]] == issues
 
 
+def test_incomplete_entries_of_long_numbers(spark):
+    """An entry without a book ends the one before it whatever the length of its number."""
+    d = spark.range(1).select(F.array(*map(F.lit, ("99", "100", "12345"))).alias("m"), G.reference_entries(F.lit("99. Rm 3:4 100. 12:100 fim 12345. 1:2")).alias("e"))
+    r = d.withColumn("r", G.reference_map(F.col("e"), F.col("m"))).withColumn("x", G.reference_issues(F.col("m"), F.col("e"), F.col("r"))).first()
+    assert r["r"] == {"99": "Rm 3:4"} and [tuple(x) for x in r["x"]] == [("100", "100. 12:100 fim", "missing_bible_book"), ("12345", "12345. 1:2", "missing_bible_book")]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_longest_rising_choice(seed):
     draw = random.Random(seed)
