@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from docengine.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Cells of a table of questions that goes to the tasks; numbers that a task makes at once; candidates it holds before it drops all but the best.
-CELLS, NUMBERS, HELD = 2**23, 2**22, 200_000
+#: Cells of a table of questions that goes to the tasks; numbers that a task makes at once; words of chunks that it looks up at once; candidates it takes up before it drops all but the best.
+CELLS, NUMBERS, WORDS, HELD = 2**23, 2**19, 2**19, 200_000
 #: Filters of every search (fixed values); a question cannot lift them.
 DEFAULT_FILTERS = {"corpus_id": "reformed_congregational_corpus_v1", "retrieval_namespace": "alliance"}
 
@@ -63,7 +64,7 @@ def _scored(rows: DataFrame, kinds: str, score, ids: pa.Array, k: int, ascending
     """question_id, chunk_id, score: the k best chunks of each question, of what a task reads.
 
     score gives, for a batch of rows (chunk_id first), blocks (rows, questions, values, which of them count). A task holds the
-    candidates that are no worse than a question's k-th so far, drops all others whenever there are HELD of them, and gives out what is left at its end.
+    candidates that are no worse than a question's k-th so far, drops all others whenever HELD more have come, and gives out what is left at its end.
     """
     sign = 1.0 if ascending else -1.0
 
@@ -75,7 +76,7 @@ def _scored(rows: DataFrame, kinds: str, score, ids: pa.Array, k: int, ascending
         return every.filter(pa.array(place < k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, worst = [], 0, np.full(len(ids), np.inf)
+        held, size, most, worst = [], 0, HELD, np.full(len(ids), np.inf)
         for batch in batches:
             for row, question, values, there in score(batch):
                 key = np.round(sign * values, 6)
@@ -84,9 +85,10 @@ def _scored(rows: DataFrame, kinds: str, score, ids: pa.Array, k: int, ascending
                     continue
                 held.append(pa.table({"of": question[of].astype(np.int32), "key": key[at, of], "chunk_id": batch.column(0).take(pa.array(row[at]))}))
                 size += len(at)
-                if size > HELD:
+                if size > most:
                     held = [best(held)]
                     size = len(held[0])
+                    most = size + HELD
                     of, key = held[0]["of"].to_numpy(), held[0]["key"].to_numpy()
                     last = np.flatnonzero(np.append(of[1:] != of[:-1], True)) if size else np.zeros(0, np.int64)
                     full = np.bincount(of, minlength=len(ids))[of[last]] == k
@@ -159,6 +161,15 @@ def _scored_words(words: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast((known, blocks))
 
     def score(batch: pa.RecordBatch) -> Iterator[tuple]:
+        end = np.cumsum(batch.column(1).value_lengths().to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(end):  # rows with about WORDS words between them
+            upto = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + WORDS, "right")))
+            for row, *found in of_slice(batch.slice(at, upto - at)):
+                yield row + at, *found
+            at = upto
+
+    def of_slice(batch: pa.RecordBatch) -> Iterator[tuple]:
         known, blocks = shared.value
         held, groups = batch.column(1), batch.column(2)
         lengths = held.value_lengths().to_numpy()
@@ -220,7 +231,7 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int = 10, where: Column |
 def _near(rows: DataFrame, asked: pa.Table, kinds: str, k: int) -> DataFrame:
     if not len(asked):
         return rows.sparkSession.createDataFrame([], kinds)
-    wanted = np.array(asked.column("vector").to_pylist(), np.float64)
+    wanted = asked.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(asked), -1)
     ids, group = asked.column("question_id").combine_chunks(), asked.column("_g").to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast((wanted / np.linalg.norm(wanted, axis=1, keepdims=True), [(int(g), np.flatnonzero(group == g)) for g in np.unique(group)]))
 
@@ -231,11 +242,14 @@ def _near(rows: DataFrame, asked: pa.Table, kinds: str, k: int) -> DataFrame:
         in_row, in_group = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy()), batch.column(2).flatten().to_numpy()
         for g, questions in groups:
             mine = in_row[in_group == g]
-            step = max(1, NUMBERS // len(questions))
-            for at in range(0, len(mine), step):
-                part = mine[at : at + step]
-                values = 1 - v[part] @ wanted[questions].T
-                yield part, questions, values, np.ones(values.shape, bool)
+            wide = min(len(questions), isqrt(NUMBERS))
+            for first in range(0, len(questions), wide):
+                some = questions[first : first + wide]
+                aim = wanted[some].T
+                for at in range(0, len(mine), NUMBERS // wide):
+                    part = mine[at : at + NUMBERS // wide]
+                    values = 1 - v[part] @ aim
+                    yield part, some, values, np.ones(values.shape, bool)
 
     return _scored(rows, kinds, score, ids, k, True)
 

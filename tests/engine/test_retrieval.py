@@ -74,6 +74,64 @@ def test_dense(spark, monkeypatch, cells, held):
     assert {(r["question_id"], r["rank"]): r["chunk_id"] for r in got} == want and want[99, 1] == "c000a"
 
 
+def test_what_a_task_makes_at_once(monkeypatch):
+    """A search makes tables of at most NUMBERS cells whatever the numbers of rows and questions, looks up WORDS words at once, and drops candidates once for each HELD that come."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "NUMBERS", 64)
+    monkeypatch.setattr(R, "WORDS", 50)
+    monkeypatch.setattr(R, "HELD", 100)
+
+    class Rows:
+        """Stands for a table: runs the operator's task on one batch of 400 rows, and keeps its scorer."""
+
+        dtypes = [("chunk_id", "bigint")]
+
+        def __init__(self, *columns):
+            self.batch = pa.RecordBatch.from_arrays([pa.array(range(400)), *map(pa.array, columns)], ["chunk_id", "x", "_gs"])
+            self.sparkSession = self.sparkContext = self
+
+        def broadcast(self, value):
+            return type("Shared", (), {"value": value})
+
+        def mapInArrow(self, run, _):
+            return pa.Table.from_batches(list(run(iter([self.batch]))))
+
+    cells, drops, scored, before = [], [], R._scored, pa.concat_tables
+
+    def watched(rows, kinds, score, ids, k, ascending):
+        def counted(batch):
+            for part in score(batch):
+                cells.append(part[2].size)
+                yield part
+
+        return scored(rows, kinds, counted, ids, k, ascending)
+
+    monkeypatch.setattr(R, "_scored", watched)
+    monkeypatch.setattr(R.pa, "concat_tables", lambda tables: drops.append(1) or before(tables))
+    draw = np.random.default_rng(3)
+    vectors, asked = draw.normal(size=(400, 3)), draw.normal(size=(150, 3))
+    found = R._near(Rows(vectors.tolist(), [[0]] * 400), pa.table({"question_id": range(150), "vector": asked.tolist(), "_g": [0] * 150}), "", 5).to_pylist()
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(1 - unit(vectors) @ unit(asked).T, axis=0)[:5]
+    assert {(r["question_id"], r["chunk_id"]) for r in found} == {(q, int(c)) for q in range(150) for c in best[:, q]}
+    assert max(cells) <= 64 and len(drops) <= 150 * 400 // 100 // 10  # 750 candidates stay: each drop waits for 100 others
+    cells.clear()
+
+    class Weighed:
+        dtypes = [("question_id", "int")]
+
+        def toArrow(self):
+            return pa.table({"question_id": [0, 1, 1], "term": ["a", "a", "b"], "_g": [0, 0, 0], "weight": [1.0, 0.5, 2.0], "mean": [9.0] * 3})
+
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(R.np, "unique", lambda x, **o: sizes.append(len(x)) or unique(x, **o))
+    texts = [["a"] * (i % 7) + ["b"] * (i % 3) + ["c"] * (i % 5) for i in range(400)]
+    found = R._scored_words(Rows(texts, [[0]] * 400), Weighed(), 400).to_pylist()
+    assert len(found) == sum("a" in t for t in texts) + sum("a" in t or "b" in t for t in texts) and max(sizes) <= 50 and max(cells) <= 64 * 2
+
+
 def test_nothing_asked_and_nothing_there(spark):
     c, q = spark.createDataFrame([(1, "a b")], "chunk_id int, text string"), spark.createDataFrame([(1, "zz"), (2, None)], "question_id int, text string")
     assert R.bm25(c, q).count() == 0 and R.bm25(c.limit(0), q).count() == 0 and R.bm25(c, q.limit(0)).count() == 0
