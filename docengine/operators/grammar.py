@@ -140,7 +140,7 @@ def reference_entries(block: Column) -> Column:
 def answer_markers(text: Column) -> Column:
     """Distinct numbers that stand right behind a word or a mark, in order of value."""
     found = F.regexp_extract_all(text, F.lit("(?<![0-9]\\.)(?<=[A-Za-zÀ-ÿ).;:,!?\"”])([0-9]+)(?=[^0-9]|$)"), F.lit(1))
-    return F.transform(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct(x.try_cast("decimal(38,0)").alias("n"), x.alias("x"))))), lambda s: s["x"])
+    return F.transform(F.array_sort(F.transform(F.array_distinct(found), lambda x: F.struct(x.try_cast("decimal(38,0)").alias("n"), x.alias("x")))), lambda s: s["x"])
 
 
 def _once(x: Column, use) -> Column:
@@ -148,27 +148,52 @@ def _once(x: Column, use) -> Column:
     return F.element_at(F.transform(F.array(x), use), 1)
 
 
+def _row(marker: Column, kind: int, i: Column, raw: Column | None = None, text: Column | None = None, valid: Column | None = None) -> Column:
+    """What _by_marker groups: kind 0 for a marker of an answer, 1 for one with a reference, 2 for an entry; i is its place among its kind."""
+    none = F.lit(None)
+    held = [(none if c is None else c).cast(t).alias(n) for n, c, t in (("raw", raw, "string"), ("text", text, "string"), ("valid", valid, "boolean"))]
+    return F.struct(marker.alias("marker"), F.lit(kind).alias("kind"), i.alias("i"), *held)
+
+
+def _by_marker(rows: Column) -> Column:
+    """Array of arrays: the rows of each marker, by kind and place. One sort, then slices between the heads of markers, so that work grows with the rows and not with their square."""
+    head = lambda r: F.filter(F.transform(r, lambda x, i: F.when(~x["marker"].eqNullSafe(F.get(r, i - 1)["marker"]) | (i == 0), i)), lambda i: i.isNotNull())
+    cut = lambda r, h: F.transform(h, lambda i, k: F.slice(r, i + 1, F.coalesce(F.get(h, k + 1), F.size(r)) - i))
+    return _once(F.array_sort(rows), lambda r: _once(head(r), lambda h: cut(r, h)))
+
+
 def reference_map(entries: Column, allowed: Column | None = None) -> Column:
     """Map from marker to reference: valid entries whose text begins with a book, of a marker's the last; only allowed markers if given."""
-    good = F.filter(entries, lambda e: e["valid"] & e["text"].rlike(BEGINS_WITH_BOOK) & (F.lit(True) if allowed is None else F.array_contains(allowed, e["marker"])))
-    last = lambda g: F.filter(g, lambda e, i: ~F.exists(F.slice(g, i + 2, F.greatest(F.size(g) - i, F.lit(1))), lambda later: later["marker"] == e["marker"]))
-    return F.map_from_entries(F.transform(_once(good, last), lambda e: F.struct(e["marker"], e["text"])))
+    rows = F.transform(F.filter(entries, lambda e: e["valid"] & e["text"].rlike(BEGINS_WITH_BOOK)), lambda e, i: _row(e["marker"], 2, i, text=e["text"]))
+    if allowed is not None:
+        rows = F.concat(F.coalesce(F.transform(allowed, lambda m, i: _row(m, 0, i)), F.array()), rows)
+    last = F.filter(F.transform(F.filter(_by_marker(rows), lambda g: F.lit(True) if allowed is None else F.get(g, F.lit(0))["kind"] == 0), lambda g: F.element_at(g, -1)), lambda x: x["kind"] == 2)
+    in_order = F.array_sort(F.transform(last, lambda x: F.struct(x["i"], x["marker"], x["text"])))
+    return F.map_from_entries(F.transform(in_order, lambda x: F.struct(x["marker"], x["text"])))
 
 
 def reference_issues(markers: Column, entries: Column, mapped: Column) -> Column:
     """Array of (marker, raw, issue): markers of the answer without a reference, by what stands in the block for them, then valid entries that share a marker."""
-    open_ = F.filter(markers, lambda m: ~F.map_contains_key(mapped, m))
-    none = F.lit(None).cast("string")
-    made = lambda m, raw, issue: F.struct(m.alias("marker"), raw.alias("raw"), issue.alias("issue"))
-
-    def of(m: Column) -> Column:
-        mine = F.filter(entries, lambda e: e["marker"] == m)
-        listed = F.transform(mine, lambda e: made(m, e["raw"], F.when(e["text"].rlike(HOLDS_BOOK), "unmapped_reference_entry").otherwise("missing_bible_book")))
-        return F.when(F.size(mine) == 0, F.array(made(m, none, F.lit("missing_reference_entry")))).otherwise(listed)
-
-    again = _once(F.filter(entries, lambda e: e["valid"]), lambda valid: F.filter(valid, lambda e: F.size(F.filter(valid, lambda o: o["marker"] == e["marker"])) > 1))
-    by_marker = F.transform(F.array_sort(F.transform(again, lambda e, i: F.struct(e["marker"].try_cast("decimal(38,0)").alias("n"), i.alias("i"), e["marker"].alias("marker"), e["raw"].alias("raw")))), lambda s: made(s["marker"], s["raw"], F.lit("duplicated_reference_marker_suspected")))
-    return F.concat(F.flatten(F.transform(open_, of)), by_marker)
+    rows = F.concat(
+        F.transform(markers, lambda m, i: _row(m, 0, i)), F.transform(F.map_keys(mapped), lambda m, i: _row(m, 1, i)),
+        F.transform(entries, lambda e, i: _row(e["marker"], 2, i, e["raw"], e["text"], e["valid"])),
+    )
+    # first the markers in their order, then the shared ones by number
+    made = lambda place, n, x, raw, issue: F.struct(place.alias("place"), n.cast("decimal(38,0)").alias("n"), x["i"].alias("i"), x["marker"].alias("marker"), raw.cast("string").alias("raw"), issue.alias("issue"))
+    none = F.lit(None)
+
+    def open_(g: Column, mine: Column) -> Column:
+        def of(m: Column) -> Column:
+            listed = F.transform(mine, lambda e: made(m["i"], none, e, e["raw"], F.when(e["text"].rlike(HOLDS_BOOK), "unmapped_reference_entry").otherwise("missing_bible_book")))
+            return F.when(F.size(mine) == 0, F.array(made(m["i"], none, m, none, F.lit("missing_reference_entry")))).otherwise(listed)
+
+        return F.when(F.exists(g, lambda x: x["kind"] == 1), F.array()).otherwise(F.flatten(F.transform(F.filter(g, lambda x: x["kind"] == 0), of)))
+
+    def shared(valid: Column) -> Column:
+        return F.when(F.size(valid) > 1, F.transform(valid, lambda e: made(F.lit(2**31 - 1), e["marker"].try_cast("decimal(38,0)"), e, e["raw"], F.lit("duplicated_reference_marker_suspected")))).otherwise(F.array())
+
+    group = lambda g: F.concat(_once(F.filter(g, lambda x: x["kind"] == 2), lambda mine: open_(g, mine)), _once(F.filter(g, lambda x: x["valid"]), shared))
+    return F.transform(F.array_sort(F.flatten(F.transform(_by_marker(rows), group))), lambda x: F.struct(x["marker"], x["raw"], x["issue"]))
 
 
 def trusted(numbers: list[int]) -> list[bool]:

@@ -40,7 +40,7 @@ def canon_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's lines as an answer with markers and a block of references, some incomplete, doubled or without a book."""
-    rows = L.flatten(documents(spark, sf_dir)).where("line_index <= 100000")
+    rows = L.flatten(documents(spark, sf_dir))
     i, n = F.col("line_index").cast("string"), F.length("line") % 8
     answer = F.when(n == 7, "palavra").otherwise(F.concat(F.lit("palavra"), i))
     entry = F.when(n < 3, F.concat(i, F.lit(". Rm 3:"), i)).when(n == 3, F.concat(i, F.lit(" Sl "), i, F.lit(".1"))).when(n == 4, F.concat(i, F.lit(". 12:"), i)).when(n == 5, F.concat(F.lit("texto "), i)).when(n == 6, F.concat(i, F.lit(". Jo 1.2 "), i, F.lit(". Mt 5:6")))
@@ -87,7 +87,7 @@ def _states_sql(source: str, table, first: str) -> str:
 _CANON = f"""{_LINES}, cl AS (SELECT document_id, line_index, CASE WHEN n = 0 THEN 'Capítulo ' || line_index WHEN n < 4 THEN 'Artigo ' || line_index || ' — ' || substr(line, 1, 9) WHEN n = 4 THEN 'Rejeição de Erros' WHEN n < 7 THEN 'Erro ' || line_index WHEN n < 9 THEN 'Refutação'
       WHEN n = 9 AND line_index > 30 THEN 'Conclusão' WHEN n < 12 THEN 'Rm 3:' || line_index || '; Jo 1.2 e 1Co 2:3' ELSE line || ' (Mt 5:' || line_index || ')' END AS line,
       CASE WHEN n = 0 THEN 'chapter' WHEN n < 4 THEN 'article' WHEN n = 4 THEN 'rejection' WHEN n < 7 THEN 'error' WHEN n < 9 THEN 'refutation' WHEN n = 9 AND line_index > 30 THEN 'conclusion' END AS sign FROM (SELECT *, length(line) % 19 AS n FROM lines))"""
-_ENTRY = f"""{_LINES}, r AS (SELECT document_id, line_index AS i, length(line) % 8 AS n FROM lines WHERE line_index <= 100000),
+_ENTRY = f"""{_LINES}, r AS (SELECT document_id, line_index AS i, length(line) % 8 AS n FROM lines),
     m AS (SELECT document_id, i, n FROM r WHERE n <> 7),
     e AS (SELECT document_id, i, 1 AS part, n, i AS marker, CASE WHEN n < 3 THEN 'Rm 3:' || i WHEN n = 3 THEN 'Sl ' || i || '.1' WHEN n = 4 THEN '12:' || i ELSE 'Jo 1.2' END AS body, CASE WHEN n = 3 THEN ' ' ELSE '. ' END AS sep, n <> 4 AS valid FROM r WHERE n IN (0, 1, 2, 3, 4, 6)
       UNION ALL SELECT document_id, i, 2, n, i, 'Mt 5:6', '. ', true FROM r WHERE n = 6),

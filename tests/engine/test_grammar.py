@@ -3,10 +3,13 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from docengine.operators import grammar as G
+from docengine.queries import grammar as Q
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -62,6 +65,49 @@ def test_incomplete_entries_of_long_numbers(spark):
     assert r["r"] == {"99": "Rm 3:4"} and [tuple(x) for x in r["x"]] == [("100", "100. 12:100 fim", "missing_bible_book"), ("12345", "12345. 1:2", "missing_bible_book")]
 
 
+def far_lines(tmp_path):
+    """A table of one text whose only lines are the 100,001st to the 100,006th."""
+    pq.write_table(pa.table({"doc_id": [7], "text": ["\n" * 100_000 + "\n".join("abcdefg"[:n] for n in (1, 4, 5, 6, 3, 7))]}), f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_issues_of_lines_far_down(spark, tmp_path):
+    got = sorted(tuple(r) for r in Q.reference_issues(spark, far_lines(tmp_path)).select("document_id", "marker", F.coalesce("raw", F.lit("")), "issue").collect())
+    assert got == [
+        (7, "100002", "100002. 12:100002 texto 100003", "missing_bible_book"), (7, "100003", "", "missing_reference_entry"),
+        (7, "100004", "100004. Jo 1.2", "duplicated_reference_marker_suspected"), (7, "100004", "100004. Mt 5:6", "duplicated_reference_marker_suspected"),
+    ]
+
+
+def drawn_references(spark, seed):
+    """Rows (i, answer's markers m, entries e) of few and many markers, some repeated, of equal value or without an entry; and the same by i."""
+    draw, kind = random.Random(seed), "i int, m array<string>, e array<struct<marker: string, raw: string, text: string, valid: boolean>>"
+    rows = []
+    for i, n in enumerate((0, 1, 2, 5, 40, 400)):
+        names = [str(k) for k in range(n)] + ["01", "007"]
+        texts = [(draw.choice(names), draw.choice(["Rm 3:4", "12:4", "texto Jo 1.2", "fim", "1 Co 2:3"])) for _ in range(n)]
+        rows.append((i, draw.sample(names, draw.randrange(len(names))), [(m, f"{m}. {t} {k}", f"{t} {k}", draw.random() < 0.7) for k, (m, t) in enumerate(texts)]))
+    return spark.createDataFrame(rows, kind), {i: (m, e) for i, m, e in rows}
+
+
+def plain_map(entries, allowed=None):
+    return {m: text for m, _, text, valid in entries if valid and text.startswith(("Rm", "1 Co")) and (allowed is None or m in allowed)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_issues_equal_loops(spark, seed):
+    d, rows = drawn_references(spark, seed)
+    for r in d.select("i", G.reference_issues(F.col("m"), F.col("e"), G.reference_map(F.col("e"), F.col("m"))).alias("x")).collect():
+        markers, entries = rows[r["i"]]
+        mapped, want = plain_map(entries, markers), []
+        for m in markers:
+            if m not in mapped:
+                want += [(m, raw, "missing_bible_book" if text.startswith(("12", "fim")) else "unmapped_reference_entry") for x, raw, text, _ in entries if x == m] or [(m, None, "missing_reference_entry")]
+        valid = [e for e in entries if e[3]]
+        shared = [e for e in valid if sum(o[0] == e[0] for o in valid) > 1]
+        assert [tuple(x) for x in r["x"]] == want + [(m, raw, "duplicated_reference_marker_suspected") for m, raw, *_ in sorted(shared, key=lambda e: int(e[0]))]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_longest_rising_choice(seed):
     draw = random.Random(seed)
