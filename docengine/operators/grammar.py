@@ -148,11 +148,9 @@ def _once(x: Column, use) -> Column:
     return F.element_at(F.transform(F.array(x), use), 1)
 
 
-def _row(marker: Column, kind: int, i: Column, raw: Column | None = None, text: Column | None = None, valid: Column | None = None) -> Column:
-    """What _by_marker groups: kind 0 for a marker of an answer, 1 for one with a reference, 2 for an entry; i is its place among its kind."""
-    none = F.lit(None)
-    held = [(none if c is None else c).cast(t).alias(n) for n, c, t in (("raw", raw, "string"), ("text", text, "string"), ("valid", valid, "boolean"))]
-    return F.struct(marker.alias("marker"), F.lit(kind).alias("kind"), i.alias("i"), *held)
+def _row(marker: Column, kind: int, i: Column, *more: Column) -> Column:
+    """What _by_marker groups: kind 0 for a marker of an answer, 1 for an entry of a block; i is its place among its kind."""
+    return F.struct(marker.alias("marker"), F.lit(kind).alias("kind"), i.alias("i"), *more)
 
 
 def _by_marker(rows: Column) -> Column:
@@ -164,36 +162,34 @@ def _by_marker(rows: Column) -> Column:
 
 def reference_map(entries: Column, allowed: Column | None = None) -> Column:
     """Map from marker to reference: valid entries whose text begins with a book, of a marker's the last; only allowed markers if given."""
-    rows = F.transform(F.filter(entries, lambda e: e["valid"] & e["text"].rlike(BEGINS_WITH_BOOK)), lambda e, i: _row(e["marker"], 2, i, text=e["text"]))
+    rows = F.transform(F.filter(entries, lambda e: e["valid"] & e["text"].rlike(BEGINS_WITH_BOOK)), lambda e, i: _row(e["marker"], 1, i, e["text"].alias("text")))
     if allowed is not None:
-        rows = F.concat(F.coalesce(F.transform(allowed, lambda m, i: _row(m, 0, i)), F.array()), rows)
-    last = F.filter(F.transform(F.filter(_by_marker(rows), lambda g: F.lit(True) if allowed is None else F.get(g, F.lit(0))["kind"] == 0), lambda g: F.element_at(g, -1)), lambda x: x["kind"] == 2)
-    in_order = F.array_sort(F.transform(last, lambda x: F.struct(x["i"], x["marker"], x["text"])))
-    return F.map_from_entries(F.transform(in_order, lambda x: F.struct(x["marker"], x["text"])))
+        rows = F.concat(F.coalesce(F.transform(allowed, lambda m, i: _row(m, 0, i, F.lit(None).cast("string").alias("text"))), F.array()), rows)
+    groups = F.filter(_by_marker(rows), lambda g: (F.element_at(g, -1)["kind"] == 1) & (F.lit(True) if allowed is None else F.get(g, F.lit(0))["kind"] == 0))
+    last = F.transform(groups, lambda g: F.element_at(g, -1))
+    return F.map_from_entries(F.transform(F.array_sort(F.transform(last, lambda x: F.struct(x["i"], x["marker"], x["text"]))), lambda x: F.struct(x["marker"], x["text"])))
 
 
 def reference_issues(markers: Column, entries: Column, mapped: Column) -> Column:
-    """Array of (marker, raw, issue): markers of the answer without a reference, by what stands in the block for them, then valid entries that share a marker."""
-    rows = F.concat(
-        F.transform(markers, lambda m, i: _row(m, 0, i)), F.transform(F.map_keys(mapped), lambda m, i: _row(m, 1, i)),
-        F.transform(entries, lambda e, i: _row(e["marker"], 2, i, e["raw"], e["text"], e["valid"])),
-    )
-    # first the markers in their order, then the shared ones by number
-    made = lambda place, n, x, raw, issue: F.struct(place.alias("place"), n.cast("decimal(38,0)").alias("n"), x["i"].alias("i"), x["marker"].alias("marker"), raw.cast("string").alias("raw"), issue.alias("issue"))
-    none = F.lit(None)
+    """Array of (marker, raw, issue): markers of the answer without a reference, each once, by what stands in the block for them, then valid entries that share a marker."""
+    # sorted by place and entry: first the markers in their order, then the shared ones by number
+    found = lambda place, n, i, issue: F.struct(place.alias("place"), n.cast("decimal(38,0)").alias("n"), i.alias("i"), F.lit(issue).alias("issue"))
+    none, after = F.lit(None), F.lit(2**31 - 1)
 
-    def open_(g: Column, mine: Column) -> Column:
-        def of(m: Column) -> Column:
-            listed = F.transform(mine, lambda e: made(m["i"], none, e, e["raw"], F.when(e["text"].rlike(HOLDS_BOOK), "unmapped_reference_entry").otherwise("missing_bible_book")))
-            return F.when(F.size(mine) == 0, F.array(made(m["i"], none, m, none, F.lit("missing_reference_entry")))).otherwise(listed)
+    def of(es: Column, open_: Column) -> Column:
+        at = lambda x: F.get(es, x["i"])
 
-        return F.when(F.exists(g, lambda x: x["kind"] == 1), F.array()).otherwise(F.flatten(F.transform(F.filter(g, lambda x: x["kind"] == 0), of)))
+        def group(g: Column) -> Column:
+            first = F.get(g, F.lit(0))
+            listed = F.transform(F.slice(g, 2, F.size(g)), lambda x: found(first["i"], none, x["i"], F.when(at(x)["text"].rlike(HOLDS_BOOK), "unmapped_reference_entry").otherwise("missing_bible_book")))
+            missing = F.array(found(first["i"], none, none.cast("int"), "missing_reference_entry"))
+            shared = lambda valid: F.when(F.size(valid) > 1, F.transform(valid, lambda x: found(after, x["marker"].try_cast("decimal(38,0)"), x["i"], "duplicated_reference_marker_suspected"))).otherwise(F.array())
+            return F.concat(F.when(first["kind"] == 1, F.array()).when(F.size(g) == 1, missing).otherwise(listed), _once(F.filter(g, lambda x: (x["kind"] == 1) & at(x)["valid"]), shared))
 
-    def shared(valid: Column) -> Column:
-        return F.when(F.size(valid) > 1, F.transform(valid, lambda e: made(F.lit(2**31 - 1), e["marker"].try_cast("decimal(38,0)"), e, e["raw"], F.lit("duplicated_reference_marker_suspected")))).otherwise(F.array())
+        rows = F.concat(F.transform(open_, lambda m, i: _row(m, 0, i)), F.transform(es, lambda e, i: _row(e["marker"], 1, i)))
+        return F.transform(F.array_sort(F.flatten(F.transform(_by_marker(rows), group))), lambda x: F.struct(F.coalesce(at(x)["marker"], F.get(open_, x["place"])).alias("marker"), at(x)["raw"].alias("raw"), x["issue"]))
 
-    group = lambda g: F.concat(_once(F.filter(g, lambda x: x["kind"] == 2), lambda mine: open_(g, mine)), _once(F.filter(g, lambda x: x["valid"]), shared))
-    return F.transform(F.array_sort(F.flatten(F.transform(_by_marker(rows), group))), lambda x: F.struct(x["marker"], x["raw"], x["issue"]))
+    return _once(entries, lambda es: _once(F.array_except(markers, F.map_keys(mapped)), lambda open_: of(es, open_)))
 
 
 def trusted(numbers: list[int]) -> list[bool]:

@@ -108,6 +108,19 @@ def test_issues_equal_loops(spark, seed):
         assert [tuple(x) for x in r["x"]] == want + [(m, raw, "duplicated_reference_marker_suspected") for m, raw, *_ in sorted(shared, key=lambda e: int(e[0]))]
 
 
+def test_map_of_lines_far_down(spark, tmp_path):
+    got = sorted(tuple(r) for r in Q.reference_map(spark, far_lines(tmp_path)).select("document_id", "marker", "reference").collect())
+    assert got == [(7, "100001", "Rm 3:100001"), (7, "100004", "Mt 5:6"), (7, "100005", "Sl 100005.1 fim")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_map_equals_a_loop(spark, seed):
+    d, rows = drawn_references(spark, seed)
+    for r in d.select("i", G.reference_map(F.col("e"), F.col("m")).alias("some"), G.reference_map(F.col("e")).alias("all")).collect():
+        markers, entries = rows[r["i"]]
+        assert r["some"] == plain_map(entries, markers) and r["all"] == plain_map(entries)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_longest_rising_choice(seed):
     draw = random.Random(seed)
